@@ -63,15 +63,22 @@ def active_services(net, svc: DataFrame, *, strict_weekday: bool = False) -> Dat
 
 
 def service_dates(net, svc: DataFrame, *, honor_exception_type: bool = False) -> DataFrame:
-    """Every (query_id, feed_id, service_id, date) a service runs in the period.
+    """Every date a service runs inside a period.
+
+    ``svc`` holds (feed_id, service_id, feed_kind, start_date, end_date); the
+    expansion is done once per distinct (service, period), so many requests
+    over the same period share it.  Output: those five columns + ``date``.
 
     CALENDAR: days of the overlap whose weekday flag is 1 (no 6-day
-    shortcut), minus every (service, date) present in calendar_dates (any
-    type cancels).  DATES / STATION: calendar_dates rows in the period (any
-    type runs).  ``honor_exception_type`` gives standard GTFS (type 1 adds,
-    type 2 removes).
+    shortcut here), minus every (service, date) present in calendar_dates
+    (any type cancels).  DATES / STATION: calendar_dates rows in the period
+    (any type runs).  ``honor_exception_type`` gives standard GTFS instead
+    (type 1 adds, type 2 removes).
     """
-    req = svc.select(*KEYS, "feed_kind", F.col("start_date").alias("q_start"), F.col("end_date").alias("q_end")).distinct()
+    keys = ["feed_id", "service_id", "feed_kind", "q_start", "q_end"]
+    req = svc.select(
+        "feed_id", "service_id", "feed_kind", F.col("start_date").alias("q_start"), F.col("end_date").alias("q_end")
+    ).distinct()
     cal = net.calendar.select("feed_id", "service_id", "days", "start_date", "end_date")
     cd = net.calendar_dates.select("feed_id", "service_id", "date", "exception_type")
     lo = F.greatest(F.col("start_date"), F.col("q_start"))
@@ -82,18 +89,20 @@ def service_dates(net, svc: DataFrame, *, honor_exception_type: bool = False) ->
         req.where(F.col("feed_kind") == "CALENDAR")
         .join(cal, ["feed_id", "service_id"])
         .where(_overlap())
-        .select(*KEYS, "feed_kind", "q_start", "q_end", "days", F.explode(F.sequence(lo, hi)).alias("date"))
+        .select(*keys, "days", F.explode(F.sequence(lo, hi)).alias("date"))
         .where(_day_flag("days", "date") == 1)
         .drop("days")
     )
     cancel = cd if not honor_exception_type else cd.where(F.col("exception_type") == 2)
-    calendar_days = expanded.join(cancel.select("feed_id", "service_id", "date"), ["feed_id", "service_id", "date"], "left_anti")
+    calendar_days = expanded.join(
+        cancel.select("feed_id", "service_id", "date").distinct(), ["feed_id", "service_id", "date"], "left_anti"
+    )
     if honor_exception_type:
         added = (
             req.where(F.col("feed_kind") == "CALENDAR")
             .join(cd.where(F.col("exception_type") == 1), ["feed_id", "service_id"])
             .where(F.col("date").between(F.col("q_start"), F.col("q_end")))
-            .select(*KEYS, "feed_kind", "q_start", "q_end", "date")
+            .select(*keys, "date")
         )
         calendar_days = calendar_days.unionByName(added)
     dated_cd = cd if not honor_exception_type else cd.where(F.col("exception_type") == 1)
@@ -101,7 +110,7 @@ def service_dates(net, svc: DataFrame, *, honor_exception_type: bool = False) ->
         req.where(F.col("feed_kind") != "CALENDAR")
         .join(dated_cd.select("feed_id", "service_id", "date"), ["feed_id", "service_id"])
         .where(F.col("date").between(F.col("q_start"), F.col("q_end")))
-        .select(*KEYS, "feed_kind", "q_start", "q_end", "date")
+        .select(*keys, "date")
     )
-    out = calendar_days.unionByName(dated).select(*KEYS, "date").distinct()
-    return out
+    out = calendar_days.unionByName(dated).distinct()
+    return out.withColumnRenamed("q_start", "start_date").withColumnRenamed("q_end", "end_date")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityhop.operators.reach import reachable_stops, trips_in_period, trips_nearby
+from cityhop.operators.service import service_dates
+from cityhop.operators.trips import TRIP_COLUMNS, direct_trips
 from cityhop.operators.spatial import nearby_stops
 from cityhop.plans.tidy import tidy
 from cityhop.sources import testbind
@@ -19,6 +21,8 @@ from cityhop.sources import testbind
 PLACE_RADIUS = 0.2
 PERIOD = ("2024-01-08", "2024-01-10")
 WEEK = ("2024-01-08", "2024-01-14")
+MIN_DEPARTURE_S = 6 * 3600 + 1800  # 06:30, floored to the hour by the operator
+ARRIVAL_OFFSETS = (1, 5)  # each nation asks for trips to nations k+1 and k+5 (mod 25)
 
 
 def _net(spark: SparkSession, sf: str):
@@ -83,6 +87,58 @@ def q_reachable_stops_station(spark: SparkSession, sf: str) -> DataFrame:
     return _reachable(spark, sf, ("2024-01-20", "2024-01-20"), ["F2"])
 
 
+def q_service_dates(spark: SparkSession, sf: str) -> DataFrame:
+    net = _net(spark, sf)
+    svc = (
+        net.trips.select("feed_id", "service_id")
+        .distinct()
+        .join(net.feed_info(), "feed_id")
+        .select(
+            "feed_id",
+            "service_id",
+            "feed_kind",
+            F.lit(WEEK[0]).cast("date").alias("start_date"),
+            F.lit(WEEK[1]).cast("date").alias("end_date"),
+        )
+    )
+    return tidy(service_dates(net, svc).select("feed_id", "service_id", "date"))
+
+
+def trip_requests(spark: SparkSession, sf: str, period=PERIOD, transports=None) -> DataFrame:
+    """Trip requests between nation centres: k -> k+1 and k -> k+5 (mod 25)."""
+    nation = testbind.read_table(spark, sf, "nation").select("n_nationkey")
+    offs = F.array(*[F.lit(o) for o in ARRIVAL_OFFSETS])
+    pairs = nation.select(
+        F.col("n_nationkey").alias("dep_k"), F.explode(F.transform(offs, lambda o: (F.col("n_nationkey") + o) % 25)).alias("arr_k")
+    ).join(nation.select(F.col("n_nationkey").alias("arr_k")), "arr_k")
+    lat = testbind.PLACE_LAT.replace("n_nationkey", "{k}")
+    lon = testbind.PLACE_LON.replace("n_nationkey", "{k}")
+    t = F.array(*[F.lit(x) for x in transports]) if transports else F.lit(None).cast("array<string>")
+    return pairs.select(
+        F.concat(F.lit("q"), F.col("dep_k").cast("string"), F.lit("-"), F.col("arr_k").cast("string")).alias("query_id"),
+        F.expr(lat.format(k="dep_k")).alias("dep_lat"),
+        F.expr(lon.format(k="dep_k")).alias("dep_lon"),
+        F.lit(PLACE_RADIUS).alias("dep_max_distance"),
+        F.expr(lat.format(k="arr_k")).alias("arr_lat"),
+        F.expr(lon.format(k="arr_k")).alias("arr_lon"),
+        F.lit(PLACE_RADIUS).alias("arr_max_distance"),
+        F.lit(period[0]).cast("date").alias("start_date"),
+        F.lit(period[1]).cast("date").alias("end_date"),
+        F.lit(MIN_DEPARTURE_S).alias("min_departure_s"),
+        t.alias("transports"),
+    )
+
+
+def q_direct_trips(spark: SparkSession, sf: str) -> DataFrame:
+    net = _net(spark, sf)
+    return tidy(direct_trips(net, trip_requests(spark, sf)).select(*TRIP_COLUMNS))
+
+
+def q_direct_trips_week(spark: SparkSession, sf: str) -> DataFrame:
+    net = _net(spark, sf)
+    return tidy(direct_trips(net, trip_requests(spark, sf, WEEK)).select(*TRIP_COLUMNS))
+
+
 QUERIES = {
     "load_stop_times": q_load_stop_times,
     "load_calendar": q_load_calendar,
@@ -93,4 +149,7 @@ QUERIES = {
     "reachable_stops_week": q_reachable_stops_week,
     "reachable_stops_calendar": q_reachable_stops_calendar,
     "reachable_stops_station": q_reachable_stops_station,
+    "service_dates": q_service_dates,
+    "direct_trips": q_direct_trips,
+    "direct_trips_week": q_direct_trips_week,
 }

@@ -7,8 +7,8 @@ uses semi/anti joins, cross joins where Spark uses grid joins.
 
 from __future__ import annotations
 
-from cityhop.plans.benchmark_queries import PERIOD, PLACE_RADIUS, WEEK
-from cityhop.sources.testbind_sql import weekday_bit, with_ctes
+from cityhop.plans.benchmark_queries import ARRIVAL_OFFSETS, MIN_DEPARTURE_S, PERIOD, PLACE_RADIUS, WEEK
+from cityhop.sources.testbind_sql import PLACE_LAT, PLACE_LON, weekday_bit, with_ctes
 
 
 def _d(x: str) -> str:
@@ -98,6 +98,115 @@ FROM dest d JOIN g_sk s
 """
 
 
+def run_dates_cte(start: str, end: str) -> str:
+    """Running (feed, service, date) in a period, both calendar kinds."""
+    return f"""
+run_days AS (
+  SELECT CAST(d AS DATE) AS d FROM generate_series({_d(start)}, {_d(end)}, INTERVAL 1 DAY) t(d)
+),
+run_dates AS (
+  SELECT c.feed_id, c.service_id, p.d AS date
+  FROM g_calendar c JOIN run_days p ON p.d BETWEEN c.start_date AND c.end_date
+  WHERE {weekday_bit('c.mask', 'p.d')} = 1
+    AND NOT EXISTS (SELECT 1 FROM g_calendar_dates x
+                    WHERE x.feed_id = c.feed_id AND x.service_id = c.service_id AND x.date = p.d)
+  UNION
+  SELECT cd.feed_id, cd.service_id, cd.date
+  FROM g_calendar_dates cd JOIN g_feeds f ON f.feed_id = cd.feed_id
+  WHERE f.feed_kind <> 'CALENDAR' AND cd.date BETWEEN {_d(start)} AND {_d(end)}
+)"""
+
+
+def trip_requests_cte() -> str:
+    offs = ", ".join(f"({o})" for o in ARRIVAL_OFFSETS)
+    lat = PLACE_LAT.replace("n_nationkey", "{k}")
+    lon = PLACE_LON.replace("n_nationkey", "{k}")
+    return f"""
+trip_req AS (
+  SELECT 'q' || CAST(dep_k AS VARCHAR) || '-' || CAST(arr_k AS VARCHAR) AS query_id,
+         {lat.format(k="dep_k")} AS dep_lat, {lon.format(k="dep_k")} AS dep_lon,
+         {lat.format(k="arr_k")} AS arr_lat, {lon.format(k="arr_k")} AS arr_lon
+  FROM (SELECT n.n_nationkey AS dep_k, (n.n_nationkey + o.off) % 25 AS arr_k
+        FROM nation n CROSS JOIN (VALUES {offs}) o(off)) x
+  WHERE arr_k IN (SELECT n_nationkey FROM nation)
+)"""
+
+
+def direct_trips_sql(start: str, end: str, requests_cte: str | None = None, after_s: int = MIN_DEPARTURE_S) -> str:
+    radius = f"CAST(1.05 AS DOUBLE) * CAST({PLACE_RADIUS} AS DOUBLE)"
+    hour = (after_s // 3600) * 3600
+    return with_ctes(
+        requests_cte or trip_requests_cte(),
+        run_dates_cte(start, end),
+        f"""
+dep_near AS (
+  SELECT DISTINCT r.query_id, s.feed_id, s.stop_id, s.feed_kind FROM trip_req r JOIN g_sk s
+    ON s.boardable AND {_dist('s.stop_lat', 's.stop_lon', 'r.dep_lat', 'r.dep_lon')} < {radius}
+),
+arr_near AS (
+  SELECT DISTINCT r.query_id, s.feed_id, s.stop_id FROM trip_req r JOIN g_sk s
+    ON s.boardable AND {_dist('s.stop_lat', 's.stop_lon', 'r.arr_lat', 'r.arr_lon')} < {radius}
+),
+board_all AS (
+  SELECT d.query_id, st.feed_id, st.trip_id, st.stop_id, st.stop_sequence, st.departure_s, d.feed_kind
+  FROM g_stop_times st JOIN dep_near d ON st.feed_id = d.feed_id AND st.stop_id = d.stop_id
+  WHERE st.departure_s > {hour}
+),
+board AS (
+  SELECT query_id, feed_id, trip_id, stop_id, departure_s FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, feed_id, trip_id
+                                 ORDER BY stop_sequence, departure_s, stop_id) AS rn
+    FROM board_all WHERE feed_kind = 'CALENDAR') x WHERE rn = 1
+  UNION ALL
+  SELECT query_id, feed_id, trip_id, stop_id, departure_s FROM board_all WHERE feed_kind <> 'CALENDAR'
+),
+alight AS (
+  SELECT a.query_id, st.feed_id, st.trip_id, st.stop_id, st.departure_s
+  FROM g_stop_times st JOIN arr_near a ON st.feed_id = a.feed_id AND st.stop_id = a.stop_id
+),
+legs AS (
+  SELECT b.query_id, b.feed_id, b.trip_id, b.stop_id AS stop_id_x, b.departure_s AS departure_s_x,
+         a.stop_id AS stop_id_y, a.departure_s AS departure_s_y
+  FROM board b JOIN alight a ON a.query_id = b.query_id AND a.feed_id = b.feed_id AND a.trip_id = b.trip_id
+  WHERE b.departure_s < a.departure_s
+),
+dated AS (
+  SELECT l.*, t.service_id, t.route_id, r.date, f.timezone, f.feed_kind, f.feed_priority,
+         timezone(f.timezone, CAST(r.date AS TIMESTAMP) + to_seconds(l.departure_s_x)) AS dep_tz,
+         timezone(f.timezone, CAST(r.date AS TIMESTAMP) + to_seconds(l.departure_s_y)) AS arr_tz
+  FROM legs l
+  JOIN g_trips t ON t.feed_id = l.feed_id AND t.trip_id = l.trip_id
+  JOIN g_feeds f ON f.feed_id = l.feed_id
+  JOIN run_dates r ON r.feed_id = l.feed_id AND r.service_id = t.service_id
+),
+trips_out AS (
+  SELECT d.query_id, d.trip_id, d.service_id, d.route_id, d.date,
+         d.stop_id_x, sx.stop_name AS stop_name_x, sx.stop_lat AS stop_lat_x, sx.stop_lon AS stop_lon_x,
+         CASE WHEN d.feed_kind = 'CALENDAR' THEN sx.stop_timezone ELSE d.timezone END AS stop_timezone_x,
+         d.departure_s_x,
+         d.stop_id_y, sy.stop_name AS stop_name_y, sy.stop_lat AS stop_lat_y, sy.stop_lon AS stop_lon_y,
+         CASE WHEN d.feed_kind = 'CALENDAR' THEN sy.stop_timezone ELSE d.timezone END AS stop_timezone_y,
+         d.departure_s_y,
+         timezone('UTC', d.dep_tz) AS dep_time, timezone('UTC', d.arr_tz) AS arr_time,
+         d.feed_id AS transport_type, d.feed_priority
+  FROM dated d
+  JOIN g_sk sx ON sx.feed_id = d.feed_id AND sx.stop_id = d.stop_id_x
+  JOIN g_sk sy ON sy.feed_id = d.feed_id AND sy.stop_id = d.stop_id_y
+)""",
+    )
+
+
+TRIP_SELECT = """
+SELECT query_id, trip_id, service_id, route_id, strftime(date, '%Y-%m-%d') AS date,
+       stop_id_x, stop_name_x, round(stop_lat_x, 6) AS stop_lat_x, round(stop_lon_x, 6) AS stop_lon_x,
+       stop_timezone_x, CAST(departure_s_x AS BIGINT) AS departure_s_x,
+       stop_id_y, stop_name_y, round(stop_lat_y, 6) AS stop_lat_y, round(stop_lon_y, 6) AS stop_lon_y,
+       stop_timezone_y, CAST(departure_s_y AS BIGINT) AS departure_s_y,
+       strftime(dep_time, '%Y-%m-%d %H:%M:%S') AS dep_time, strftime(arr_time, '%Y-%m-%d %H:%M:%S') AS arr_time,
+       transport_type
+FROM trips_out"""
+
+
 SQL = {
     "load_stop_times": with_ctes()
     + """
@@ -129,4 +238,10 @@ FROM active""",
     "reachable_stops_week": reachable_sql(*WEEK),
     "reachable_stops_calendar": reachable_sql("2024-01-03", "2024-01-05", ["F0"]),
     "reachable_stops_station": reachable_sql("2024-01-20", "2024-01-20", ["F2"]),
+    "service_dates": with_ctes(run_dates_cte(*WEEK))
+    + """
+SELECT r.feed_id, r.service_id, strftime(r.date, '%Y-%m-%d') AS date
+FROM run_dates r WHERE EXISTS (SELECT 1 FROM g_trips t WHERE t.feed_id = r.feed_id AND t.service_id = r.service_id)""",
+    "direct_trips": direct_trips_sql(*PERIOD) + TRIP_SELECT,
+    "direct_trips_week": direct_trips_sql(*WEEK) + TRIP_SELECT,
 }
