@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cityhop.operators.cities import build_cities, city_center, city_members, snap_to_city
 from cityhop.operators.reach import reachable_stops, trips_in_period, trips_nearby
 from cityhop.operators.service import service_dates
 from cityhop.operators.trips import TRIP_COLUMNS, direct_trips
 from cityhop.operators.spatial import nearby_stops
+from cityhop.operators.stops import ranked_stops, stop_activity
 from cityhop.plans.tidy import tidy
 from cityhop.sources import testbind
 
@@ -23,6 +25,7 @@ PERIOD = ("2024-01-08", "2024-01-10")
 WEEK = ("2024-01-08", "2024-01-14")
 MIN_DEPARTURE_S = 6 * 3600 + 1800  # 06:30, floored to the hour by the operator
 ARRIVAL_OFFSETS = (1, 5)  # each nation asks for trips to nations k+1 and k+5 (mod 25)
+CITY_EPS_KM = 8.0
 
 
 def _net(spark: SparkSession, sf: str):
@@ -139,6 +142,52 @@ def q_direct_trips_week(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(direct_trips(net, trip_requests(spark, sf, WEEK)).select(*TRIP_COLUMNS))
 
 
+def q_stop_activity(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(stop_activity(_net(spark, sf)))
+
+
+def q_ranked_stops(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(ranked_stops(_net(spark, sf)))
+
+
+def q_cluster_stops(spark: SparkSession, sf: str) -> DataFrame:
+    members = city_members(_net(spark, sf), eps_km=CITY_EPS_KM)
+    return tidy(members.select("stop_id", "stop_name", "city_id"))
+
+
+def cities_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The city table, materialised once (reliable checkpoint) for reuse."""
+    from cityhop.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return build_cities(_net(spark, sf), eps_km=CITY_EPS_KM).checkpoint()
+
+
+def q_cities(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(cities_table(spark, sf))
+
+
+def q_city_center(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(city_center(cities_table(spark, sf)))
+
+
+def customer_points(spark: SparkSession, sf: str) -> DataFrame:
+    """One point per customer near its nation centre (some fall outside every city)."""
+    cust = testbind.read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    lat = testbind.PLACE_LAT.replace("n_nationkey", "c_nationkey")
+    lon = testbind.PLACE_LON.replace("n_nationkey", "c_nationkey")
+    return cust.select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("query_id"),
+        (F.expr(lat) + (F.col("c_custkey") % 9 - 4).cast("double") * F.lit(0.02)).alias("lat"),
+        (F.expr(lon) + (F.col("c_custkey") % 7 - 3).cast("double") * F.lit(0.03)).alias("lon"),
+    )
+
+
+def q_snap_to_city(spark: SparkSession, sf: str) -> DataFrame:
+    cities = cities_table(spark, sf)
+    return tidy(snap_to_city(customer_points(spark, sf), cities))
+
+
 QUERIES = {
     "load_stop_times": q_load_stop_times,
     "load_calendar": q_load_calendar,
@@ -152,4 +201,10 @@ QUERIES = {
     "service_dates": q_service_dates,
     "direct_trips": q_direct_trips,
     "direct_trips_week": q_direct_trips_week,
+    "stop_activity": q_stop_activity,
+    "ranked_stops": q_ranked_stops,
+    "cluster_stops": q_cluster_stops,
+    "cities": q_cities,
+    "city_center": q_city_center,
+    "snap_to_city": q_snap_to_city,
 }

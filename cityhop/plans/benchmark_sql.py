@@ -7,7 +7,8 @@ uses semi/anti joins, cross joins where Spark uses grid joins.
 
 from __future__ import annotations
 
-from cityhop.plans.benchmark_queries import ARRIVAL_OFFSETS, MIN_DEPARTURE_S, PERIOD, PLACE_RADIUS, WEEK
+from cityhop.functions.text import NOISE_WORDS
+from cityhop.plans.benchmark_queries import ARRIVAL_OFFSETS, CITY_EPS_KM, MIN_DEPARTURE_S, PERIOD, PLACE_RADIUS, WEEK
 from cityhop.sources.testbind_sql import PLACE_LAT, PLACE_LON, weekday_bit, with_ctes
 
 
@@ -207,6 +208,139 @@ SELECT query_id, trip_id, service_id, route_id, strftime(date, '%Y-%m-%d') AS da
 FROM trips_out"""
 
 
+ACTIVITY_CTE = """
+counts AS (SELECT feed_id, stop_id, count(*) AS n FROM g_stop_times WHERE trip_id IS NOT NULL GROUP BY feed_id, stop_id),
+act AS (
+  SELECT s.feed_id, s.stop_id, s.stop_name, s.stop_lat, s.stop_lon, s.stop_timezone, c.n AS number_of_appearance
+  FROM g_sk s LEFT JOIN counts c ON c.feed_id = s.feed_id AND c.stop_id = s.stop_id
+  WHERE s.feed_kind <> 'STATION'
+  UNION ALL
+  SELECT s.feed_id, s.stop_id, s.stop_name, s.stop_lat, s.stop_lon, s.stop_timezone, r.n
+  FROM g_sk s LEFT JOIN (
+      SELECT p.feed_id, p.parent_station AS stop_id, sum(c.n) AS n
+      FROM counts c JOIN g_sk p ON p.feed_id = c.feed_id AND p.stop_id = c.stop_id
+      WHERE p.feed_kind = 'STATION' AND p.parent_station IS NOT NULL
+      GROUP BY p.feed_id, p.parent_station) r
+    ON r.feed_id = s.feed_id AND r.stop_id = s.stop_id
+  WHERE s.feed_kind = 'STATION' AND s.parent_station IS NULL
+)"""
+
+RANKED_CTE = """
+first_feed AS (
+  SELECT * FROM (
+    SELECT a.*, f.feed_priority,
+           row_number() OVER (PARTITION BY a.stop_id
+                              ORDER BY f.feed_priority, a.feed_id, a.stop_name, a.stop_lat, a.stop_lon) AS rn
+    FROM act a JOIN g_feeds f ON f.feed_id = a.feed_id) x WHERE rn = 1
+),
+totals AS (SELECT stop_id, CAST(sum(coalesce(number_of_appearance, 0)) AS BIGINT) AS total FROM act GROUP BY stop_id),
+ranked AS (
+  SELECT stop_id, stop_name, stop_lat, stop_lon, feed_id, total AS number_of_appearance FROM (
+    SELECT ff.stop_id, ff.stop_name, ff.stop_lat, ff.stop_lon, ff.feed_id, t.total,
+           row_number() OVER (PARTITION BY ff.stop_name
+                              ORDER BY t.total DESC, ff.stop_id, ff.stop_lat, ff.stop_lon, ff.feed_id) AS rn
+    FROM first_feed ff JOIN totals t ON t.stop_id = ff.stop_id) x WHERE rn = 1
+)"""
+
+
+def _hav(a: str, b: str) -> str:
+    return (
+        f"2 * asin(least(1, sqrt(pow(sin((radians({b}.lat) - radians({a}.lat)) / 2), 2)"
+        f" + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin((radians({b}.lon) - radians({a}.lon)) / 2), 2))))"
+    )
+
+
+def cluster_cte(eps_km: float = CITY_EPS_KM) -> str:
+    return f"""
+pts AS (SELECT stop_id AS id, stop_lat AS lat, stop_lon AS lon FROM ranked),
+edges AS (
+  SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b
+    ON a.id <> b.id AND {_hav('a', 'b')} <= CAST({eps_km!r} AS DOUBLE) / CAST(6371.0 AS DOUBLE)
+),
+reach(a, b) AS (
+  SELECT id, id FROM pts
+  UNION
+  SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
+),
+comp AS (SELECT a AS id, min(b) AS cluster_id FROM reach GROUP BY a)"""
+
+
+def cities_cte() -> str:
+    noise = ", ".join(f"'{w}'" for w in NOISE_WORDS)
+    return f"""
+members AS (SELECT r.*, c.cluster_id AS city_id FROM ranked r JOIN comp c ON c.id = r.stop_id),
+centre AS (
+  SELECT city_id, CAST(avg(CAST(stop_lat AS DECIMAL(19,15))) AS DOUBLE) AS clat,
+         CAST(avg(CAST(stop_lon AS DECIMAL(19,15))) AS DOUBLE) AS clon, count(*) AS n_stops
+  FROM members GROUP BY city_id
+),
+radius AS (
+  SELECT m.city_id, max({_dist('m.stop_lat', 'm.stop_lon', 'c.clat', 'c.clon')}) AS max_distance
+  FROM members m JOIN centre c ON c.city_id = m.city_id GROUP BY m.city_id
+),
+mw0 AS (
+  SELECT city_id, stop_id, number_of_appearance, regexp_split_to_array(lower(stop_name), '\\s+') AS ws FROM members
+),
+mwords AS (
+  SELECT * FROM (SELECT city_id, stop_id, number_of_appearance, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM mw0) x
+  WHERE word <> '' AND word NOT IN ({noise})
+),
+wc AS (
+  SELECT city_id, word, count(*) AS freq,
+         arg_min(struct_pack(neg := -number_of_appearance, sid := stop_id, pos := pos),
+                 struct_pack(neg := -number_of_appearance, sid := stop_id, pos := pos)) AS f
+  FROM mwords GROUP BY city_id, word
+),
+nn AS (SELECT city_id, count(*) AS n_names FROM members GROUP BY city_id),
+top AS (
+  SELECT city_id, stop_name FROM (
+    SELECT city_id, stop_name, row_number() OVER (PARTITION BY city_id ORDER BY number_of_appearance DESC, stop_id) AS rn
+    FROM members) x WHERE rn = 1
+),
+kept AS (
+  SELECT wc.city_id, string_agg(wc.word, ' ' ORDER BY wc.f.neg, wc.f.sid, wc.f.pos, wc.word) AS joined
+  FROM wc JOIN nn ON nn.city_id = wc.city_id
+  WHERE wc.freq >= floor(nn.n_names * CAST(0.5 AS DOUBLE))
+  GROUP BY wc.city_id
+),
+cities AS (
+  SELECT c.city_id,
+         CASE WHEN coalesce(k.joined, '') = '' THEN t.stop_name
+              ELSE upper(substr(k.joined, 1, 1)) || lower(substr(k.joined, 2)) END AS city_name,
+         c.clat AS stop_lat, c.clon AS stop_lon, r.max_distance, c.n_stops
+  FROM centre c JOIN radius r ON r.city_id = c.city_id JOIN top t ON t.city_id = c.city_id
+  LEFT JOIN kept k ON k.city_id = c.city_id
+)"""
+
+
+CITY_CTES = (ACTIVITY_CTE, RANKED_CTE)
+
+
+def customer_points_cte() -> str:
+    lat = PLACE_LAT.replace("n_nationkey", "c_nationkey")
+    lon = PLACE_LON.replace("n_nationkey", "c_nationkey")
+    return f"""
+cpoints AS (
+  SELECT 'c' || CAST(c_custkey AS VARCHAR) AS query_id,
+         ({lat}) + CAST(c_custkey % 9 - 4 AS DOUBLE) * CAST(0.02 AS DOUBLE) AS lat,
+         ({lon}) + CAST(c_custkey % 7 - 3 AS DOUBLE) * CAST(0.03 AS DOUBLE) AS lon
+  FROM customer
+)"""
+
+
+SNAP_CTE = f"""
+snap AS (
+  SELECT query_id, city_id, city_name, lat, lon, max_distance, distance FROM (
+    SELECT p.query_id, c.city_id, c.city_name, c.stop_lat AS lat, c.stop_lon AS lon, c.max_distance,
+           {_dist('c.stop_lat', 'c.stop_lon', 'p.lat', 'p.lon')} AS distance,
+           row_number() OVER (PARTITION BY p.query_id
+                              ORDER BY {_dist('c.stop_lat', 'c.stop_lon', 'p.lat', 'p.lon')}, c.city_id) AS rn
+    FROM cpoints p JOIN cities c
+      ON {_dist('c.stop_lat', 'c.stop_lon', 'p.lat', 'p.lon')} < CAST(0.1 AS DOUBLE)) x
+  WHERE rn = 1
+)"""
+
+
 SQL = {
     "load_stop_times": with_ctes()
     + """
@@ -244,4 +378,32 @@ SELECT r.feed_id, r.service_id, strftime(r.date, '%Y-%m-%d') AS date
 FROM run_dates r WHERE EXISTS (SELECT 1 FROM g_trips t WHERE t.feed_id = r.feed_id AND t.service_id = r.service_id)""",
     "direct_trips": direct_trips_sql(*PERIOD) + TRIP_SELECT,
     "direct_trips_week": direct_trips_sql(*WEEK) + TRIP_SELECT,
+    "stop_activity": with_ctes(ACTIVITY_CTE)
+    + """
+SELECT feed_id, stop_id, stop_name, round(stop_lat, 6) AS stop_lat, round(stop_lon, 6) AS stop_lon, stop_timezone,
+       CAST(number_of_appearance AS BIGINT) AS number_of_appearance
+FROM act""",
+    "ranked_stops": with_ctes(*CITY_CTES)
+    + """
+SELECT stop_id, stop_name, round(stop_lat, 6) AS stop_lat, round(stop_lon, 6) AS stop_lon, feed_id,
+       CAST(number_of_appearance AS BIGINT) AS number_of_appearance
+FROM ranked""",
+    "cluster_stops": with_ctes(*CITY_CTES, cluster_cte(), recursive=True)
+    + """
+SELECT r.stop_id, r.stop_name, c.cluster_id AS city_id FROM ranked r JOIN comp c ON c.id = r.stop_id""",
+    "cities": with_ctes(*CITY_CTES, cluster_cte(), cities_cte(), recursive=True)
+    + """
+SELECT city_id, city_name, round(stop_lat, 6) AS stop_lat, round(stop_lon, 6) AS stop_lon,
+       round(max_distance, 6) AS max_distance, CAST(n_stops AS BIGINT) AS n_stops
+FROM cities""",
+    "city_center": with_ctes(*CITY_CTES, cluster_cte(), cities_cte(), recursive=True)
+    + """
+SELECT round(CAST(avg(CAST(stop_lat AS DECIMAL(19,15))) AS DOUBLE), 6) AS x,
+       round(CAST(avg(CAST(stop_lon AS DECIMAL(19,15))) AS DOUBLE), 6) AS y
+FROM (SELECT DISTINCT stop_lat, stop_lon FROM cities) d""",
+    "snap_to_city": with_ctes(*CITY_CTES, cluster_cte(), cities_cte(), customer_points_cte(), SNAP_CTE, recursive=True)
+    + """
+SELECT query_id, city_id, city_name, round(lat, 6) AS lat, round(lon, 6) AS lon,
+       round(max_distance, 6) AS max_distance, round(distance, 6) AS distance
+FROM snap""",
 }

@@ -84,7 +84,7 @@ def weekday_bit(mask: str, date: str) -> str:
     return f"((({mask}) >> (isodow({date}) - 1)) & 1)"
 
 
-def with_ctes(*extra: str) -> str:
+def with_ctes(*extra: str, recursive: bool = False) -> str:
     """``WITH`` + the binding CTEs + any query-specific CTEs."""
     parts = [BASE_CTES] + [e.strip().rstrip(",") for e in extra if e.strip()]
-    return "WITH " + ",\n".join(p.strip() for p in parts) + "\n"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(p.strip() for p in parts) + "\n"
