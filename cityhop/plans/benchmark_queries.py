@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityhop.operators.cities import build_cities, city_center, city_members, snap_to_city
+from cityhop.operators.quality import feed_freshness, flag_unknown_place, validate_period
 from cityhop.operators.reach import reachable_stops, trips_in_period, trips_nearby
 from cityhop.operators.service import service_dates
 from cityhop.operators.trips import TRIP_COLUMNS, direct_trips
 from cityhop.operators.spatial import nearby_stops
 from cityhop.operators.stops import ranked_stops, stop_activity
+from cityhop.plans.destinations import reachability_matrix, reachable_cities
+from cityhop.plans.journeys import od_frequency, present_trips, search_trips
 from cityhop.plans.tidy import tidy
+from cityhop.sources.gtfs import transports
 from cityhop.sources import testbind
 
 # Fixed request parameters of the benchmark.
@@ -26,6 +30,7 @@ WEEK = ("2024-01-08", "2024-01-14")
 MIN_DEPARTURE_S = 6 * 3600 + 1800  # 06:30, floored to the hour by the operator
 ARRIVAL_OFFSETS = (1, 5)  # each nation asks for trips to nations k+1 and k+5 (mod 25)
 CITY_EPS_KM = 8.0
+AS_OF = "2024-01-20"
 
 
 def _net(spark: SparkSession, sf: str):
@@ -188,6 +193,93 @@ def q_snap_to_city(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(snap_to_city(customer_points(spark, sf), cities))
 
 
+def q_reachable_cities(spark: SparkSession, sf: str) -> DataFrame:
+    net = _net(spark, sf)
+    cities = cities_table(spark, sf)
+    req = testbind.with_period(customer_points(spark, sf), *WEEK)
+    return tidy(reachable_cities(net, cities, req))
+
+
+def q_reachability_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    net = _net(spark, sf)
+    cities = cities_table(spark, sf)
+    return tidy(reachability_matrix(net, cities, *WEEK))
+
+
+def customer_trip_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer asks for trips from its point to the same offset in the next nation."""
+    cust = testbind.read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    lat = testbind.PLACE_LAT.replace("n_nationkey", "{k}")
+    lon = testbind.PLACE_LON.replace("n_nationkey", "{k}")
+    dlat = (F.col("c_custkey") % 9 - 4).cast("double") * F.lit(0.02)
+    dlon = (F.col("c_custkey") % 7 - 3).cast("double") * F.lit(0.03)
+    nxt = cust.withColumn("next_k", (F.col("c_nationkey") + 1) % 25)
+    return nxt.select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("query_id"),
+        (F.expr(lat.format(k="c_nationkey")) + dlat).alias("dep_lat"),
+        (F.expr(lon.format(k="c_nationkey")) + dlon).alias("dep_lon"),
+        (F.expr(lat.format(k="next_k")) + dlat).alias("arr_lat"),
+        (F.expr(lon.format(k="next_k")) + dlon).alias("arr_lon"),
+        F.lit(PERIOD[0]).cast("date").alias("start_date"),
+        F.lit(PERIOD[1]).cast("date").alias("end_date"),
+        F.lit(MIN_DEPARTURE_S).alias("min_departure_s"),
+    )
+
+
+def q_search_trips(spark: SparkSession, sf: str) -> DataFrame:
+    net = _net(spark, sf)
+    cities = cities_table(spark, sf)
+    found = search_trips(net, cities, customer_trip_requests(spark, sf))
+    return tidy(found.select(*TRIP_COLUMNS))
+
+
+def q_present_trips(spark: SparkSession, sf: str) -> DataFrame:
+    net = _net(spark, sf)
+    cities = cities_table(spark, sf)
+    found = search_trips(net, cities, customer_trip_requests(spark, sf))
+    return tidy(present_trips(net, found, n=10, as_of=f"{AS_OF} 12:00:00"))
+
+
+def q_od_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    net = _net(spark, sf)
+    cities = cities_table(spark, sf)
+    return tidy(od_frequency(net, cities, *PERIOD, min_departure_s=MIN_DEPARTURE_S))
+
+
+def q_feed_freshness(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(feed_freshness(_net(spark, sf), AS_OF))
+
+
+def q_transports(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(transports(_net(spark, sf)))
+
+
+def raw_destination_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """One raw request per order: its customer's point and a period around the
+    order date; some periods are malformed or end before they start."""
+    orders = testbind.read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    pts = customer_points(spark, sf).select(F.col("query_id").alias("cq"), "lat", "lon")
+    end_ts = F.expr("o_orderdate + make_dt_interval(CAST(o_orderkey % 5 - 1 AS INT), 0, 0, 0)")
+    return orders.join(pts, F.concat(F.lit("c"), F.col("o_custkey").cast("string")) == F.col("cq")).select(
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("query_id"),
+        "lat",
+        "lon",
+        F.when(F.col("o_orderkey") % 11 == 0, F.date_format("o_orderdate", "yyyy/MM/dd HH:mm"))
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+        .alias("start"),
+        F.date_format(end_ts, "yyyy-MM-dd'T'HH:mm:ss").alias("end"),
+    )
+
+
+def q_request_validation(spark: SparkSession, sf: str) -> DataFrame:
+    cities = cities_table(spark, sf)
+    raw = raw_destination_requests(spark, sf)
+    checked = validate_period(raw)
+    snapped = snap_to_city(raw.select("query_id", "lat", "lon"), cities)
+    flagged = flag_unknown_place(checked, snapped).join(snapped.select("query_id", "city_id"), "query_id", "left")
+    return tidy(flagged.select("query_id", "start_date", "end_date", "error", "city_id"))
+
+
 QUERIES = {
     "load_stop_times": q_load_stop_times,
     "load_calendar": q_load_calendar,
@@ -207,4 +299,12 @@ QUERIES = {
     "cities": q_cities,
     "city_center": q_city_center,
     "snap_to_city": q_snap_to_city,
+    "reachable_cities": q_reachable_cities,
+    "reachability_matrix": q_reachability_matrix,
+    "search_trips": q_search_trips,
+    "present_trips": q_present_trips,
+    "od_frequency": q_od_frequency,
+    "feed_freshness": q_feed_freshness,
+    "transports": q_transports,
+    "request_validation": q_request_validation,
 }

@@ -16,6 +16,22 @@ def _d(x: str) -> str:
     return f"DATE '{x}'"
 
 
+def exact_mean(col: str) -> str:
+    """Mean of a DOUBLE column as Spark's avg(DECIMAL(19,15)) computes it:
+    exact decimal sum, quotient rounded half-up to 19 decimals, then the
+    correctly rounded DOUBLE of that decimal (via its text form; DuckDB's
+    numeric DECIMAL<->DOUBLE casts scale in floating point)."""
+    si = f"CAST(sum(CAST(CAST({col} AS VARCHAR) AS DECIMAL(38,15))) * 1000000000000000 AS HUGEINT)"
+    n = "CAST(count(*) AS HUGEINT)"
+    q = f"((2 * abs({si}) * 10000 + {n}) // (2 * {n}))"
+    e19 = "CAST('10000000000000000000' AS HUGEINT)"
+    txt = (
+        f"(CASE WHEN {si} < 0 THEN '-' ELSE '' END || CAST({q} // {e19} AS VARCHAR) || '.' "
+        f"|| lpad(CAST({q} % {e19} AS VARCHAR), 19, '0'))"
+    )
+    return f"CAST({txt} AS DOUBLE)"
+
+
 def _dist(lat1, lon1, lat2, lon2) -> str:
     return f"sqrt(({lat1} - {lat2}) * ({lat1} - {lat2}) + ({lon1} - {lon2}) * ({lon1} - {lon2}))"
 
@@ -71,9 +87,10 @@ active AS (
 )"""
 
 
-def reachable_sql(start: str, end: str, transports=None) -> str:
-    return with_ctes(
-        nearby_cte(transports=transports),
+def reach_ctes(start: str, end: str, transports=None, places: str = "g_nation_places",
+               radius: str = f"CAST({PLACE_RADIUS} AS DOUBLE)") -> tuple:
+    return (
+        nearby_cte(places=places, radius=radius, transports=transports),
         BOARDS_CTE,
         active_cte(start, end),
         """
@@ -90,12 +107,20 @@ dest AS (
   SELECT * FROM reached_areas ra
   WHERE NOT EXISTS (SELECT 1 FROM nearby o
                     WHERE o.query_id = ra.query_id AND o.feed_id = ra.feed_id AND o.area_id = ra.area_id)
+),
+dest_stops AS (
+  SELECT d.query_id, d.feed_id, s.stop_id, s.stop_name, s.stop_lat, s.stop_lon, s.stop_timezone
+  FROM dest d JOIN g_sk s
+    ON s.feed_id = d.feed_id AND s.stop_id = d.area_id AND (s.feed_kind <> 'STATION' OR s.parent_station IS NULL)
 )""",
-    ) + """
-SELECT d.query_id, d.feed_id, s.stop_id, s.stop_name, round(s.stop_lat, 6) AS stop_lat,
-       round(s.stop_lon, 6) AS stop_lon, s.stop_timezone
-FROM dest d JOIN g_sk s
-  ON s.feed_id = d.feed_id AND s.stop_id = d.area_id AND (s.feed_kind <> 'STATION' OR s.parent_station IS NULL)
+    )
+
+
+def reachable_sql(start: str, end: str, transports=None) -> str:
+    return with_ctes(*reach_ctes(start, end, transports)) + """
+SELECT query_id, feed_id, stop_id, stop_name, round(stop_lat, 6) AS stop_lat,
+       round(stop_lon, 6) AS stop_lon, stop_timezone
+FROM dest_stops
 """
 
 
@@ -133,20 +158,31 @@ trip_req AS (
 )"""
 
 
-def direct_trips_sql(start: str, end: str, requests_cte: str | None = None, after_s: int = MIN_DEPARTURE_S) -> str:
-    radius = f"CAST(1.05 AS DOUBLE) * CAST({PLACE_RADIUS} AS DOUBLE)"
+def direct_trips_sql(
+    start: str,
+    end: str,
+    requests_cte: str | None = None,
+    after_s: int = MIN_DEPARTURE_S,
+    dep_r: str = f"CAST({PLACE_RADIUS} AS DOUBLE)",
+    arr_r: str = f"CAST({PLACE_RADIUS} AS DOUBLE)",
+    pre: tuple = (),
+    recursive: bool = False,
+) -> str:
+    dep_radius = f"CAST(1.05 AS DOUBLE) * {dep_r}"
+    arr_radius = f"CAST(1.05 AS DOUBLE) * {arr_r}"
     hour = (after_s // 3600) * 3600
     return with_ctes(
+        *pre,
         requests_cte or trip_requests_cte(),
         run_dates_cte(start, end),
         f"""
 dep_near AS (
   SELECT DISTINCT r.query_id, s.feed_id, s.stop_id, s.feed_kind FROM trip_req r JOIN g_sk s
-    ON s.boardable AND {_dist('s.stop_lat', 's.stop_lon', 'r.dep_lat', 'r.dep_lon')} < {radius}
+    ON s.boardable AND {_dist('s.stop_lat', 's.stop_lon', 'r.dep_lat', 'r.dep_lon')} < {dep_radius}
 ),
 arr_near AS (
   SELECT DISTINCT r.query_id, s.feed_id, s.stop_id FROM trip_req r JOIN g_sk s
-    ON s.boardable AND {_dist('s.stop_lat', 's.stop_lon', 'r.arr_lat', 'r.arr_lon')} < {radius}
+    ON s.boardable AND {_dist('s.stop_lat', 's.stop_lon', 'r.arr_lat', 'r.arr_lon')} < {arr_radius}
 ),
 board_all AS (
   SELECT d.query_id, st.feed_id, st.trip_id, st.stop_id, st.stop_sequence, st.departure_s, d.feed_kind
@@ -194,6 +230,7 @@ trips_out AS (
   JOIN g_sk sx ON sx.feed_id = d.feed_id AND sx.stop_id = d.stop_id_x
   JOIN g_sk sy ON sy.feed_id = d.feed_id AND sy.stop_id = d.stop_id_y
 )""",
+        recursive=recursive,
     )
 
 
@@ -270,8 +307,8 @@ def cities_cte() -> str:
     return f"""
 members AS (SELECT r.*, c.cluster_id AS city_id FROM ranked r JOIN comp c ON c.id = r.stop_id),
 centre AS (
-  SELECT city_id, CAST(avg(CAST(stop_lat AS DECIMAL(19,15))) AS DOUBLE) AS clat,
-         CAST(avg(CAST(stop_lon AS DECIMAL(19,15))) AS DOUBLE) AS clon, count(*) AS n_stops
+  SELECT city_id, {exact_mean('stop_lat')} AS clat,
+         {exact_mean('stop_lon')} AS clon, count(*) AS n_stops
   FROM members GROUP BY city_id
 ),
 radius AS (
@@ -328,19 +365,235 @@ cpoints AS (
 )"""
 
 
-SNAP_CTE = f"""
-snap AS (
+def snap_cte(points: str = "cpoints", name: str = "snap") -> str:
+    return f"""
+{name} AS (
   SELECT query_id, city_id, city_name, lat, lon, max_distance, distance FROM (
     SELECT p.query_id, c.city_id, c.city_name, c.stop_lat AS lat, c.stop_lon AS lon, c.max_distance,
            {_dist('c.stop_lat', 'c.stop_lon', 'p.lat', 'p.lon')} AS distance,
            row_number() OVER (PARTITION BY p.query_id
                               ORDER BY {_dist('c.stop_lat', 'c.stop_lon', 'p.lat', 'p.lon')}, c.city_id) AS rn
-    FROM cpoints p JOIN cities c
+    FROM {points} p JOIN cities c
       ON {_dist('c.stop_lat', 'c.stop_lon', 'p.lat', 'p.lon')} < CAST(0.1 AS DOUBLE)) x
   WHERE rn = 1
 )"""
 
 
+SNAP_CTE = snap_cte()
+CITY_ALL = (ACTIVITY_CTE, RANKED_CTE, cluster_cte(), cities_cte())
+
+
+def matched_cte() -> str:
+    return f"""
+matched AS (
+  SELECT query_id, city_id, transport FROM (
+    SELECT ds.query_id, c.city_id, ds.feed_id AS transport,
+           row_number() OVER (PARTITION BY ds.query_id, c.city_id ORDER BY f.feed_priority, ds.feed_id) AS rn
+    FROM dest_stops ds JOIN cities c
+      ON {_dist('ds.stop_lat', 'ds.stop_lon', 'c.stop_lat', 'c.stop_lon')} <= c.max_distance
+    JOIN g_feeds f ON f.feed_id = ds.feed_id) x
+  WHERE rn = 1
+)"""
+
+
+CITY_OUT = """round(c.stop_lat, 6) AS stop_lat, round(c.stop_lon, 6) AS stop_lon,
+       round(c.max_distance, 6) AS max_distance, m.transport"""
+
+
+def reachable_cities_sql() -> str:
+    places = """
+dep_places AS (SELECT DISTINCT city_id AS query_id, lat, lon, max_distance FROM snap)"""
+    return with_ctes(
+        *CITY_ALL, customer_points_cte(), SNAP_CTE, places,
+        *reach_ctes(*WEEK, places="dep_places", radius="p.max_distance"), matched_cte(), recursive=True,
+    ) + f"""
+SELECT s.query_id, m.city_id, c.city_name, {CITY_OUT}
+FROM snap s JOIN matched m ON m.query_id = s.city_id JOIN cities c ON c.city_id = m.city_id"""
+
+
+def reachability_matrix_sql() -> str:
+    pts = """
+city_pts AS (SELECT city_id AS query_id, stop_lat AS lat, stop_lon AS lon FROM cities)"""
+    places = """
+dep_places AS (SELECT DISTINCT city_id AS query_id, lat, lon, max_distance FROM snap)"""
+    return with_ctes(
+        *CITY_ALL, pts, snap_cte("city_pts"), places,
+        *reach_ctes(*WEEK, places="dep_places", radius="p.max_distance"), matched_cte(), recursive=True,
+    ) + f"""
+SELECT s.query_id AS dep_city_id, m.city_id, c.city_name, {CITY_OUT}
+FROM snap s JOIN matched m ON m.query_id = s.city_id JOIN cities c ON c.city_id = m.city_id"""
+
+
+def customer_trips_ctes() -> tuple:
+    lat = PLACE_LAT.replace("n_nationkey", "{k}")
+    lon = PLACE_LON.replace("n_nationkey", "{k}")
+    dlat = "CAST(c_custkey % 9 - 4 AS DOUBLE) * CAST(0.02 AS DOUBLE)"
+    dlon = "CAST(c_custkey % 7 - 3 AS DOUBLE) * CAST(0.03 AS DOUBLE)"
+    return (
+        f"""
+creq AS (
+  SELECT 'c' || CAST(c_custkey AS VARCHAR) AS query_id,
+         ({lat.format(k="c_nationkey")}) + {dlat} AS dep_lat, ({lon.format(k="c_nationkey")}) + {dlon} AS dep_lon,
+         ({lat.format(k="((c_nationkey + 1) % 25)")}) + {dlat} AS arr_lat,
+         ({lon.format(k="((c_nationkey + 1) % 25)")}) + {dlon} AS arr_lon
+  FROM customer
+)""",
+        "dpts AS (SELECT query_id, dep_lat AS lat, dep_lon AS lon FROM creq)",
+        "apts AS (SELECT query_id, arr_lat AS lat, arr_lon AS lon FROM creq)",
+        snap_cte("dpts", "snap_d"),
+        snap_cte("apts", "snap_a"),
+        """
+creq_keyed AS (
+  SELECT c.query_id, d.city_id || '|' || a.city_id AS pair, d.lat AS dep_lat, d.lon AS dep_lon, d.max_distance AS dep_r,
+         a.lat AS arr_lat, a.lon AS arr_lon, a.max_distance AS arr_r
+  FROM creq c JOIN snap_d d ON d.query_id = c.query_id JOIN snap_a a ON a.query_id = c.query_id
+)""",
+    )
+
+
+TRIP_REQ_FROM_PAIRS = """
+trip_req AS (SELECT DISTINCT pair AS query_id, dep_lat, dep_lon, dep_r, arr_lat, arr_lon, arr_r FROM creq_keyed)"""
+
+W3_CTE = """
+w3 AS (
+  SELECT * FROM (
+    SELECT t.*, row_number() OVER (PARTITION BY query_id, dep_time
+                                   ORDER BY feed_priority, trip_id, stop_id_x, stop_id_y, arr_time) AS rn3
+    FROM trips_out t) x
+  WHERE rn3 = 1
+)"""
+
+
+def search_trips_ctes() -> str:
+    return direct_trips_sql(
+        *PERIOD, requests_cte=TRIP_REQ_FROM_PAIRS, dep_r="r.dep_r", arr_r="r.arr_r",
+        pre=CITY_ALL + customer_trips_ctes(), recursive=True,
+    ).rstrip() + ",\n" + W3_CTE.strip() + ",\n" + """found AS (
+  SELECT k.query_id AS cq, w.* FROM creq_keyed k JOIN w3 w ON w.query_id = k.pair
+)
+"""
+
+
+def search_trips_sql() -> str:
+    return search_trips_ctes() + TRIP_SELECT.replace("FROM trips_out", "FROM (SELECT * EXCLUDE (query_id) RENAME (cq AS query_id) FROM found) t")
+
+
+PRESENT_SELECT = """
+SELECT query_id, CAST(rank AS BIGINT) AS rank, trip_id, transport_type, stop_name_x, stop_name_y,
+       strftime(dep_time, '%Y-%m-%d %H:%M:%S') AS dep_time, strftime(arr_time, '%Y-%m-%d %H:%M:%S') AS arr_time,
+       strftime(timezone(stop_timezone_x, timezone('UTC', dep_time)), '%Hh%M') AS dep_clock,
+       strftime(timezone(stop_timezone_y, timezone('UTC', arr_time)), '%Hh%M') AS arr_clock,
+       strftime(timezone(feed_tz, timezone('UTC', dep_time)), '%d-%m') AS dep_day,
+       strftime(timezone(feed_tz, timezone('UTC', arr_time)), '%d-%m') AS arr_day,
+       CAST(day(timezone(feed_tz, timezone('UTC', dep_time))) <> day(timezone(feed_tz, timezone('UTC', arr_time))) AS BIGINT) AS overnight,
+       CAST(dur AS BIGINT) AS duration_s, CAST(floor(dur / 86400) AS BIGINT) AS duration_days,
+       printf('%02dh%02d', CAST((dur // 3600) % 24 AS INTEGER), CAST((dur // 60) % 60 AS INTEGER)) AS duration_hhmm,
+       CAST((off_x <> off_y) OR (off_x <> off_display) AS BIGINT) AS show_timezone
+FROM (
+  SELECT f.*, g.timezone AS feed_tz, date_diff('second', f.dep_time, f.arr_time) AS dur,
+         date_diff('second', f.dep_time, timezone(f.stop_timezone_x, timezone('UTC', f.dep_time))) AS off_x,
+         date_diff('second', f.arr_time, timezone(f.stop_timezone_y, timezone('UTC', f.arr_time))) AS off_y,
+         date_diff('second', TIMESTAMP '{as_of}', timezone('Europe/Paris', timezone('UTC', TIMESTAMP '{as_of}'))) AS off_display,
+         row_number() OVER (PARTITION BY f.cq ORDER BY f.dep_time, f.arr_time, f.trip_id, f.stop_id_x, f.stop_id_y) AS rank
+  FROM found f JOIN g_feeds g ON g.feed_id = f.transport_type
+) x
+WHERE rank <= 10"""
+
+
+def present_trips_sql(as_of: str) -> str:
+    return search_trips_ctes() + PRESENT_SELECT.replace("SELECT query_id,", "SELECT cq AS query_id,", 1).format(as_of=as_of)
+
+
+def od_frequency_sql() -> str:
+    hour = (MIN_DEPARTURE_S // 3600) * 3600
+    radius = "CAST(1.05 AS DOUBLE) * c.max_distance"
+    body = f"""
+near AS (
+  SELECT DISTINCT c.city_id, s.feed_id, s.stop_id, s.feed_kind FROM cities c JOIN g_sk s
+    ON s.boardable AND {_dist('s.stop_lat', 's.stop_lon', 'c.stop_lat', 'c.stop_lon')} < {radius}
+),
+board_all AS (
+  SELECT n.city_id, st.feed_id, st.trip_id, st.stop_id, st.stop_sequence, st.departure_s, n.feed_kind
+  FROM g_stop_times st JOIN near n ON st.feed_id = n.feed_id AND st.stop_id = n.stop_id
+  WHERE st.departure_s > {hour}
+),
+board AS (
+  SELECT city_id, feed_id, trip_id, stop_id, departure_s FROM (
+    SELECT *, row_number() OVER (PARTITION BY city_id, feed_id, trip_id ORDER BY stop_sequence, departure_s, stop_id) AS rn
+    FROM board_all WHERE feed_kind = 'CALENDAR') x WHERE rn = 1
+  UNION ALL
+  SELECT city_id, feed_id, trip_id, stop_id, departure_s FROM board_all WHERE feed_kind <> 'CALENDAR'
+),
+alight AS (
+  SELECT n.city_id, st.feed_id, st.trip_id, st.stop_id, st.departure_s
+  FROM g_stop_times st JOIN near n ON st.feed_id = n.feed_id AND st.stop_id = n.stop_id
+),
+legs AS (
+  SELECT b.city_id AS dep_city, a.city_id AS arr_city, b.feed_id, b.trip_id, b.stop_id AS stop_id_x,
+         b.departure_s AS departure_s_x, a.stop_id AS stop_id_y, a.departure_s AS departure_s_y
+  FROM board b JOIN alight a ON a.feed_id = b.feed_id AND a.trip_id = b.trip_id
+  WHERE b.departure_s < a.departure_s
+),
+dated AS (
+  SELECT l.*, t.service_id, r.date, f.feed_priority,
+         timezone('UTC', timezone(f.timezone, CAST(r.date AS TIMESTAMP) + to_seconds(l.departure_s_x))) AS dep_time,
+         timezone('UTC', timezone(f.timezone, CAST(r.date AS TIMESTAMP) + to_seconds(l.departure_s_y))) AS arr_time
+  FROM legs l
+  JOIN g_trips t ON t.feed_id = l.feed_id AND t.trip_id = l.trip_id
+  JOIN g_feeds f ON f.feed_id = l.feed_id
+  JOIN run_dates r ON r.feed_id = l.feed_id AND r.service_id = t.service_id
+),
+w3 AS (
+  SELECT * FROM (
+    SELECT d.*, row_number() OVER (PARTITION BY dep_city, arr_city, dep_time
+                                   ORDER BY feed_priority, trip_id, stop_id_x, stop_id_y, arr_time) AS rn3
+    FROM dated d) x
+  WHERE rn3 = 1
+)"""
+    return with_ctes(*CITY_ALL, run_dates_cte(*PERIOD), body, recursive=True) + """
+SELECT dep_city AS dep_city_id, arr_city AS arr_city_id, strftime(date, '%Y-%m-%d') AS date,
+       CAST(count(*) AS BIGINT) AS n_trips, CAST(min(date_diff('second', dep_time, arr_time)) AS BIGINT) AS min_duration_s,
+       strftime(min(dep_time), '%Y-%m-%d %H:%M:%S') AS first_dep_time
+FROM w3 GROUP BY dep_city, arr_city, date"""
+
+
+def feed_freshness_sql(as_of: str) -> str:
+    return with_ctes(f"""
+fdates AS (
+  SELECT c.feed_id, c.end_date AS d FROM g_calendar c JOIN g_feeds f ON f.feed_id = c.feed_id WHERE f.feed_kind = 'CALENDAR'
+  UNION ALL
+  SELECT cd.feed_id, cd.date FROM g_calendar_dates cd JOIN g_feeds f ON f.feed_id = cd.feed_id WHERE f.feed_kind <> 'CALENDAR'
+),
+agg AS (
+  SELECT feed_id, count(*) AS n, avg(CASE WHEN d > {_d(as_of)} THEN 1.0 ELSE 0.0 END) AS share FROM fdates GROUP BY feed_id
+)""") + """
+SELECT f.feed_id, CAST(coalesce(a.n, 0) AS BIGINT) AS n_dates, round(CAST(a.share AS DOUBLE), 6) AS share_future,
+       CAST(a.share IS NULL OR a.share < 0.8 AS BIGINT) AS stale
+FROM g_feeds f LEFT JOIN agg a ON a.feed_id = f.feed_id"""
+
+
+def request_validation_sql() -> str:
+    raw = """
+raw AS (
+  SELECT 'o' || CAST(o.o_orderkey AS VARCHAR) AS query_id, p.lat, p.lon,
+         CASE WHEN o.o_orderkey % 11 = 0 THEN strftime(o.o_orderdate, '%Y/%m/%d %H:%M')
+              ELSE strftime(o.o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS s_raw,
+         strftime(o.o_orderdate + to_days(CAST(o.o_orderkey % 5 - 1 AS INTEGER)), '%Y-%m-%dT%H:%M:%S') AS e_raw
+  FROM orders o JOIN cpoints p ON p.query_id = 'c' || CAST(o.o_custkey AS VARCHAR)
+),
+rpts AS (SELECT query_id, lat, lon FROM raw),
+parsed AS (
+  SELECT query_id, try_strptime(s_raw, '%Y-%m-%dT%H:%M:%S') AS s, try_strptime(e_raw, '%Y-%m-%dT%H:%M:%S') AS e FROM raw
+)"""
+    return with_ctes(*CITY_ALL, customer_points_cte(), raw, snap_cte("rpts", "rsnap"), recursive=True) + """
+SELECT p.query_id, strftime(CAST(p.s AS DATE), '%Y-%m-%d') AS start_date, strftime(CAST(p.e AS DATE), '%Y-%m-%d') AS end_date,
+       CASE WHEN p.s IS NULL OR p.e IS NULL THEN 'bad_time'
+            WHEN p.e < p.s THEN 'end_before_start'
+            WHEN r.city_id IS NULL THEN 'unknown_place' END AS error,
+       r.city_id
+FROM parsed p LEFT JOIN rsnap r ON r.query_id = p.query_id"""
+
+
 SQL = {
     "load_stop_times": with_ctes()
     + """
@@ -397,13 +650,24 @@ SELECT city_id, city_name, round(stop_lat, 6) AS stop_lat, round(stop_lon, 6) AS
        round(max_distance, 6) AS max_distance, CAST(n_stops AS BIGINT) AS n_stops
 FROM cities""",
     "city_center": with_ctes(*CITY_CTES, cluster_cte(), cities_cte(), recursive=True)
-    + """
-SELECT round(CAST(avg(CAST(stop_lat AS DECIMAL(19,15))) AS DOUBLE), 6) AS x,
-       round(CAST(avg(CAST(stop_lon AS DECIMAL(19,15))) AS DOUBLE), 6) AS y
+    + f"""
+SELECT round({exact_mean('stop_lat')}, 6) AS x,
+       round({exact_mean('stop_lon')}, 6) AS y
 FROM (SELECT DISTINCT stop_lat, stop_lon FROM cities) d""",
-    "snap_to_city": with_ctes(*CITY_CTES, cluster_cte(), cities_cte(), customer_points_cte(), SNAP_CTE, recursive=True)
+    "snap_to_city": with_ctes(*CITY_CTES, cluster_cte(), cities_cte(), customer_points_cte(), snap_cte(), recursive=True)
     + """
 SELECT query_id, city_id, city_name, round(lat, 6) AS lat, round(lon, 6) AS lon,
        round(max_distance, 6) AS max_distance, round(distance, 6) AS distance
 FROM snap""",
+    "reachable_cities": reachable_cities_sql(),
+    "reachability_matrix": reachability_matrix_sql(),
+    "search_trips": search_trips_sql(),
+    "present_trips": present_trips_sql("2024-01-20 12:00:00"),
+    "od_frequency": od_frequency_sql(),
+    "feed_freshness": feed_freshness_sql("2024-01-20"),
+    "transports": with_ctes()
+    + """
+SELECT feed_id, CAST(feed_priority AS BIGINT) AS feed_priority FROM g_feeds f
+WHERE EXISTS (SELECT 1 FROM g_trips t WHERE t.feed_id = f.feed_id)""",
+    "request_validation": request_validation_sql(),
 }
