@@ -12,7 +12,7 @@ def _c(x) -> Column:
 
 def parse_yyyymmdd(c) -> Column:
     """GTFS ``YYYYMMDD`` -> DATE; unparsable -> NULL (never an exception)."""
-    return F.try_to_date(F.trim(_c(c).cast("string")), F.lit("yyyyMMdd"))
+    return F.try_to_date(F.trim(_c(c).cast("string")), "yyyyMMdd")
 
 
 def parse_gtfs_clock(c) -> Column:
