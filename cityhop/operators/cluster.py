@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cityhop.functions.geo import EARTH_RADIUS_KM, chord_for_angle, haversine_angle, unit_vector
-from cityhop.session import ensure_checkpoint_dir
+from cityhop.session import ensure_checkpoint_dir, materialize
 
 _OFF = 1 << 19  # cell index offset: indexes in [-OFF, OFF) pack into one long
 _W = 1 << 20
@@ -89,10 +89,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     are singletons and are the caller's to add."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    cur = edges.where(F.col("a") != F.col("b")).select("a", "b").distinct().checkpoint()
+    cur = materialize(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct())
     for _ in range(max_rounds):
-        nxt = _star_round(cur).checkpoint()
-        changed = nxt.join(cur, ["a", "b"], "left_anti").limit(1).count() + cur.join(nxt, ["a", "b"], "left_anti").limit(1).count()
+        nxt = materialize(_star_round(cur))
+        # one job: is any edge only in the old or only in the new set?
+        diff = (
+            nxt.withColumn("_n", F.lit(1))
+            .join(cur.withColumn("_c", F.lit(1)), ["a", "b"], "full_outer")
+            .where(F.col("_n").isNull() | F.col("_c").isNull())
+        )
+        changed = diff.limit(1).count()
         cur = nxt
         if changed == 0:
             break
@@ -124,13 +130,15 @@ def cluster_points(points: DataFrame, eps_km: float = 1.0, min_samples: int = 1)
     if 1.0 / s + 8 >= _OFF:
         raise ValueError("eps too small for the cell packing (needs eps >= ~45 m)")
 
+    ensure_checkpoint_dir(points.sparkSession)
     good = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
     pts = points.select("id", "lat", "lon")
-    locs = pts.where(good).groupBy("lat", "lon").agg(F.min("id").alias("loc_id"))
     x, y, z = unit_vector("lat", "lon")
     idx = [F.floor(c / F.lit(s)).cast("long") + F.lit(_OFF) for c in (x, y, z)]
     cell = (idx[0] * F.lit(_W) + idx[1]) * F.lit(_W) + idx[2]
-    locs = locs.withColumn("cell", cell)
+    # Distinct locations, materialised once: every later step (two
+    # component runs, the pair check) reads this small table, not the input plan.
+    locs = materialize(pts.where(good).groupBy("lat", "lon").agg(F.min("id").alias("loc_id")).withColumn("cell", cell))
     cells = locs.select("cell").distinct()
 
     def neighbour_pairs(offsets):
@@ -160,7 +168,7 @@ def cluster_points(points: DataFrame, eps_km: float = 1.0, min_samples: int = 1)
     )
     comp1 = lab1.select(F.col("c1")).distinct()
     lab2 = _with_labels(comp1, "c1", connected_components(linked), "c2")  # c1 -> c2
-    loc_lab = locs.join(lab1, "cell").join(lab2, "c1").select("lat", "lon", "c2")
+    loc_lab = materialize(locs.join(lab1, "cell").join(lab2, "c1").select("lat", "lon", "c2"))
     labelled = pts.join(loc_lab, ["lat", "lon"], "left")
     cid = labelled.where(F.col("c2").isNotNull()).groupBy("c2").agg(F.min("id").alias("cluster_id"))
     return labelled.join(cid, "c2", "left").select("id", "cluster_id")
@@ -171,7 +179,13 @@ def _cluster_min_samples(points: DataFrame, eps_km: float, min_samples: int) ->
 
 
 def cluster_stops(stops: DataFrame, eps_km: float = 1.0, min_samples: int = 1) -> DataFrame:
-    """O8 on a stop table (stop_id, stop_lat, stop_lon, ...): adds ``city_id``."""
+    """O8 on a stop table (stop_id, stop_lat, stop_lon, ...): adds ``city_id``.
+
+    The stop table (one row per distinct stop of the network) is
+    materialised once: the clustering reads it several times.
+    """
+    ensure_checkpoint_dir(stops.sparkSession)
+    stops = materialize(stops)
     pts = stops.select(F.col("stop_id").alias("id"), F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
     labels = cluster_points(pts, eps_km=eps_km, min_samples=min_samples)
     return stops.join(labels.withColumnRenamed("id", "stop_id").withColumnRenamed("cluster_id", "city_id"), "stop_id", "left")

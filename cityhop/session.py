@@ -55,3 +55,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="cityhop-ckpt-"))
         return sc.getCheckpointDir()
     raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3) before running iterative operators")
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint, computing ``df`` only once.
+
+    A bare ``checkpoint()`` runs the plan twice (once for the action, once
+    for writing the files); persisting first lets the write read the cached
+    blocks.  The result reads the checkpoint files in the shared folder, so it
+    survives the loss of the executors that computed it.
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
