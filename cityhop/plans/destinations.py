@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from cityhop.operators.cities import snap_to_city
 from cityhop.operators.reach import reachable_stops
 from cityhop.operators.spatial import DEFAULT_CELL_DEG, within_radius
+from cityhop.plans.fanout import expand_to_requests
+from cityhop.session import materialize
 
 KEY_COLS = ["city_id", "start_date", "end_date", "transports"]
 OUT_COLS = ["query_id", "city_id", "city_name", "stop_lat", "stop_lon", "max_distance", "transport"]
@@ -58,7 +60,9 @@ def reachable_cities(net, cities: DataFrame, requests: DataFrame, *, cell: float
         snapped.select("query_id", "city_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), "max_distance"),
         "query_id",
     )
-    keyed = req.withColumn("key", F.sha2(F.to_json(F.struct(*KEY_COLS)), 256))
+    # Plan boundaries (keyed requests, per-key answers): each is computed once
+    # and the adaptive planner works on shallow plans.
+    keyed = materialize(req.withColumn("key", F.sha2(F.to_json(F.struct(*KEY_COLS)), 256)))
     places = keyed.select(
         F.col("key").alias("query_id"),
         F.col("c_lat").alias("lat"),
@@ -71,7 +75,8 @@ def reachable_cities(net, cities: DataFrame, requests: DataFrame, *, cell: float
     dest = reachable_stops(net, places, cell=cell).select(F.col("query_id").alias("key"), "feed_id", "stop_lat", "stop_lon")
     matched = match_cities(net, cities, dest, cell=cell)
     info = cities.select("city_id", "city_name", "stop_lat", "stop_lon", "max_distance")
-    return keyed.select("query_id", "key").join(matched, "key").join(info, "city_id").select(*OUT_COLS)
+    answers = materialize(matched.join(info, "city_id"))
+    return expand_to_requests(keyed.select("query_id", "key"), answers).select(*OUT_COLS)
 
 
 def reachability_matrix(net, cities: DataFrame, start_date, end_date, transports=None, *, cell=DEFAULT_CELL_DEG) -> DataFrame:

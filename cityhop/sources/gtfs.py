@@ -166,15 +166,10 @@ def load_feeds(spark: SparkSession, specs: list[FeedSpec]) -> Network:
 
 
 def write_network(net: Network, out_dir: str, mode: str = "overwrite") -> None:
-    """Persist every table as Parquet partitioned by feed_id.
-
-    stop_times is clustered by (feed_id, trip_id) inside each file so the
-    trip-keyed joins read sorted runs.
-    """
+    """Persist every table as Parquet partitioned by feed_id (a feed
+    filter then prunes whole directories)."""
     for name in TABLES:
         df = getattr(net, name)
-        if name == "stop_times":
-            df = df.repartition("feed_id", "trip_id").sortWithinPartitions("feed_id", "trip_id", "stop_sequence")
         writer = df.write.mode(mode)
         if name != "feeds":
             writer = writer.partitionBy("feed_id")
@@ -187,9 +182,10 @@ def read_network(spark: SparkSession, in_dir: str) -> Network:
     base = in_dir.rstrip("/")
     frames = {}
     for name in TABLES:
-        df = spark.read.parquet(f"{base}/{name}")
         target = getattr(schema, name.upper())
-        frames[name] = df.select(*[F.col(f.name).cast(f.dataType) for f in target.fields])
+        # explicit schema: partition values such as "001" stay strings
+        df = spark.read.schema(target).parquet(f"{base}/{name}")
+        frames[name] = df.select(*[F.col(f.name) for f in target.fields])
     return Network(**frames)
 
 
