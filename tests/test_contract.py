@@ -11,7 +11,7 @@ SMOKE = "/root/testdata/sf0.001"
 
 def test_oracle_keys_are_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) >= 29
+    assert len(entry.queries()) >= 26
 
 
 @pytest.mark.skipif(not os.path.isdir(SMOKE), reason="benchmark tables not present")
