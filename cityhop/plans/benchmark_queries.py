@@ -51,7 +51,13 @@ def ingest(spark: SparkSession, sf: str):
 
 
 def _net(spark: SparkSession, sf: str):
-    """The ingested network, built once per application and data set."""
+    """The ingested network, built once per application and data set.
+
+    The engine builds instants with to_utc_timestamp / from_utc_timestamp and
+    prints them in the session zone, so the session zone is pinned to UTC.
+    """
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     key = (spark.sparkContext.applicationId, sf)
     if key not in _NETWORKS:
         _NETWORKS[key] = ingest(spark, sf)
