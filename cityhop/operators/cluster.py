@@ -124,11 +124,7 @@ def cluster_points(points: DataFrame, eps_km: float = 1.0, min_samples: int = 1)
     """
     if min_samples != 1:
         return _cluster_min_samples(points, eps_km, min_samples)
-    eps = eps_km / EARTH_RADIUS_KM
-    chord = chord_for_angle(min(eps, math.pi))
-    s = chord / (2.0 * math.sqrt(3.0)) * (1.0 - 1e-9)
-    if 1.0 / s + 8 >= _OFF:
-        raise ValueError("eps too small for the cell packing (needs eps >= ~45 m)")
+    eps, s = _geometry(eps_km)
 
     ensure_checkpoint_dir(points.sparkSession)
     good = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
@@ -174,8 +170,100 @@ def cluster_points(points: DataFrame, eps_km: float = 1.0, min_samples: int = 1)
     return labelled.join(cid, "c2", "left").select("id", "cluster_id")
 
 
+def _geometry(eps_km: float):
+    eps = eps_km / EARTH_RADIUS_KM
+    chord = chord_for_angle(min(eps, math.pi))
+    s = chord / (2.0 * math.sqrt(3.0)) * (1.0 - 1e-9)
+    if 1.0 / s + 8 >= _OFF:
+        raise ValueError("eps too small for the cell packing (needs eps >= ~45 m)")
+    return eps, s
+
+
+def _both_ways(offsets):
+    return list(offsets) + [tuple(-x for x in d) for d in offsets]
+
+
 def _cluster_min_samples(points: DataFrame, eps_km: float, min_samples: int) -> DataFrame:
-    raise NotImplementedError("min_samples > 1 is not supported yet; the city build uses min_samples=1")
+    """Density clustering with ``min_samples > 1``.
+
+    A point is *core* when at least ``min_samples`` points (itself and
+    duplicates included) lie within eps.  Clusters are the connected
+    components of core points; a non-core point within eps of a core point
+    is a *border* point and joins the smallest cluster id among its core
+    neighbours; other points are noise (cluster_id NULL).  Cluster id = the
+    smallest core point id of the cluster.
+
+    Counts use the same cells: a location's own cell and its 32 "farthest
+    corner within eps" cells contribute their whole multiplicity without any
+    comparison; only the candidate cells are compared location by location.
+    """
+    eps, s = _geometry(eps_km)
+    spark = points.sparkSession
+    ensure_checkpoint_dir(spark)
+    good = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
+    pts = points.select("id", "lat", "lon")
+    x, y, z = unit_vector("lat", "lon")
+    idx = [F.floor(c / F.lit(s)).cast("long") + F.lit(_OFF) for c in (x, y, z)]
+    cell = (idx[0] * F.lit(_W) + idx[1]) * F.lit(_W) + idx[2]
+    locs = materialize(
+        pts.where(good).groupBy("lat", "lon").agg(F.min("id").alias("loc_id"), F.count("*").alias("mult")).withColumn("cell", cell)
+    )
+    cell_mult = locs.groupBy("cell").agg(F.sum("mult").alias("cm"))
+
+    def cell_pairs(cells: DataFrame, offsets):
+        deltas = F.array(*[F.lit(_delta(d)).cast("long") for d in offsets])
+        probe = cells.select(F.col("cell").alias("a"), F.explode(deltas).alias("_d")).select("a", (F.col("a") + F.col("_d")).alias("b"))
+        return probe.join(cells.select(F.col("cell").alias("b")), "b").select("a", "b")
+
+    cells = cell_mult.select("cell")
+    auto_all = cell_pairs(cells, _both_ways(AUTO_OFFSETS))
+    auto_mult = auto_all.join(cell_mult.withColumnRenamed("cell", "b"), "b").groupBy("a").agg(F.sum("cm").alias("am"))
+    cand_cells = cell_pairs(cells, _both_ways(CANDIDATE_OFFSETS))
+    la = locs.select(F.col("cell").alias("a"), F.col("loc_id").alias("p"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
+    lb = locs.select(F.col("cell").alias("b"), F.col("loc_id").alias("q"), "mult", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    near_pairs = materialize(
+        cand_cells.join(la, "a").join(lb, "b").where(haversine_angle("lat_a", "lon_a", "lat_b", "lon_b") <= F.lit(eps)).select("p", "q", "mult")
+    )
+    pair_mult = near_pairs.groupBy("p").agg(F.sum("mult").alias("pm"))
+    counted = (
+        locs.join(cell_mult, "cell")
+        .join(auto_mult.withColumnRenamed("a", "cell"), "cell", "left")
+        .join(pair_mult.withColumnRenamed("p", "loc_id"), "loc_id", "left")
+        .withColumn("n", F.col("cm") + F.coalesce(F.col("am"), F.lit(0)) + F.coalesce(F.col("pm"), F.lit(0)))
+        .withColumn("core", F.col("n") >= F.lit(int(min_samples)))
+    )
+    counted = materialize(counted.select("loc_id", "lat", "lon", "cell", "core"))
+    core = counted.where("core")
+    core_cells = core.select("cell").distinct()
+    edges = cell_pairs(core_cells, AUTO_OFFSETS)
+    core_ids = core.select("loc_id", "cell")
+    pair_edges = (
+        near_pairs.join(core_ids.withColumnRenamed("loc_id", "p").withColumnRenamed("cell", "a"), "p")
+        .join(core_ids.withColumnRenamed("loc_id", "q").withColumnRenamed("cell", "b"), "q")
+        .select("a", "b")
+    )
+    labels = _with_labels(core_cells, "cell", connected_components(edges.unionByName(pair_edges)), "comp")
+    core_pts = pts.join(core.select("lat", "lon", "cell"), ["lat", "lon"]).join(labels, "cell")
+    comp_id = core_pts.groupBy("comp").agg(F.min("id").alias("cluster_id"))
+    core_loc_cluster = core.join(labels, "cell").join(comp_id, "comp").select("loc_id", "cell", "cluster_id")
+    # border: a non-core location next to a core one (same cell, an auto cell, or a checked pair)
+    border = counted.where(~F.col("core")).select("loc_id", "cell")
+    cell_cluster = core_loc_cluster.groupBy("cell").agg(F.min("cluster_id").alias("cc"))
+    same = border.join(cell_cluster, "cell").select("loc_id", F.col("cc").alias("cluster_id"))
+    via_auto = (
+        border.join(auto_all.withColumnRenamed("a", "cell"), "cell")
+        .join(cell_cluster.withColumnRenamed("cell", "b"), "b")
+        .select("loc_id", F.col("cc").alias("cluster_id"))
+    )
+    via_pair = (
+        near_pairs.join(border.select(F.col("loc_id").alias("p")), "p")
+        .join(core_loc_cluster.select(F.col("loc_id").alias("q"), "cluster_id"), "q")
+        .select(F.col("p").alias("loc_id"), "cluster_id")
+    )
+    border_cluster = same.unionByName(via_auto).unionByName(via_pair).groupBy("loc_id").agg(F.min("cluster_id").alias("cluster_id"))
+    loc_cluster = core_loc_cluster.select("loc_id", "cluster_id").unionByName(border_cluster)
+    loc_of = counted.select("lat", "lon", "loc_id")
+    return pts.join(loc_of, ["lat", "lon"], "left").join(loc_cluster, "loc_id", "left").select("id", "cluster_id")
 
 
 def cluster_stops(stops: DataFrame, eps_km: float = 1.0, min_samples: int = 1) -> DataFrame:

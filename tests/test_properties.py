@@ -129,3 +129,51 @@ def test_clock_parsing_and_local_time(spark):
     df = spark.createDataFrame([(dt.date(2024, 3, 31), 2 * 3600 + 1800), (dt.date(2024, 1, 1), 25 * 3600)], "d date, s int")
     inst = df.select(F.date_format(wall_clock_to_instant(local_wall_clock("d", "s"), F.lit("Europe/Paris")), "yyyy-MM-dd HH:mm").alias("u"))
     assert [r.u for r in inst.collect()] == ["2024-03-31 01:30", "2024-01-02 00:00"]
+
+
+def _brute_dbscan(points, eps_km, min_samples):
+    ids = sorted(points)
+    eps = eps_km / 6371.0
+    nb = {i: [j for j in ids if _hav(points[i], points[j]) <= eps] for i in ids}
+    core = {i for i in ids if len(nb[i]) >= min_samples}
+    parent = {i: i for i in core}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in core:
+        for j in nb[i]:
+            if j in core:
+                ri, rj = find(i), find(j)
+                if ri != rj:
+                    parent[max(ri, rj)] = min(ri, rj)
+    cid = {}
+    for i in core:
+        cid.setdefault(find(i), []).append(i)
+    label = {i: min(m) for m in cid.values() for i in m}
+    out = {}
+    for i in ids:
+        if i in core:
+            out[i] = label[i]
+        else:
+            cs = [label[j] for j in nb[i] if j in core]
+            out[i] = min(cs) if cs else None
+    return out
+
+
+def test_cluster_min_samples_matches_brute_force(spark):
+    rnd = random.Random(11)
+    pts = {}
+    k = 0
+    for c in [(45.0, 2.0), (0.0, 179.95), (70.0, -20.0)]:
+        for _ in range(40):
+            pts[f"p{k:03d}"] = (c[0] + rnd.uniform(-0.3, 0.3), c[1] + rnd.uniform(-0.3, 0.3))
+            k += 1
+    pts["dupA"] = pts["p005"]
+    pts["dupB"] = pts["p005"]
+    df = spark.createDataFrame([(i, la, lo) for i, (la, lo) in pts.items()], "id string, lat double, lon double")
+    for ms in (3, 5):
+        got = {r.id: r.cluster_id for r in cluster_points(df, eps_km=10.0, min_samples=ms).collect()}
+        assert got == _brute_dbscan(pts, 10.0, ms), ms
