@@ -72,7 +72,9 @@ def reachable_cities(net, cities: DataFrame, requests: DataFrame, *, cell: float
         "end_date",
         "transports",
     ).distinct()
-    dest = reachable_stops(net, places, cell=cell).select(F.col("query_id").alias("key"), "feed_id", "stop_lat", "stop_lon")
+    dest = materialize(
+        reachable_stops(net, places, cell=cell).select(F.col("query_id").alias("key"), "feed_id", "stop_lat", "stop_lon")
+    )
     matched = match_cities(net, cities, dest, cell=cell)
     info = cities.select("city_id", "city_name", "stop_lat", "stop_lon", "max_distance")
     answers = materialize(matched.join(info, "city_id"))
