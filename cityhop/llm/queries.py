@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from cityhop.llm.chat import expand, read_back
 from cityhop.llm.exact_stream import exact_duplicates
+from cityhop.llm.fingerprint import with_next
+from cityhop.llm.mixing import mix
 from cityhop.llm.near_dedup import near_duplicates
 from cityhop.llm.packing import pack
 from cityhop.llm.scratch import importable
+from cityhop.llm.url_filter import filter_urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,10 +23,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mix(_table(spark, sf_dir, "documents"))
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
+    return drawn.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.transform("copies", lambda c: c["shard"]).alias("shards"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(_table(spark, sf_dir, "documents"), TOKENIZER)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -36,14 +49,21 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(expand(turns.unionByName(own.withColumn("text", F.lit(said)))))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_next(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(spark, f"{sf_dir}/documents.parquet")
 
 
 QUERIES = {
+    "op2_source_mixing": op2_source_mixing,
     "op3_near_dedup": op3_near_dedup,
+    "op4_url_filter": op4_url_filter,
     "op5_harmonic_packing": op5_harmonic_packing,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_fingerprints": op7_fingerprints,
     "op8_exact_dedup": op8_exact_dedup,
 }
 SQL: dict[str, str] = {
