@@ -24,7 +24,11 @@ from cityhop.session import ensure_checkpoint_dir
 
 #: Hit digests (64 characters and three longs) up to which they are broadcast; they are counted first.
 BROADCAST_ROWS = 50_000
-STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without preallocated logs, since every shuffle partition has a store of its own.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -56,14 +60,15 @@ def run_stream(
         F.struct(F.col(id_col).alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("kept"),
     )
     kept = rows.groupBy("digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, STATE)
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         query = kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     state = spark.read.format("statestore").load(checkpoint)
     held = state.schema["value"].dataType
     top = next(f.name for f in held if f.dataType.typeName() == "struct")
