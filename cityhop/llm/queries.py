@@ -13,6 +13,7 @@ from cityhop.llm.mixing import mix
 from cityhop.llm.near_dedup import near_duplicates
 from cityhop.llm.packing import pack
 from cityhop.llm.scratch import importable
+from cityhop.llm.toxicity import fit, held_out, score
 from cityhop.llm.url_filter import filter_urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +24,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mix(_table(spark, sf_dir, "documents"))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
@@ -58,6 +65,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_source_mixing": op2_source_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op4_url_filter": op4_url_filter,
