@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from cityhop.llm.chat import expand, read_back
 from cityhop.llm.exact_stream import exact_duplicates
 from cityhop.llm.fingerprint import with_next
+from cityhop.llm.line_dedup import dedup_lines
 from cityhop.llm.mixing import mix
 from cityhop.llm.near_dedup import near_duplicates
 from cityhop.llm.packing import pack
+from cityhop.llm.pii import pseudonymise
 from cityhop.llm.scratch import importable
 from cityhop.llm.toxicity import fit, held_out, score
 from cityhop.llm.url_filter import filter_urls
@@ -64,6 +66,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(spark, f"{sf_dir}/documents.parquet")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with pseudonyms; in production the key is a secret of the caller's."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, key=b"a fixed key, so that reruns agree")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_source_mixing": op2_source_mixing,
@@ -73,6 +85,8 @@ QUERIES = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_fingerprints": op7_fingerprints,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_pii": op9_pii,
+    "op10_line_dedup": op10_line_dedup,
 }
 SQL: dict[str, str] = {
     "op8_exact_dedup": """
