@@ -33,19 +33,44 @@ def local_wall_clock(date_col, seconds_col) -> Column:
     )
 
 
+_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def _clock_seconds(ts_ntz: Column) -> Column:
+    """Seconds of a wall clock since 1970-01-01 00:00:00 (``timestampdiff`` would go by the session zone)."""
+    days = F.datediff(ts_ntz.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86400 + F.hour(ts_ntz) * 3600 + F.minute(ts_ntz) * 60 + F.second(ts_ntz)
+
+
 def wall_clock_to_instant(ts_ntz, zone) -> Column:
-    """Local wall clock in ``zone`` -> instant (TIMESTAMP). Session zone is UTC."""
-    return F.to_utc_timestamp(_c(ts_ntz).cast("timestamp"), _c(zone))
+    """Local wall clock in ``zone`` -> instant (TIMESTAMP), whatever the session zone.
+
+    A clock time that a zone skips moves on by the gap; of a repeated one the first is meant.
+    """
+    utc = F.convert_timezone(_c(zone), F.lit("UTC"), _c(ts_ntz))
+    return F.timestamp_seconds(_clock_seconds(utc))
 
 
 def instant_to_local(ts, zone) -> Column:
-    """Instant -> wall clock in ``zone``."""
-    return F.from_utc_timestamp(_c(ts), _c(zone))
+    """Instant -> wall clock (TIMESTAMP_NTZ) in ``zone``, whatever the session zone."""
+    utc = F.timestamp_add("SECOND", F.unix_timestamp(_c(ts)), F.expr(_EPOCH))
+    return F.convert_timezone(F.lit("UTC"), _c(zone), utc)
 
 
 def utc_offset_seconds(ts, zone) -> Column:
     """Offset of ``zone`` from UTC at instant ``ts``, in seconds."""
-    return F.unix_timestamp(instant_to_local(ts, zone)) - F.unix_timestamp(_c(ts))
+    return _clock_seconds(instant_to_local(ts, zone)) - F.unix_timestamp(_c(ts))
+
+
+def clock_text(ts_ntz) -> Column:
+    """``HHhMM`` of a wall clock."""
+    return F.format_string("%02dh%02d", F.hour(_c(ts_ntz)), F.minute(_c(ts_ntz)))
+
+
+def day_text(ts_ntz) -> Column:
+    """``dd-MM`` of a wall clock."""
+    day = _c(ts_ntz).cast("date")
+    return F.format_string("%02d-%02d", F.dayofmonth(day), F.month(day))
 
 
 def hour_floor_seconds(seconds) -> Column:
@@ -53,10 +78,6 @@ def hour_floor_seconds(seconds) -> Column:
     return (F.floor(_c(seconds) / 3600) * 3600).cast("int")
 
 
-def iso_instant(ts) -> Column:
-    return F.date_format(_c(ts), "yyyy-MM-dd HH:mm:ss")
-
-
 def parse_iso_request_time(c) -> Column:
     """Request time ``yyyy-MM-ddTHH:mm:ss``; NULL when malformed."""
     return F.try_to_timestamp(_c(c), F.lit("yyyy-MM-dd'T'HH:mm:ss"))

@@ -7,6 +7,8 @@ uses semi/anti joins, cross joins where Spark uses grid joins.
 
 from __future__ import annotations
 
+import re
+
 from cityhop.functions.text import NOISE_WORDS
 from cityhop.plans.benchmark_queries import ARRIVAL_OFFSETS, CITY_EPS_KM, MIN_DEPARTURE_S, PERIOD, PLACE_RADIUS, WEEK
 from cityhop.sources.testbind_sql import PLACE_LAT, PLACE_LON, weekday_bit, with_ctes
@@ -671,3 +673,11 @@ SELECT feed_id, CAST(feed_priority AS BIGINT) AS feed_priority FROM g_feeds f
 WHERE EXISTS (SELECT 1 FROM g_trips t WHERE t.feed_id = f.feed_id)""",
     "request_validation": request_validation_sql(),
 }
+
+
+def _materialized(sql: str) -> str:
+    """Shared CTEs evaluated once: DuckDB would otherwise inline each reference and never finish the deep ones."""
+    return re.sub(r"(?m)(^|,\s|WITH\s)(\w+) AS \((?=\s*SELECT)", r"\1\2 AS MATERIALIZED (", sql)
+
+
+SQL = {name: sql if "RECURSIVE" in sql else _materialized(sql) for name, sql in SQL.items()}

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cityhop.functions.timefmt import instant_to_local
+
 
 def tidy(df: DataFrame) -> DataFrame:
     cols = []
@@ -18,8 +20,10 @@ def tidy(df: DataFrame) -> DataFrame:
         t = f.dataType
         if isinstance(t, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        elif isinstance(t, T.TimestampType):
+            c = instant_to_local(c, F.lit("UTC")).cast("string")
+        elif isinstance(t, T.TimestampNTZType):
+            c = c.cast("string")
         elif isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             c = c.cast("bigint")
         elif isinstance(t, T.BooleanType):

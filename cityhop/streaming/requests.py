@@ -23,7 +23,8 @@ def serve(requests_stream: DataFrame, answer, sink_path: str, checkpoint_locatio
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        answer(batch).write.mode("append").parquet(sink_path)
+        # a retried micro-batch overwrites its own folder, so its answers are not written twice
+        answer(batch).write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/batch_id={batch_id}")
 
     w = requests_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_location)
     if trigger:

@@ -55,4 +55,4 @@ def dates_net(spark):
 @pytest.fixture(scope="session")
 def station_net(spark):
     # the station kind is declared, not inferred from the feed name
-    return _load(spark, "station_feed", "SNCF", "STATION")
+    return _load(spark, "station_feed", "RAIL", "STATION")
