@@ -160,7 +160,7 @@ def _date(value: str, walk) -> str | None:
 
 def _ip(value: str, walk) -> str | None:
     parts = [int(p) for p in value.split(".")]
-    if max(parts) > 255:
+    if max(parts) > 255 or ".".join(map(str, parts)) != value:
         return None
     x = walk("ip", 1 << 32, int.from_bytes(bytes(parts), "big"))
     return ".".join(map(str, x.to_bytes(4, "big")))
