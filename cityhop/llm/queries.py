@@ -89,6 +89,31 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 SQL: dict[str, str] = {
+    "op3_near_dedup": r"""
+        WITH RECURSIVE w AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+            FROM w
+        ), n AS MATERIALIZED (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), p AS MATERIALIZED (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), l AS MATERIALIZED (
+            SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)
+        ), e AS MATERIALIZED (
+            SELECT x, y FROM l UNION SELECT y, x FROM l
+        ), r(x, y) AS (
+            SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y
+        ), m AS (
+            SELECT x, min(y) AS low FROM r GROUP BY x
+        )
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id,
+               d.doc_id = least(d.doc_id, coalesce(m.low, d.doc_id)) AS kept
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
