@@ -73,7 +73,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.withColumn("removed", F.array_join("removed", ","))
 
 
 QUERIES = {
@@ -114,6 +115,38 @@ SQL: dict[str, str] = {
                d.doc_id = least(d.doc_id, coalesce(m.low, d.doc_id)) AS kept
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id
     """,
+    "op10_line_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents
+        ), lines AS MATERIALIZED (
+            SELECT doc_id, k, list_sort(list_distinct(regexp_extract_all(
+                       translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS ws
+            FROM (SELECT doc_id, unnest(range(len(ls))) AS k, unnest(ls) AS line FROM split)
+        ), ordered AS MATERIALIZED (
+            SELECT doc_id, k, ws, len(ws) AS n, row_number() OVER (ORDER BY doc_id, k) AS o,
+                   row_number() OVER (PARTITION BY ws ORDER BY doc_id, k) AS nth
+            FROM lines WHERE len(ws) > 0
+        ), f AS MATERIALIZED (
+            SELECT o, n, ws FROM ordered WHERE nth = 1
+        ), t AS (
+            SELECT o, n, unnest(ws) AS w FROM f
+        ), r AS MATERIALIZED (
+            SELECT o, n, w FROM (SELECT o, n, t.w, row_number() OVER (PARTITION BY o ORDER BY df, t.w) AS place
+                                 FROM t JOIN (SELECT w, count(*) AS df FROM t GROUP BY w) c ON c.w = t.w)
+            WHERE place <= n - (80 * n + 99) // 100 + 1
+        ), c AS MATERIALIZED (
+            SELECT DISTINCT a.o AS later, b.o AS earlier FROM r a JOIN r b ON a.w = b.w AND b.o < a.o
+            WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+        ), v AS (
+            SELECT later, x.n + y.n AS total, len(list_intersect(x.ws, y.ws)) AS i FROM c JOIN f x ON x.o = later JOIN f y ON y.o = earlier
+        ), gone AS MATERIALIZED (
+            SELECT doc_id, list(k ORDER BY k) AS ks FROM ordered
+            WHERE nth > 1 OR o IN (SELECT later FROM v WHERE 100 * i >= 80 * (total - i)) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CASE WHEN ks IS NULL THEN d.text ELSE coalesce(array_to_string([ls[k + 1] FOR k IN range(len(ls)) IF NOT list_contains(ks, k)], chr(10)), '') END AS text,
+               CAST(coalesce(len(ls), 1) AS INTEGER) AS n_lines, coalesce(array_to_string(ks, ','), '') AS removed
+        FROM documents d JOIN split s ON s.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = d.doc_id
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
