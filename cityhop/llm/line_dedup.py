@@ -25,13 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cityhop.llm.scratch import fresh, written
 from cityhop.llm.words import chunks, mix, word_hashes
 
-BUCKETS, PARTS = 1 << 20, 64
+BUCKETS, PARTS = 1 << 20, 512
 #: Candidates of a line in a word group that are verified first.
 NEAREST = 4
 #: Lines of a word group that one task compares.
@@ -57,15 +59,21 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"part": range(PARTS), "counts": [total[k * size : (k + 1) * size].tobytes() for k in range(PARTS)]})
 
 
-def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(c, np.int64) for c in pdf["counts"])
-    level = np.minimum(255, np.floor(8 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
-    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "levels": [level.tobytes()]})
+def _sum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total: dict[int, np.ndarray] = {}
+    for pdf in batches:
+        for part, counts in zip(pdf["part"], pdf["counts"]):
+            x = np.frombuffer(counts, np.int64)
+            total[part] = total[part] + x if part in total else x
+    for part, x in total.items():
+        level = np.minimum(255, np.floor(8 * np.log2(np.maximum(x, 1)))).astype(np.uint8)
+        yield pd.DataFrame({"part": [part], "levels": [level.tobytes()]})
 
 
 def word_levels(docs: DataFrame) -> np.ndarray:
     """Logarithm of the corpus count of each bucket's words, one byte a bucket."""
-    parts = docs.select("text").mapInPandas(_count, "part int, counts binary").groupBy("part").applyInPandas(_sum, "part int, levels binary")
+    counts = docs.select("text").mapInPandas(_count, "part int, counts binary")
+    parts = counts.repartition("part").mapInPandas(_sum, "part int, levels binary")
     out = np.zeros(BUCKETS, np.uint8)
     size = BUCKETS // PARTS
     for r in parts.collect():  # 1 MB in all
@@ -132,58 +140,72 @@ def _describe(levels_value, percent: int):
     return run
 
 
-def _by_word(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        count = pdf["prefix"].map(len).to_numpy() // 8
-        row = np.repeat(np.arange(len(pdf)), count)
-        word = np.frombuffer(b"".join(pdf["prefix"]), np.int64)
-        place = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count) + pdf["skip"].to_numpy()[row]
-        columns = {c: pdf[c].to_numpy()[row] for c in ("doc", "uid", "n", "b1", "b2", *(["probe"] if "probe" in pdf else []))}
-        yield pd.DataFrame({"word": word, "place": place, **columns})
+def _by_word(asked: np.ndarray | None = None):
+    """A row for each word of a line's prefix, or for those that are asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            prefix = rows.column("prefix")
+            count = pc.binary_length(prefix).to_numpy(zero_copy_only=False) // 8
+            row = np.repeat(np.arange(len(count)), count)
+            word = np.frombuffer(b"".join(prefix.to_pylist()), np.int64)
+            place = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count) + rows.column("skip").to_numpy()[row]
+            if asked is not None:
+                some = np.isin(word, asked)
+                word, place, row = word[some], place[some], row[some]
+            rest = [c for c in rows.schema.names if c not in ("prefix", "skip")]
+            columns = [pa.array(rows.column(c).to_numpy(zero_copy_only=False)[row]) for c in rest]
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(place), *columns], ["word", "place", *rest])
+
+    return run
 
 
 _COLUMNS = ["word", "block", "doc", "uid", "n", "place", "b1", "b2", "side"]
 
 
-def _fits(x: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether rows i and j may match, and how far apart their bitmaps are."""
-    ni, nj = x[i, 4], x[j, 4]
+def _fits(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether rows i and j, of fitting lengths, may match, and how far apart their bitmaps are."""
+    ni, nj = x["n"][i], x["n"][j]
     need = -((-percent * (ni + nj)) // (100 + percent))  # least intersection
-    unlike = (x[i, 6:8] ^ x[j, 6:8]).view(np.uint64)
-    apart = np.bitwise_count(unlike).sum(axis=1, dtype=np.int64)
-    ok = (100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj)) & (np.minimum(ni - x[i, 5], nj - x[j, 5]) >= need)
-    ok &= ni + nj - apart >= 2 * need
-    return ok, apart
+    some = np.flatnonzero(np.minimum(ni - x["place"][i], nj - x["place"][j]) >= need)
+    i, j = i[some], j[some]
+    apart = np.bitwise_count(x["b1"][i] ^ x["b1"][j]).astype(np.int64) + np.bitwise_count(x["b2"][i] ^ x["b2"][j])
+    near = (ni + nj - 2 * need)[some] >= apart
+    return some[near], apart[near]
 
 
 def _meet(percent: int, nearest: int | None, limit: int):
-    """Over rows sorted by word (and block): candidate pairs (later, earlier), and rows of word groups above ``limit``."""
+    """Over rows sorted by word (and block) and length: candidate pairs (later, earlier), and rows of word groups above ``limit``."""
 
     def pairs(x: np.ndarray) -> list[np.ndarray]:
         """Candidates in complete groups: later row, earlier row, distance."""
         found = []
+        c = {name: np.ascontiguousarray(x[:, k]) for k, name in enumerate(_COLUMNS)}
+        c["b1"], c["b2"] = c["b1"].view(np.uint64), c["b2"].view(np.uint64)
         same = np.flatnonzero(np.any(x[1:, :2] != x[:-1, :2], axis=1)) + 1
         end = np.repeat(np.concatenate([same, [len(x)]]), np.diff(np.concatenate([[0], same, [len(x)]])))
         step, i = 1, np.arange(len(x))
-        while True:
+        while len(i):
+            # rows of a word are in order of their length: past one that is too long, all are
             i = i[i + step < end[i]]
-            if not len(i):
-                break
+            i = i[100 * c["n"][i] >= percent * c["n"][i + step]]
             for part in np.array_split(i, 1 + len(i) // 500_000):
-                j = part + step
-                ok, apart = _fits(x, part, j, percent)
+                some, apart = _fits(c, part, part + step, percent)
+                a, b = part[some], part[some] + step
                 # side 0: any pair; 1 and 2: a pair of blocks; 3: a line that is looked for, 4: one of the others
-                s, r = x[part, 8], x[j, 8]
-                ok &= (s == 0) | ((s != r) & (s < 3)) | (s == 3) | (r == 3)
-                a, b = part[ok], j[ok]
-                swap = (x[a, 2] < x[b, 2]) | ((x[a, 2] == x[b, 2]) & (x[a, 3] < x[b, 3]))
+                s, r = c["side"][a], c["side"][b]
+                swap = (c["doc"][a] < c["doc"][b]) | ((c["doc"][a] == c["doc"][b]) & (c["uid"][a] < c["uid"][b]))
                 later, earlier = np.where(swap, b, a), np.where(swap, a, b)
-                fine = x[later, 8] != 4
-                found.append(np.stack([later[fine], earlier[fine], apart[ok][fine]], axis=1))
+                fine = ((s == 0) | ((s != r) & (s < 3)) | (s == 3) | (r == 3)) & (c["side"][later] != 4)
+                found.append(np.stack([later[fine], earlier[fine], apart[fine]], axis=1))
             step += 1
         return found
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in met(batches):
+            yield pa.RecordBatch.from_pandas(pdf[[f.split()[0] for f in _MET.split(", ")]], preserve_index=False)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
         rows, large = 0, None
 
@@ -209,8 +231,25 @@ def _meet(percent: int, nearest: int | None, limit: int):
             out = pd.DataFrame({"doc": x[:, 2], "uid": x[:, 3], "to_doc": 0, "to_uid": 0, "open": False, "word": x[:, 0], "large": True})
             return out
 
-        for pdf in batches:
-            x = np.ascontiguousarray(pdf[_COLUMNS].to_numpy(np.int64))
+        def finish(x: np.ndarray) -> Iterator[pd.DataFrame]:
+            """Complete groups: the large ones as they are, of the others the candidates."""
+            if limit and len(x):
+                _, inverse, count = np.unique(x[:, 0], return_inverse=True, return_counts=True)
+                big = count[inverse] > limit
+                if big.any():
+                    yield spill(x[big])
+                    x = x[~big]
+            if len(x):
+                out = settle(x)
+                if out is not None:
+                    yield out
+
+        for table in batches:
+            names = table.schema.names
+            x = np.zeros((table.num_rows, len(_COLUMNS)), np.int64)
+            for k, name in enumerate(_COLUMNS):
+                if name in names:
+                    x[:, k] = table.column(name).to_numpy()
             if not len(x):
                 continue
             if large is not None:
@@ -228,50 +267,40 @@ def _meet(percent: int, nearest: int | None, limit: int):
             x = np.concatenate(held)
             tail = np.all(x[:, :2] == x[-1, :2], axis=1)
             done, rest = x[~tail], x[tail]
-            if len(done):
-                out = settle(done)
-                if out is not None:
-                    yield out
+            yield from finish(done)
             if limit and len(rest) > limit:
                 yield spill(rest)
                 large, held, rows = rest[-1, :2].copy(), [], 0
             else:
                 held, rows = [rest], len(rest)
         if rows:
-            x = np.concatenate(held)
-            if limit:
-                word, inverse, count = np.unique(x[:, 0], return_inverse=True, return_counts=True)
-                big = count[inverse] > limit
-                if big.any():
-                    yield spill(x[big])
-                x = x[~big]
-            if len(x):
-                out = settle(x)
-                if out is not None:
-                    yield out
+            yield from finish(np.concatenate(held))
 
     return run
 
 
 _MET = "doc long, uid long, to_doc long, to_uid long, open boolean, word long, large boolean"
 _WORDS = "word long, place long, doc long, uid long, n long, b1 long, b2 long"
+#: Words that are looked for and go to the tasks as a list, when they were counted to be no more.
+ASKED = 100_000
 
 
 def _candidates(words: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """Candidate pairs of lines that meet by a word; ``words`` has side 0, or 3 for lines looked for and 4 for the others."""
-    one = words.withColumn("block", F.lit(0)).select(*_COLUMNS)
-    met = written(one.repartition("word").sortWithinPartitions("word").mapInPandas(_meet(percent, nearest, GROUP), _MET))
+    """Candidate pairs of lines that meet by a word; with ``side``, 3 is a line looked for and 4 one of the others."""
+    met = written(words.repartition("word").sortWithinPartitions("word", "n").mapInArrow(_meet(percent, nearest, GROUP), _MET))
     pairs = met.where("not large").drop("word", "large")
     large = met.where("large").select("word", "doc", "uid")
     if large.isEmpty():
         return pairs
     sizes = large.groupBy("word").agg(F.ceil(F.count(F.lit(1)) * 2 / GROUP).cast("int").alias("blocks"))
+    if "side" not in words.columns:
+        words = words.withColumn("side", F.lit(0))
     rows = words.join(sizes, "word").withColumn("mine", F.pmod(F.xxhash64("doc", "uid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("*", other).withColumn("block", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other"))
     side = F.when(F.col("side") > 0, F.col("side")).when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
     rows = rows.withColumn("side", side).select(*_COLUMNS)
-    more = rows.repartition("word", "block").sortWithinPartitions("word", "block").mapInPandas(_meet(percent, nearest, 0), _MET)
+    more = rows.repartition("word", "block").sortWithinPartitions("word", "block", "n").mapInArrow(_meet(percent, nearest, 0), _MET)
     return pairs.unionByName(written(more).drop("word", "large"))
 
 
@@ -318,17 +347,21 @@ def line_matches(docs: DataFrame, percent: int) -> DataFrame:
     kept = ["doc", "uid", "skip", "prefix", "b1", "b2"]
     firsts = written(lines.groupBy("n", "d1", "d2").agg(F.min(F.struct(*kept)).alias("f")).select("n", "d1", "d2", "f.*"))
     copies = lines.select("doc", "uid", "n", "d1", "d2").join(firsts.select("doc", "uid"), ["doc", "uid"], "left_anti").select("doc", "uid")
-    words = firsts.where("octet_length(prefix) > 0").select("doc", "uid", "n", "skip", "prefix", "b1", "b2").mapInPandas(_by_word, _WORDS)
-    near = written(_candidates(words.withColumn("side", F.lit(0)), percent, NEAREST))
+    words = firsts.where("octet_length(prefix) > 0").select("doc", "uid", "n", "skip", "prefix", "b1", "b2").mapInArrow(_by_word(), _WORDS)
+    near = _candidates(words, percent, NEAREST)
     found = written(_verified(docs, near.select("doc", "uid", "to_doc", "to_uid").distinct(), levels, percent).select("doc", "uid").distinct())
     # lines with further candidates and no match yet go through all of them
     rest = written(near.where("open").select("doc", "uid").distinct().join(found, ["doc", "uid"], "left_anti"))
     if not rest.isEmpty():
         sought = rest.withColumn("sought", F.lit(True))
         marked = firsts.where("octet_length(prefix) > 0").join(sought, ["doc", "uid"], "left").select("doc", "uid", "n", "skip", "prefix", "b1", "b2", F.coalesce("sought", F.lit(False)).alias("probe"))
-        rows = marked.mapInPandas(_by_word, _WORDS + ", probe boolean")
-        asked = rows.where("probe").select("word").distinct()
-        rows = rows.join(asked, "word", "left_semi").withColumn("side", F.when(F.col("probe"), 3).otherwise(4)).drop("probe")
+        schema = _WORDS + ", probe boolean"
+        asked = written(marked.where("probe").mapInArrow(_by_word(), schema).select("word").distinct())
+        if asked.count() <= ASKED:
+            rows = marked.mapInArrow(_by_word(np.array([r["word"] for r in asked.collect()], np.int64)), schema)
+        else:
+            rows = marked.mapInArrow(_by_word(), schema).join(asked, "word", "left_semi")
+        rows = rows.withColumn("side", F.when(F.col("probe"), 3).otherwise(4)).drop("probe")
         tried = near.select("doc", "uid", "to_doc", "to_uid")
         more = _candidates(rows, percent, None).select("doc", "uid", "to_doc", "to_uid").distinct().join(tried, ["doc", "uid", "to_doc", "to_uid"], "left_anti")
         found = found.unionByName(_verified(docs, written(more), levels, percent).select("doc", "uid").distinct())

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cityhop.session import ensure_checkpoint_dir
 
+#: Arrow batches of whole texts, where the session has Spark's defaults.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
 
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read from there.
@@ -36,9 +39,13 @@ def fresh(columns, *wanted: str) -> list[str]:
 
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it (a
-    cluster without shared code folders gets it by ``--py-files``)."""
+    cluster without shared code folders gets it by ``--py-files``), and bound their batches."""
     env = spark.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     paths = env.get("PYTHONPATH", "").split(":")
     if root not in paths:
         env["PYTHONPATH"] = ":".join([*filter(None, paths), root])
+    # whole texts go to Python: Spark's default batch of 10,000 rows has no bound in bytes
+    for name, value in BATCH.items():
+        if spark.conf.get(name, None) in (None, "10000", "-1", "9223372036854775807", "2147483647"):
+            spark.conf.set(name, value)
