@@ -7,9 +7,10 @@ child of a token when a hash of (path, token) falls under a threshold, which giv
 share ``branching * s`` of those children on average, unlike sets none, so nodes become
 small by themselves.  Members of a node of at most ``node_limit`` sets are compared
 exhaustively by sketch; larger nodes branch further, up to ``max_depth``, and a node
-that is still larger there (copies of one text) is compared through leaders: each member
-with every leader so far, becoming a leader when it is like none.  Independent trees
-repeat this until a linked pair meets with probability ``recall``.
+that is still larger there (copies of one text) is cut into blocks: each meets itself and the
+first, then what is not in the node's largest component so far meets every block, so each pair
+is compared or linked already.  Independent trees repeat this until a linked pair meets with
+probability ``recall``.
 
 What the nodes yield is a loose forest (sketch similarity above a cut that a linked
 pair misses about once in 10^4).  Its components are then searched with the full shingle
@@ -146,24 +147,31 @@ def _node_rows(part: pd.DataFrame, paths: list[np.ndarray], branching: float) ->
     )
 
 
-def _reach(sketch: np.ndarray, n: np.ndarray, cut: int, percent: int) -> list[tuple[int, int]]:
-    """Spanning links of a node: breadth-first, each member against those not reached yet."""
+def _reach(sketch: np.ndarray, n: np.ndarray, cut: int, percent: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning links of a node: breadth-first, each member against those not reached yet.
+
+    Members of one ``label`` are linked already.
+    """
     rest = np.arange(len(n))
+    label = rest if label is None else label
     links = []
     while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
+        same = label[rest] == label[rest[0]]
+        queue, rest = rest[same].tolist(), rest[~same]
         while queue and len(rest):
             x = queue.pop()
             like = _agreeing(sketch[x], sketch[rest]) >= cut
             like &= 100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x])
             hit = rest[like]
-            links += [(int(x), int(y)) for y in hit]
-            queue += hit.tolist()
-            rest = rest[~like]
+            if len(hit):
+                links += [(int(x), int(y)) for y in hit]
+                same = np.isin(label[rest], label[hit])
+                queue += rest[same].tolist()
+                rest = rest[~same]
     return links
 
 
-def _nodes(limit: int, last: bool, cut: int, percent: int):
+def _nodes(limit: int, cut: int, percent: int):
     """Over rows sorted by key: links of small nodes, and the rows of large ones."""
 
     def small(rows: list[np.ndarray]) -> list[tuple[int, int, int, bool]]:
@@ -172,7 +180,7 @@ def _nodes(limit: int, last: bool, cut: int, percent: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
-        size, key, large, leaders = 0, None, False, None
+        size, key, large = 0, None, False
         out: list[tuple[int, int, int, bool]] = []
 
         def close() -> None:
@@ -192,18 +200,14 @@ def _nodes(limit: int, last: bool, cut: int, percent: int):
                 part = x[edges[g] : edges[g + 1]]
                 if part[0, 0] != key:
                     close()
-                    held, size, key, large, leaders = [], 0, part[0, 0], False, None
+                    held, size, key, large = [], 0, part[0, 0], False
                 for at in range(0, len(part), limit):
                     piece = part[at : at + limit]
                     size += len(piece)
                     if large or size > limit:
                         rows = [*held, piece] if not large else [piece]
                         large, held = True, []
-                        if not last:
-                            out.extend((int(k), int(i), 0, True) for r in rows for k, i in r[:, :2])
-                        else:
-                            for r in rows:
-                                leaders = _lead(leaders, r, cut, percent, out)
+                        out.extend((int(k), int(i), 0, True) for r in rows for k, i in r[:, :2])
                     else:
                         held.append(piece)
             if len(out) > 50_000:
@@ -216,27 +220,70 @@ def _nodes(limit: int, last: bool, cut: int, percent: int):
     return run
 
 
-def _lead(leaders: np.ndarray | None, rows: np.ndarray, cut: int, percent: int, out: list) -> np.ndarray:
-    """Link each row to every leader that it is like; rows like none become leaders."""
-    if leaders is None:
-        out.extend((0, int(rows[a, 1]), int(rows[b, 1]), False) for a, b in _reach(rows[:, 3:].view(np.uint64), rows[:, 2], cut, percent))
-        return rows
-    alone = []
-    known = np.ascontiguousarray(leaders[:, 3:]).view(np.uint64)
-    for r in rows:
-        like = _agreeing(r[3:].view(np.uint64), known) >= cut
-        like &= 100 * np.minimum(leaders[:, 2], r[2]) >= percent * np.maximum(leaders[:, 2], r[2])
-        hit = np.flatnonzero(like)
-        if len(hit):
-            # one leader of each group of leaders would do; they are few in number after the first blocks
-            out.extend((0, int(leaders[h, 1]), int(r[1]), False) for h in hit[:: max(1, len(hit) // 16)])
-        else:
-            alone.append(r)
-    if alone:
-        more = np.array(alone)
-        out.extend((0, int(more[a, 1]), int(more[b, 1]), False) for a, b in _reach(np.ascontiguousarray(more[:, 3:]).view(np.uint64), more[:, 2], cut, percent))
-        leaders = np.concatenate([leaders, more])
-    return leaders
+def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        s = _sketch(_minima(pdf["minima"])).view(np.int64)
+        yield pd.DataFrame({"id": pdf["id"], "n": pdf["n"], "s0": s[:, 0], "s1": s[:, 1], "s2": s[:, 2], "s3": s[:, 3]})
+
+
+def _blocks(cut: int, percent: int):
+    """Over rows sorted by task: spanning links of each task's rows by sketch; rows of one label count as linked."""
+
+    def links(x: np.ndarray) -> list[tuple[int, int]]:
+        label, ids = x[:, 2], x[:, 3]
+        sketch, n = np.ascontiguousarray(x[:, 5:]).view(np.uint64), x[:, 4]
+        return [(int(ids[a]), int(ids[b])) for a, b in _reach(sketch, n, cut, percent, label)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        out: list[tuple[int, int]] = []
+        for pdf in batches:
+            x = pdf.to_numpy(np.int64)
+            if not len(x):
+                continue
+            edges = [0, *(np.flatnonzero(np.any(np.diff(x[:, :2], axis=0) != 0, axis=1)) + 1), len(x)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if held and tuple(held[0][0, :2]) != tuple(x[a, :2]):
+                    out += links(np.concatenate(held))
+                    held = []
+                held.append(x[a:b])
+            if len(out) > 50_000:
+                yield pd.DataFrame(out, columns=["a", "b"])
+                out = []
+        if held:
+            out += links(np.concatenate(held))
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def _large_links(large: DataFrame, reps: DataFrame, edges: DataFrame, limit: int, cut: int, percent: int) -> DataFrame:
+    """Loose links of nodes that stayed large, with ``edges`` as what is linked already.
+
+    First every block of a node meets itself and block 0; then what is not in a node's largest
+    component so far meets every block, so no pair of unlike components goes uncompared.
+    """
+    sketches = written(reps.mapInPandas(_sketches, "id long, n long, s0 long, s1 long, s2 long, s3 long"))
+    sizes = written(large.groupBy(F.col("key").alias("cluster")).agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("blocks")))
+    few = sizes.count() <= BROADCAST_ROWS
+    nodes = written(
+        large.select(F.col("key").alias("cluster"), "id")
+        .join(F.broadcast(sizes) if few else sizes, "cluster")
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    )
+
+    def found(tasks: DataFrame) -> DataFrame:
+        rows = tasks.join(sketches, "id").select("cluster", F.col("task").cast("long").alias("task"), "label", "id", "n", "s0", "s1", "s2", "s3")
+        return rows.repartition("cluster", "task").sortWithinPartitions("cluster", "task").mapInPandas(_blocks(cut, percent), "a long, b long")
+
+    edges = edges.unionByName(written(found(_first_tasks(nodes))))
+    loose = written(connected_components(edges))
+    known = written(
+        nodes.join(loose, nodes["id"] == loose["node"], "left").select("cluster", "blocks", "block", "id", F.coalesce("label", "id").alias("label"))
+    )
+    far = written(found(_rest_tasks(known, limit)))
+    return loose.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(far)
 
 
 class _Sets:
@@ -356,12 +403,15 @@ def near_duplicates(
         found = written(
             level.repartition("key")
             .sortWithinPartitions("key")
-            .mapInPandas(_nodes(node_limit, depth == max_depth, cut, percent), "key long, a long, b long, large boolean")
+            .mapInPandas(_nodes(node_limit, cut, percent), "key long, a long, b long, large boolean")
         )
         links = found.where("not large").select("a", "b")
         edges = links if edges is None else edges.unionByName(links)
         large = found.where("large").select("key", F.col("a").alias("id"))
-        if depth == max_depth or large.isEmpty():
+        if large.isEmpty():
+            break
+        if depth == max_depth:
+            edges = _large_links(large, reps, edges, node_limit, cut, percent)
             break
         level = large.join(reps, "id").select("key", "id", "n", "minima").mapInPandas(_branches(branching), schema)
 
@@ -372,14 +422,7 @@ def near_duplicates(
         .select(F.col("node").alias("id"), "cluster", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     )
-    # every block meets block 0
-    tasks = members.select(
-        "cluster",
-        F.explode(F.when((F.col("block") == 0) & (F.col("blocks") > 1), F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("task"),
-        F.col("id").alias("label"),
-        "id",
-    )
-    links = written(_links_in(docs, tasks, width, percent))
+    links = written(_links_in(docs, _first_tasks(members), width, percent))
     split = members.where("blocks > 1")
     if not split.isEmpty():
         links = written(links.unionByName(_rest_links(docs, split, links, width, percent)))
@@ -392,22 +435,34 @@ def near_duplicates(
     )
 
 
-def _rest_links(docs: DataFrame, split: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
-    """Clusters of several blocks: what is not in a cluster's largest component meets every block.
+def _first_tasks(members: DataFrame) -> DataFrame:
+    """Tasks (cluster, task, label, id) in which every block of a cluster meets itself and block 0."""
+    others = F.sequence(F.lit(1), F.col("blocks") - 1)
+    task = F.explode(F.when((F.col("block") == 0) & (F.col("blocks") > 1), others).otherwise(F.array("block"))).alias("task")
+    return members.select("cluster", task, F.col("id").alias("label"), "id")
+
+
+def _rest_tasks(known: DataFrame, size: int) -> DataFrame:
+    """Tasks in which what is not in a cluster's largest component meets every block, ``size`` at a time.
 
     Pairs inside the largest component need no comparison, and all others have a member here, so
     nothing is lost; the work is that of the rest times the cluster, in blocks.
     """
-    labels = connected_components(links)
-    known = written(
-        split.join(labels, split["id"] == labels["node"], "left").select("cluster", "blocks", "block", "id", F.coalesce("label", "id").alias("label"))
-    )
     counts = known.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
     top = counts.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("top"))
     rest = known.join(top, "cluster").where("label <> top").select("cluster", "blocks", "id", "label")
-    size = rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    rest = written(rest.join(size, "cluster").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")))
+    parts = rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
+    rest = written(rest.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")))
     number = (F.col("part") * F.col("blocks") + F.col("block")).alias("task")
     left = rest.select("cluster", "part", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "label").select("cluster", number, "label", "id")
-    right = known.join(size, "cluster").select("cluster", "blocks", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "label").select("cluster", number, "label", "id")
-    return _links_in(docs, left.unionByName(right).distinct(), width, percent)
+    right = known.join(parts, "cluster").select("cluster", "blocks", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "label").select("cluster", number, "label", "id")
+    return left.unionByName(right).distinct()
+
+
+def _rest_links(docs: DataFrame, split: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of clusters of several blocks that the first tasks could not see."""
+    labels = connected_components(links)
+    known = written(
+        split.join(labels, split["id"] == labels["node"], "left").select("cluster", "blocks", "block", "id", F.coalesce("label", "id").alias("label"))
+    )
+    return _links_in(docs, _rest_tasks(known, BLOCK), width, percent)

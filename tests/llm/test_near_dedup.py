@@ -96,3 +96,24 @@ def test_empty_table(make):
 
 def test_trees_reach_the_recall():
     assert trees_for(0.999, 3, 1.45) < 12 < trees_for(1 - 1e-7, 3, 1.45)
+
+
+def test_large_nodes_of_the_last_level_compare_all_pairs(make, monkeypatch):
+    """One node holds everything: chains a-x-y-b, of which only neighbours are alike, meet there or nowhere."""
+
+    def roots(trees, branching):
+        def run(batches):
+            from cityhop.llm.near_dedup import _minima, _sketch
+
+            for pdf in batches:
+                s = _sketch(_minima(pdf["minima"])).view("int64")
+                yield pdf[["id", "n"]].assign(key=0, s0=s[:, 0], s1=s[:, 1], s2=s[:, 2], s3=s[:, 3])[["key", "id", "n", "s0", "s1", "s2", "s3"]]
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "_roots", roots)
+    chains = [[" ".join(f"c{c}w{i}" for i in range(at, at + 202)) for at in (0, 16, 32, 48, 64)] for c in range(12)]
+    rows = [(c * 5 + k, t) for c, chain in enumerate(chains) for k, t in enumerate(chain)]
+    random.Random(1).shuffle(rows)
+    got = near_duplicates(make(rows), width=3, percent=85, node_limit=4, max_depth=1)
+    assert labels(got) == {i: i // 5 * 5 for i, _ in rows} == brute(rows, 3, 85)
