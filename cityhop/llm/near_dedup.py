@@ -50,12 +50,24 @@ _PLACE = mix(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15
 _ONES = np.uint64(0x1111111111111111)
 
 
-def trees_for(recall: float, depth: int, branching: float) -> int:
-    """Trees after which a pair at the threshold has met with probability ``recall``."""
-    meet = 1.0
-    for _ in range(depth):
-        meet = 1 - math.exp(-branching * meet)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+def trees_for(recall: float, depth: int, branching: float, percent: int = 100) -> int:
+    """Trees after which a pair at the threshold has met on level ``depth`` with probability ``recall``.
+
+    Of the K minima of a pair, a binomial number agree; these are the same on all levels and in all
+    trees, and each is chosen by a node with probability ``branching / K``.
+    """
+    s = percent / 100
+    agreeing = [(math.comb(K, a) * s**a * (1 - s) ** (K - a), a) for a in range(K + 1)]
+    miss = []
+    for _, a in agreeing:
+        meet = 1.0
+        for _ in range(depth):
+            meet = 1 - (1 - branching / K * meet) ** a
+        miss.append(1 - meet)
+    trees = 1
+    while sum(p * m**trees for (p, _), m in zip(agreeing, miss)) > 1 - recall:
+        trees += 1
+    return trees
 
 
 def _sketch(minima: np.ndarray) -> np.ndarray:
@@ -395,7 +407,7 @@ def near_duplicates(
     classes = written(feats.select("id", "n", "d1", "d2").join(firsts, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
     reps = full.join(firsts.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "minima")
 
-    trees = trees_for(recall, max_depth, branching)
+    trees = trees_for(recall, max_depth, branching, percent)
     schema = "key long, id long, n long, s0 long, s1 long, s2 long, s3 long"
     level = reps.mapInPandas(_roots(trees, branching), schema)
     edges = None

@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,23 @@ def test_large_nodes_of_the_last_level_compare_all_pairs(make, monkeypatch):
     random.Random(1).shuffle(rows)
     got = near_duplicates(make(rows), width=3, percent=85, node_limit=4, max_depth=1)
     assert labels(got) == {i: i // 5 * 5 for i, _ in rows} == brute(rows, 3, 85)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_at_the_threshold_meet_on_the_third_level(percent):
+    rng = np.random.default_rng(percent)
+    pairs, trees = 20_000, trees_for(0.999, 3, 1.45, percent)
+    one = rng.integers(0, 2**64, (pairs, near_dedup.K), dtype=np.uint64)
+    other = np.where(rng.random(one.shape) < percent / 100, one, rng.integers(0, 2**64, one.shape, dtype=np.uint64))
+    met = np.zeros(pairs, bool)
+    seeds = near_dedup.mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    for seed in seeds:
+        pair, path = np.arange(pairs), np.full(pairs, seed)
+        for _ in range(3):
+            row, key = near_dedup._children(one[pair], path, 1.45)
+            other_row, other_key = near_dedup._children(other[pair], path, 1.45)
+            both = set(zip(other_row.tolist(), other_key.tolist()))
+            shared = np.array([p in both for p in zip(row.tolist(), key.tolist())], bool)
+            pair, path = pair[row[shared]], key[shared]
+        met[pair] = True
+    assert (~met).sum() <= 1.5e-3 * pairs
