@@ -6,9 +6,10 @@ the longest host and path wins (a block if they are equally long).
 
 Links are the ``href`` values with a host of their own; host edges carry the share of the host's links.  A host's restart value is the share
 of its pages that a rule allows (trust) or blocks (distrust).  Trust walks along edges, distrust against them, as personalised
-PageRank with ``damping``; a host without edges keeps its walk.  Steps go on until no score moves by more than ``tolerance``
-(each step shrinks what is left by ``damping``).  A host whose distrust exceeds its trust by more than
-``threshold`` is blocked, else allowed.
+PageRank with ``damping``; walks end at hosts without a way on.  Beside each score goes the rank: the same walk from all hosts
+alike.  A host's trust and distrust are shares, score by rank (its own part only counts if a rule decides one of its pages), so they
+do not turn on how many hosts a seed's walk is dealt among.  Steps go on until no share moves by more than ``tolerance`` (each step
+shrinks what is left by ``damping``).  A host whose distrust exceeds its trust by more than ``threshold`` is blocked, else allowed.
 
 Null urls, and urls without ``://``, have empty host and path, which no rule fits and which are allowed: they have no edges and are no host.
 Null pages have no links.  Repeated rows are pages of their own; extra columns are ignored; an empty table gives an empty result.
@@ -63,8 +64,12 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.select("src", to.alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def propagate(edges: DataFrame, restart: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, stride: int = 4) -> DataFrame:
-    """(host, trust, distrust) to the scores after propagation; ``restart`` has every host of ``edges`` or misses it as 0."""
+def propagate(edges: DataFrame, restart: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, stride: int = 4, keep: bool = True) -> DataFrame:
+    """(host, trust, distrust) to the scores after propagation; ``restart`` has every host of ``edges`` or misses it as 0.
+
+    ``trust_in`` and ``distrust_in`` are what a host gets from others when all hosts restart at 1.  A host without a way on
+    keeps its walk, or (not ``keep``) ends it.
+    """
     out = edges.groupBy("src").agg(F.sum("links").alias("total"))
     into = edges.groupBy("dst").agg(F.sum("links").alias("total"))
     forward = edges.join(out, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("links") / F.col("total")).alias("w"))
@@ -73,24 +78,33 @@ def propagate(edges: DataFrame, restart: DataFrame, damping: float = 0.85, toler
     hosts = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).unionByName(restart.select("host")).distinct()
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(k, F.lit(0.0)).alias("s")) for k in ("trust", "distrust")]))
     base = hosts.join(restart, "host", "left").select("host", kinds.alias("x")).select("x.kind", "host", "x.s")
-    # a host without a way on keeps its walk
-    stuck = base.join(walks.select("kind", F.col("a").alias("host")).distinct().withColumn("goes", F.lit(True)), ["kind", "host"], "left")
-    stays = stuck.where("goes is null").select("kind", F.col("host").alias("a"), F.col("host").alias("b"), F.lit(1.0).alias("w"))
-    walks = written(walks.unionByName(stays))
+    if keep:
+        stuck = base.join(walks.select("kind", F.col("a").alias("host")).distinct().withColumn("goes", F.lit(True)), ["kind", "host"], "left")
+        walks = walks.unionByName(stuck.where("goes is null").select("kind", F.col("host").alias("a"), F.col("host").alias("b"), F.lit(1.0).alias("w")))
+    walks = written(walks)
     base = written(base)
-    score = base.withColumnRenamed("s", "p")
+    score = base.select("kind", "host", F.col("s").alias("p"), F.lit(damping).alias("m"))
     # nothing moves that starts at its walk's end: the first stride then changes nothing
     while True:
         new = score
         for _ in range(stride):
-            moved = walks.join(new.withColumnRenamed("host", "a"), ["kind", "a"]).groupBy("kind", F.col("b").alias("host")).agg((damping * F.sum(F.col("w") * F.col("p"))).alias("m"))
-            new = base.join(moved, ["kind", "host"], "left").select("kind", "host", ((1 - damping) * F.col("s") + F.coalesce("m", F.lit(0.0))).alias("p"))
+            rank = 1 - damping + F.col("m")
+            moved = walks.join(new.withColumnRenamed("host", "a"), ["kind", "a"]).groupBy("kind", F.col("b").alias("host"))
+            moved = moved.agg((damping * F.sum(F.col("w") * F.col("p"))).alias("got"), (damping * F.sum(F.col("w") * rank)).alias("m"))
+            new = base.join(moved, ["kind", "host"], "left").select(
+                "kind", "host", ((1 - damping) * F.col("s") + F.coalesce("got", F.lit(0.0))).alias("p"), F.coalesce("m", F.lit(0.0)).alias("m")
+            )
         new = written(new)
-        far = new.join(score.withColumnRenamed("p", "was"), ["kind", "host"]).agg(F.max(F.abs(F.col("p") - F.col("was")))).first()[0]
+        moves = F.abs(F.col("p") - F.col("p0")) + F.abs(F.col("m") - F.col("m0"))
+        # against what the host gets, however many share it
+        part = F.when(F.col("m") > 0, F.least(F.lit(1.0), "m")).otherwise(1.0)
+        far = new.join(score.select("kind", "host", F.col("p").alias("p0"), F.col("m").alias("m0")), ["kind", "host"]).agg(F.max(moves / part)).first()[0]
         score = new
         if (far or 0.0) <= tolerance:
             break
-    return score.groupBy("host").agg(*[F.max(F.when(F.col("kind") == k, F.col("p"))).alias(k) for k in ("trust", "distrust")])
+    return score.groupBy("host").agg(
+        *[F.max(F.when(F.col("kind") == k, F.col(c))).alias(k + end) for k in ("trust", "distrust") for c, end in (("p", ""), ("m", "_in"))]
+    )
 
 
 def filter_urls(
@@ -102,10 +116,18 @@ def filter_urls(
     threshold: float = 0.5,
     damping: float = 0.85,
 ) -> DataFrame:
-    """One row per page: id, host, path, rule, verdict, trust, distrust (of its host; null without one)."""
+    """One row per page: id, host, path, rule, verdict, trust, distrust (shares, of its host; null without one)."""
     rows = written(judged(pages, id_col, url_col, rules))
     share = {k: F.avg((F.coalesce("verdict", F.lit("")) == v).cast("double")).alias(k) for k, v in (("trust", "allow"), ("distrust", "block"))}
     restart = rows.where("host <> ''").groupBy("host").agg(*share.values())
-    scores = written(propagate(written(host_edges(pages, url_col, html_col)), written(restart), damping))
+    restart = written(restart)
+    walked = propagate(written(host_edges(pages, url_col, html_col)), restart, damping, keep=False)
+    ruled = restart.select("host", (F.col("trust") + F.col("distrust") > 0).alias("ruled"))
+
+    def part(k: str) -> Column:
+        rank = F.col(k + "_in") + F.when(F.col("ruled"), 1 - damping).otherwise(0.0)
+        return F.when(rank > 0, F.col(k) / rank).otherwise(0.0).alias(k)
+
+    scores = written(walked.join(ruled, "host", "left").select("host", part("trust"), part("distrust")))
     verdict = F.coalesce("verdict", F.when(F.col("distrust") - F.col("trust") > threshold, "block"), F.lit("allow"))
     return rows.join(scores, "host", "left").select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")

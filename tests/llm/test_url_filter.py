@@ -77,3 +77,20 @@ def test_links_and_verdicts_of_unruled_hosts(spark):
 
 def test_empty_table(spark):
     assert filter_urls(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_verdicts_do_not_turn_on_how_many_link(spark):
+    links = {
+        "farm1.info": ["a.net"], "farm2.info": ["a.net"],  # share a blocked host
+        "farm.info": ["b.net", "c.net", "d.net"], "fan1.info": ["farm.info"], "fan2.info": ["farm.info"],  # a farm that is linked itself
+        "list.info": ["e.net", *[f"h{i}.info" for i in range(9)]], "two.info": ["farm.info", "g1.info", "g2.info", "g3.info"],  # innocent linkers
+        **{f"many{i}.info": ["z.net"] for i in range(40)},
+    }
+    rows = [(h, " ".join(f'<a href="http://{t}/">' for t in to)) for h, to in links.items()]
+    rows += [(h, None) for h in {t for to in links.values() for t in to} - links.keys()]
+    pages = spark.createDataFrame([(i, f"http://{h}/", html) for i, (h, html) in enumerate(rows)], PAGES)
+    got = {r["host"]: r for r in filter_urls(pages).collect()}
+    assert {h for h in links if got[h]["verdict"] == "block"} >= {"farm1.info", "farm2.info", "farm.info", *[f"many{i}.info" for i in range(40)]}
+    assert got["list.info"]["verdict"] == got["two.info"]["verdict"] == "allow"
+    assert got["farm.info"]["distrust"] > got["fan1.info"]["distrust"] > got["two.info"]["distrust"]
+    assert all(0 <= r[k] <= 1.001 for r in got.values() for k in ("trust", "distrust"))
