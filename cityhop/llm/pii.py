@@ -1,7 +1,8 @@
 """Personal data replaced by format-preserving pseudonyms.
 
 Finds card numbers (Luhn check; numbers of card length without a valid check digit too, kept apart), IBANs (modulo 97), social security numbers, telephone numbers, IPv4 addresses,
-calendar dates, e-mail addresses and hexadecimal keys; what does not pass its kind's validation is left alone.  A value is read as an
+calendar dates, e-mail addresses and hexadecimal keys; what does not pass its kind's validation is tried up to an earlier group
+(IBANs of a country's length, telephone numbers) and as the kinds after it, else left alone.  A value is read as an
 integer of its format's domain and permuted there by a keyed Feistel network (two halves of about the domain's root, ten rounds of keyed
 BLAKE2b, walking on until the result is in the domain again).  So a pseudonym has the value's format (separators, letter case, check digits,
 real days), equal values of a kind get equal pseudonyms in all documents, unlike values unlike ones, and who has the key can go back
@@ -35,7 +36,7 @@ _KINDS = (
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?!-?\d)"),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?(?:[ .-]\d{2,4}){2,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\w)"),
+    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{1,5}\)?(?:[ .-]\d{2,8}){1,5}|\(\d{2,5}\)[ .-]?\d{2,8}(?:[ .-]\d{2,8}){0,3}|0[1-9]\d{1,3}[ /-]\d{5,8})(?![\w-])|(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?(?:[ .-]\d{2,4}){2,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\w)"),
 )
 
 
@@ -46,6 +47,16 @@ def _any(kinds: dict[str, str]) -> re.Pattern:
     return re.compile(rf"(?=[0-9+(])(?:{at_digit})|(?<!\w)(?=[^\W0-9]|[%+-])(?:{at_word})")
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    c: int(n)
+    for n, cs in (
+        pair.split(":")
+        for pair in "15:NO 16:BE 18:DK,FI,NL,FO,GL 19:MK,SI 20:AT,BA,EE,KZ,LT,LU 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS 23:AE,GI,IL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:PT 26:IS,TR 27:FR,GR,IT,MC,SM 28:AL,AZ,CY,DO,GT,HU,LB,PL 29:BR,PS,QA 30:JO,KW,MU 31:MT".split()
+    )
+    for c in cs.split(",")
+}
+_ONE = {k: re.compile(v) for k, v in _KINDS}
 _ANY = {True: _any(dict(_KINDS)), False: _any({k: v for k, v in _KINDS if k != "email"})}
 
 
@@ -197,18 +208,45 @@ def _phone(value: str, walk) -> str | None:
     d = _only_digits(value)
     lead = re.match(r"\+\d{1,3}(?=[ .-])", value)
     keep = len(lead[0]) - 1 if lead else 0
-    if not 8 <= len(d) <= 15 or not (value[0] == "+" or "(" in value or len(d) == 10):
+    national = re.fullmatch(r"0[1-9]\d{1,3}[ /-]\d{5,8}", value) is not None
+    if not 8 <= len(d) <= 15 or not (value[0] == "+" or "(" in value or len(d) == 10 or national):
         return None
-    return _into(value, d[:keep] + _permute(d[keep:], _digit, "phone", walk))
+    if not national:
+        return _into(value, d[:keep] + _permute(d[keep:], _digit, "phone", walk))
+    # the leading zero stays the only one
+    while True:
+        d = "0" + _permute(d[1:], _digit, "phone", walk)
+        if d[1] != "0":
+            return _into(value, d)
+
+
+def _iban_valid(plain: str) -> bool:
+    return 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4]
+
+
+def _registered(value: str) -> str | None:
+    """The valid IBAN of the country's length that ``value`` starts with, up to the end of a group."""
+    for end in (m.start() for m in re.finditer(r" |$", value)):
+        plain = value[:end].replace(" ", "")
+        if len(plain) == IBAN_LENGTHS.get(plain[:2]):
+            return value[:end] if _iban_valid(plain) else None
+    return None
 
 
 def _iban(value: str, walk) -> str | None:
     plain = value.replace(" ", "")
-    if not 15 <= len(plain) <= 34 or iban_check(plain[:2], plain[4:]) != plain[2:4]:
+    if not _iban_valid(plain):
         return None
-    account = _permute(plain[4:].lower(), _alphanumeric, "iban" + plain[:2], walk).upper()
-    new = iter(plain[:2] + iban_check(plain[:2], account) + account)
-    return "".join(c if c == " " else next(new) for c in value)
+    own = _registered(value)
+    if own is not None and own != value:
+        return None  # its start is the number
+    while True:
+        account = _permute(plain[4:].lower(), _alphanumeric, "iban" + plain[:2], walk).upper()
+        plain = plain[:2] + iban_check(plain[:2], account) + account
+        new = iter(plain)
+        out = "".join(c if c == " " else next(new) for c in value)
+        if _registered(out) in (None, out):
+            return out
 
 
 def _email(value: str, walk) -> str | None:
@@ -226,6 +264,34 @@ def _key(value: str, walk) -> str | None:
 _REPLACE = {"email": _email, "iban": _iban, "key": _key, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
+def _readings(kind: str, value: str | None, text: str, start: int) -> Iterator[tuple[str, str]]:
+    """A match, its shorter forms that end with a group, and the same of the kinds after it at this place."""
+    later = list(_REPLACE)[list(_REPLACE).index(kind) + 1 :]
+    for k, v in [(kind, value), *((k, None) for k in later)]:
+        if v is None:
+            m = _ONE[k].match(text, start)
+            if m is None:
+                continue
+            v = m[0]
+        yield k, v
+        if k == "iban" and (own := _registered(v)) is not None:
+            yield k, own
+        if k == "phone":
+            for end in reversed([m.start() for m in re.finditer(r"(?<=\d)[ .-]", v)]):
+                yield k, v[:end]
+
+
+def _reads_before(first: str, kind: str, text: str) -> bool:
+    """Whether the start of ``text`` is valid as a kind from ``first`` on and before ``kind``."""
+    m = _ONE[first].match(text)
+    for k, v in _readings(first, m[0] if m else None, text, 0):
+        if k == kind:
+            return False
+        if _REPLACE[k](v, lambda kind, n, x: x) is not None:
+            return True
+    return False
+
+
 def replace(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each in it."""
     out, spans, at, length = [], [], 0, 0
@@ -233,15 +299,24 @@ def replace(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[
     def walk(kind: str, n: int, x: int) -> int:
         return feistel(kind, n, x, back)
 
-    for m in _ANY["@" in text].finditer(text):
-        kind = m.lastgroup.rstrip("_")
-        new = _REPLACE[kind](m[0], walk)
-        if new is not None:
-            out += [text[at : m.start()], new]
-            length += m.start() - at
-            spans.append((kind, length, length + len(new)))
-            length += len(new)
-            at = m.end()
+    pattern, start = _ANY["@" in text], 0
+    while (m := pattern.search(text, start)) is not None:
+        first = m.lastgroup.rstrip("_")
+        for kind, value in _readings(first, m[0], text, m.start()):
+            new = _REPLACE[kind](value, walk)
+            # on until it reads as the same kind again, or it could not be restored
+            while new is not None and kind != first and _reads_before(first, kind, new + text[m.start() + len(value) :][:64]):
+                new = _REPLACE[kind](new, walk)
+            if new is not None:
+                out += [text[at : m.start()], new]
+                length += m.start() - at
+                spans.append((kind, length, length + len(new)))
+                length += len(new)
+                at = start = m.start() + len(value)
+                break
+        else:
+            # what follows the first group may still be something
+            start = m.start() + max(1, re.match(r"\w*", m[0]).end())
     out.append(text[at:])
     return "".join(out), spans
 

@@ -78,3 +78,35 @@ def test_table(make):
     assert out[4]["text"] == "call " + out[5]["text"] and out[5]["found"][0]["kind"] == "phone"
     assert {(r["doc_id"], r["text"]) for r in restore(got, b"k").collect()} == set(rows)
     assert pseudonymise(make([]), b"k").collect() == []
+
+
+@pytest.mark.parametrize("value", ["+33 6 12 34 56 78", "+49 30 1234567", "0171 2345678", "(030) 123456"])
+def test_phones_of_other_countries(value):
+    text = f"call {value}, or {value}"
+    new, spans = replace(text, FEISTEL)
+    assert [k for k, *_ in spans] == ["phone", "phone"] and value not in new
+    assert [new[a:b] for _, a, b in spans] == [new[spans[0][1] : spans[0][2]]] * 2 and spans[0][2] - spans[0][1] == len(value)
+    assert replace(new, FEISTEL, True)[0] == text
+
+
+@pytest.mark.parametrize("key", range(30))
+@pytest.mark.parametrize("value,rest", [("AT61 1904 3002 3457 3201", " A"), ("AT611904300234573201", " 2024"), ("+49 30 1234567", " 12345678"), ("DE89 3704 0044 0532 0130 00", "")])
+def test_what_follows_a_value_does_not_hide_it(value, rest, key):
+    feistel = Feistel(b"key %d" % key)
+    new, spans = replace(value + rest, feistel)
+    assert len(spans) == 1 and new == replace(value, feistel)[0] + rest and value not in new
+    assert replace(new, feistel, True)[0] == value + rest
+
+
+def test_a_failed_match_does_not_hide_the_next():
+    text = "12 34 +49 30 1234567 and 300.1.2.3 83.229.25.121"
+    new, spans = replace(text, FEISTEL)
+    assert [k for k, *_ in spans] == ["phone", "ip"] and replace(new, FEISTEL, True)[0] == text
+
+
+def test_values_read_as_a_later_kind_are_restored():
+    for key in range(300):
+        feistel = Feistel(b"key %d" % key)
+        for text in ("000-12-3456 7890", "2023-02-30 12345678"):
+            new, spans = replace(text, feistel)
+            assert [k for k, *_ in spans] == ["card"] and replace(new, feistel, True)[0] == text
