@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cityhop.llm.chat import expand, read_back
 from cityhop.llm.exact_stream import exact_duplicates
 from cityhop.llm.fingerprint import with_next
+from cityhop.llm.importance import resample
 from cityhop.llm.line_dedup import dedup_lines
 from cityhop.llm.mixing import mix
 from cityhop.llm.near_dedup import near_duplicates
@@ -77,6 +78,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("removed", F.array_join("removed", ","))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_source_mixing": op2_source_mixing,
@@ -88,8 +93,40 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
 }
+#: CRC-32 of a string's UTF-8 bytes, over the table of all byte values.
+_CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)),
+                       lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen({0}) + 1), lambda i: ('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::BIGINT)),
+              lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"""
 SQL: dict[str, str] = {
+    "op11_importance_resampling": r"""
+        WITH crc AS MATERIALIZED (""" + _CRC_TABLE + r"""), corpora AS (
+            SELECT doc_id, text, true AS own FROM documents UNION ALL SELECT NULL, text, false FROM benchmark
+        ), w AS MATERIALIZED (
+            SELECT doc_id, own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM corpora
+        ), f AS MATERIALIZED (
+            SELECT doc_id, own, unnest(w) AS f FROM w
+        ), b AS MATERIALIZED (
+            SELECT f, """ + _CRC.format("f") + r""" % 10000 AS bucket FROM (SELECT DISTINCT f FROM f), crc
+        ), h AS MATERIALIZED (
+            SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM f JOIN b USING (f) GROUP BY bucket
+        ), g AS MATERIALIZED (
+            SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (all_s + 10000) / (CAST(s + 1 AS DOUBLE) * (all_t + 10000)))) AS BIGINT) AS gain
+            FROM h, (SELECT CAST(sum(s) AS DOUBLE) AS all_s, CAST(sum(t) AS DOUBLE) AS all_t FROM h)
+        ), m AS (
+            SELECT doc_id, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM f JOIN b USING (f) JOIN g USING (bucket) WHERE own GROUP BY doc_id
+        ), d AS MATERIALIZED (
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+            FROM w LEFT JOIN m USING (doc_id) WHERE own
+        ), r AS (
+            SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM d WHERE n_features >= 20
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN rank END AS rank FROM d LEFT JOIN r USING (doc_id)
+    """,
     "op3_near_dedup": r"""
         WITH RECURSIVE w AS MATERIALIZED (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
