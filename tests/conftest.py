@@ -7,8 +7,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-FIXTURES = os.path.join(ROOT, "tests", "fixtures")
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -33,6 +31,8 @@ def spark():
 
 
 def _load(spark, name, feed_id, kind):
+    from helpers import FIXTURES
+
     from cityhop.sources.gtfs import FeedSpec, load_feeds
 
     net = load_feeds(spark, [FeedSpec(feed_id, os.path.join(FIXTURES, name), 0, kind)])

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 from cityhop import schema
 from cityhop.operators.reach import reachable_stops, trips_in_period, trips_nearby
 from cityhop.operators.spatial import nearby_stops
 from cityhop.operators.trips import direct_trips
 
+FIXTURES = os.path.join(os.path.dirname(os.path.abspath(__file__)), "fixtures")
+
 
 def d(s: str) -> dt.date:
     return dt.date.fromisoformat(s)

@@ -2,7 +2,7 @@
 
 import os
 
-from conftest import FIXTURES
+from helpers import FIXTURES
 
 from cityhop.sources.gtfs import FeedSpec, load_feeds
 
