@@ -17,6 +17,7 @@ from cityhop.llm.packing import pack
 from cityhop.llm.pii import pseudonymise
 from cityhop.llm.scratch import importable
 from cityhop.llm.toxicity import fit, held_out, score
+from cityhop.llm.trie import numbered_turns, prefix_trie, rebuilt
 from cityhop.llm.url_filter import filter_urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,6 +83,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    turns = numbered_turns(_table(spark, sf_dir, "conversations"))
+    return prefix_trie(rebuilt(turns, source=conv - conv % 5, head=F.crc32(conv.cast("string")) % 9))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_source_mixing": op2_source_mixing,
@@ -94,6 +101,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 #: CRC-32 of a string's UTF-8 bytes, over the table of all byte values.
 _CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)),
@@ -101,6 +109,36 @@ _CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce(list_pre
 _CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen({0}) + 1), lambda i: ('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::BIGINT)),
               lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"""
 SQL: dict[str, str] = {
+    "op12_prefix_trie": r"""
+        WITH crc AS MATERIALIZED (""" + _CRC_TABLE + r"""), o AS MATERIALIZED (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS k,
+                   coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations
+        ), c AS MATERIALIZED (
+            SELECT conv_id, conv_id - conv_id % 5 AS source, """ + _CRC.format("id") + r""" % 9 AS h FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS id FROM conversations), crc
+        ), a AS MATERIALIZED (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, k) AS depth, text, sha256(strlen(role) || ':' || role || text) AS said
+            FROM (SELECT c.conv_id, false AS own, k, role, text FROM c JOIN o ON o.conv_id = source WHERE k <= h
+                  UNION ALL SELECT c.conv_id, true, k, role, text FROM c JOIN o ON o.conv_id = c.conv_id WHERE k > h)
+        ), p AS MATERIALIZED (
+            SELECT conv_id, depth, octet_length(encode(text)) AS n_bytes, sha256(string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM a
+            UNION ALL SELECT conv_id, 0, 0, '' FROM c
+        ), m AS MATERIALIZED (
+            SELECT conv_id, depth, node, n_bytes, depth = max(depth) OVER (PARTITION BY conv_id) AS ends, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM p
+        ), n AS MATERIALIZED (
+            SELECT node, depth, parent, min(conv_id) AS conv_id, count(*) AS n_convs, max(n_bytes) AS n_bytes,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM m GROUP BY node, depth, parent
+        ), f AS MATERIALIZED (
+            SELECT parent AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY parent
+        ), t AS (
+            SELECT m.node, count(*) FILTER (f.node IS NULL) AS n_leaves, sum((n_convs - 1) * n.n_bytes) AS saved_tokens
+            FROM n JOIN m ON m.conv_id = n.conv_id AND m.depth <= n.depth LEFT JOIN f ON f.node = n.node GROUP BY m.node
+        )
+        SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+               CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM n JOIN t ON t.node = n.node LEFT JOIN f ON f.node = n.node LEFT JOIN n u ON u.node = n.parent
+    """,
     "op11_importance_resampling": r"""
         WITH crc AS MATERIALIZED (""" + _CRC_TABLE + r"""), corpora AS (
             SELECT doc_id, text, true AS own FROM documents UNION ALL SELECT NULL, text, false FROM benchmark
