@@ -19,6 +19,7 @@ from cityhop.llm.scratch import importable
 from cityhop.llm.toxicity import fit, held_out, score
 from cityhop.llm.trie import numbered_turns, prefix_trie, rebuilt
 from cityhop.llm.url_filter import filter_urls
+from cityhop.llm.warc import round_trip
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -89,6 +90,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(rebuilt(turns, source=conv - conv % 5, head=F.crc32(conv.cast("string")) % 9))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_source_mixing": op2_source_mixing,
@@ -102,6 +107,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_warc": op13_warc,
 }
 #: CRC-32 of a string's UTF-8 bytes, over the table of all byte values.
 _CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)),
@@ -109,6 +115,12 @@ _CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce(list_pre
 _CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen({0}) + 1), lambda i: ('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::BIGINT)),
               lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"""
 SQL: dict[str, str] = {
+    "op13_warc": """
+        SELECT page_id, strlen(p) AS payload_bytes, sha1(p) AS payload_digest,
+               CASE WHEN strlen(p) >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN strlen(p) >= 1000 AND page_id < top THEN top END AS refers_to
+        FROM (SELECT page_id, p, max(page_id) OVER (PARTITION BY p) AS top FROM (SELECT page_id, coalesce(html, '') AS p FROM pages))
+    """,
     "op12_prefix_trie": r"""
         WITH crc AS MATERIALIZED (""" + _CRC_TABLE + r"""), o AS MATERIALIZED (
             SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS k,

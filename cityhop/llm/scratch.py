@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from pathlib import Path
 
@@ -41,8 +42,8 @@ def fresh(columns, *wanted: str) -> list[str]:
 def heavy_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, spread: list[str]) -> DataFrame:
     """``rows`` left-joined with ``table``, which has one row per key and in ``weight`` the number of ``rows`` with that key.
 
-    Keys with over a thousandth of the weight, fewer than a thousand, are broadcast; their rows then go through
-    the shuffle of the others dealt out by a hash of the columns ``spread`` instead of their key.
+    Keys with over a thousandth of the weight, fewer than a thousand, are broadcast; their rows, and those with a null in
+    the key, then go through the shuffle of the others dealt out by a hash of the columns ``spread`` instead of their key.
     """
     columns = [c for c in table.columns if c not in on and c != weight]
     is_heavy, by, low = fresh([*rows.columns, *table.columns], "heavy", "by", "low")
@@ -50,7 +51,8 @@ def heavy_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, sp
     heavy = F.col(weight) * 1000 > total
     top = table.where(heavy).select(*on, *[F.col(c).alias(f"{low}_{c}") for c in columns], F.lit(True).alias(is_heavy))
     rest = table.where(~heavy).select(*on, *columns, F.lit(-1).alias(by))
-    dealt = F.when(F.col(is_heavy), F.pmod(F.xxhash64(*spread), F.lit(1 << 16)).cast("int")).otherwise(F.lit(-1))
+    blank = functools.reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    dealt = F.when(F.col(is_heavy) | blank, F.pmod(F.xxhash64(*spread), F.lit(1 << 16)).cast("int")).otherwise(F.lit(-1))
     met = rows.join(F.broadcast(top), on, "left").withColumn(by, dealt).join(rest, [*on, by], "left")
     return met.select(*rows.columns, *[F.coalesce(c, f"{low}_{c}").alias(c) for c in columns])
 
