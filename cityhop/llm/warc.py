@@ -297,8 +297,10 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 def train(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> bytes:
     """A dictionary from a bounded sample; empty where there is too little to learn from.  It changes sizes, never contents."""
-    sample = pages.select(F.xxhash64(F.col(id_col)).alias("h"), F.substring(payload_col, 1, SAMPLE_CHARS).alias("t")).where("t is not null")
-    texts = [r["t"].encode() for r in sample.orderBy("h", "t").limit(SAMPLE_ROWS).collect()]
+    share = min(1.0, 2 * SAMPLE_ROWS / max(1, pages.count()))
+    drawn = pages.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = drawn.select(F.substring(payload_col, 1, SAMPLE_CHARS).alias("t")).where("t is not null").limit(SAMPLE_ROWS)
+    texts = [r["t"].encode() for r in sample.collect()]
     texts = [http_header(len(t)) + t for t in texts if t]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
