@@ -81,3 +81,9 @@ def hour_floor_seconds(seconds) -> Column:
 def parse_iso_request_time(c) -> Column:
     """Request time ``yyyy-MM-ddTHH:mm:ss``; NULL when malformed."""
     return F.try_to_timestamp(_c(c), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+
+
+def parse_request_clock(c) -> Column:
+    """``HH:mm:ss`` of a requested earliest departure -> seconds, NULL when malformed."""
+    t = parse_iso_request_time(F.concat(F.lit("2000-10-10T"), _c(c)))
+    return F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)

@@ -16,6 +16,7 @@ class Network:
     trips: DataFrame  # feed_id, trip_id, service_id, route_id
     calendar: DataFrame  # feed_id, service_id, days ARRAY<INT>(Mon..Sun), start_date, end_date
     calendar_dates: DataFrame  # feed_id, service_id, date, exception_type
+    files: DataFrame | None = None  # feed_id, file: which tables each feed has; None = not known
 
     def feed_info(self) -> DataFrame:
         """Feeds table for joining.  Its size is the number of declared feeds

@@ -7,11 +7,14 @@ Each function takes (spark, sf_dir) and returns a DataFrame normalised by
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityhop.operators.cities import build_cities, city_center, city_members, snap_to_city
-from cityhop.operators.quality import feed_freshness, flag_unknown_place, validate_period
+from cityhop.operators.quality import check_trip_requests, feed_freshness, flag_unknown_place, validate_period
 from cityhop.operators.reach import reachable_stops, trips_in_period, trips_nearby
 from cityhop.operators.service import service_dates
 from cityhop.operators.trips import TRIP_COLUMNS, direct_trips
@@ -21,7 +24,7 @@ from cityhop.plans.destinations import reachability_matrix, reachable_cities
 from cityhop.plans.journeys import od_frequency, present_trips, search_trips
 from cityhop.plans.tidy import tidy
 from cityhop.session import ensure_checkpoint_dir, materialize
-from cityhop.sources.gtfs import read_network, transports, write_network
+from cityhop.sources.gtfs import find_tables, load_feeds, read_network, rejects, transports, write_network
 from cityhop.sources import testbind
 
 # Fixed request parameters of the benchmark.
@@ -37,15 +40,18 @@ AS_OF = "2024-01-20"
 _NETWORKS: dict = {}
 
 
+def _folder(spark: SparkSession, sf: str) -> str:
+    """A name of its own for each application and data set: two applications never write to one folder."""
+    return hashlib.sha1(f"{spark.sparkContext.applicationId} {sf}".encode()).hexdigest()[:16]
+
+
 def ingest(spark: SparkSession, sf: str):
     """Bind the benchmark tables to GTFS shape and store them as
     Parquet under the session's shared checkpoint
     folder -- the start-up ingest of the service.  Queries then scan these
     tables instead of re-deriving them."""
-    import hashlib
-
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    out = f"{base}/cityhop-network-{hashlib.sha1(sf.encode()).hexdigest()[:12]}"
+    out = f"{base}/cityhop-network-{_folder(spark, sf)}"
     write_network(testbind.bind(spark, sf), out)
     return read_network(spark, out)
 
@@ -306,6 +312,75 @@ def q_request_validation(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(flagged.select("query_id", "start_date", "end_date", "error", "city_id"))
 
 
+_TEXT_FEEDS: dict = {}
+
+
+def _text_feeds(spark: SparkSession, sf: str):
+    """The bound tables as GTFS text, written once per application and data set: specs and found files."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TEXT_FEEDS:
+        specs = testbind.write_gtfs_text(spark, sf, f"{ensure_checkpoint_dir(spark).rstrip('/')}/cityhop-text-{_folder(spark, sf)}")
+        _TEXT_FEEDS[key] = specs, find_tables(spark, specs)
+    return _TEXT_FEEDS[key]
+
+
+def q_load_feeds_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Every accepted row of every table of the text feeds, in one layout."""
+    net = load_feeds(spark, *_text_feeds(spark, sf))
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("long")
+    degrees = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    parts = [
+        (net.feeds, "feeds", "feed_kind", "timezone", "feed_priority", number, text),
+        (net.stops, "stops", "stop_id", "parent_station", degrees("stop_lat"), degrees("stop_lon"), F.concat_ws("|", "stop_name", "stop_timezone")),
+        (net.stop_times, "stop_times", "trip_id", "stop_id", "stop_sequence", "departure_s", text),
+        (net.trips, "trips", "trip_id", "service_id", number, number, F.col("route_id")),
+        (net.calendar, "calendar", "service_id", F.array_join(F.col("days").cast("array<string>"), ""), number, number, F.concat_ws("..", day("start_date"), day("end_date"))),
+        (net.calendar_dates, "calendar_dates", "service_id", day("date"), "exception_type", number, text),
+    ]
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    rows = [
+        df.select("feed_id", F.lit(name).alias("table_name"), *[col(v).alias(a) for v, a in ((k, "key"), (o, "other"), (m, "first_number"), (n, "second_number"), (x, "text"))])
+        for df, name, k, o, m, n, x in parts
+    ]
+    return tidy(functools.reduce(DataFrame.unionByName, rows))
+
+
+def q_load_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Every value of the text feeds that could not be read."""
+    return tidy(rejects(spark, *_text_feeds(spark, sf)).withColumnRenamed("table", "table_name").withColumnRenamed("column", "column_name"))
+
+
+def raw_trip_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """One raw trip request per order: from its customer's point to the same offset in the next nation; some times are
+    malformed, some periods turned round, some fields left out, some places far from any city."""
+    orders = testbind.read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    places = customer_trip_requests(spark, sf).select(F.col("query_id").alias("cq"), "dep_lat", "dep_lon", "arr_lat", "arr_lon")
+    k = F.col("o_orderkey")
+    iso = "yyyy-MM-dd'T'HH:mm:ss"
+    end = F.expr("o_orderdate + make_dt_interval(CAST(o_orderkey % 6 - 1 AS INT), 0, 0, 0)")
+    far = F.when(k % 7 == 3, 30.0).otherwise(0.0)
+    joined = orders.join(places, F.concat(F.lit("c"), F.col("o_custkey").cast("string")) == F.col("cq"))
+    given = k % 10 != 9  # no arrival place otherwise
+    return joined.select(
+        F.concat(F.lit("o"), k.cast("string")).alias("query_id"),
+        "dep_lat",
+        "dep_lon",
+        F.when(given, F.col("arr_lat") + far).alias("arr_lat"),
+        F.when(given, F.col("arr_lon")).alias("arr_lon"),
+        F.when(k % 11 == 0, F.date_format("o_orderdate", "yyyy/MM/dd HH:mm")).otherwise(F.date_format("o_orderdate", iso)).alias("start"),
+        F.date_format(end, iso).alias("end"),
+        F.when(k % 13 == 1, F.lit("6h30")).when(k % 13 != 2, F.format_string("%02d:%02d:00", (k % 24).cast("int"), (k % 60).cast("int"))).alias("dep_time"),
+    )
+
+
+def q_trip_request_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """F10 for trips: defaults, typed bounds, both cities, and of refused requests the field, its raw value and the reason."""
+    checked = check_trip_requests(raw_trip_requests(spark, sf), cities_table(spark, sf))
+    return tidy(checked.select("query_id", "start_date", "end_date", "min_departure_s", "dep_city", "arr_city", "fault.field", "fault.reason",
+                               F.when(F.col("fault.reason") != "unknown_place", F.col("fault.raw")).alias("raw")))
+
+
 QUERIES = {
     "load_stop_times": q_load_stop_times,
     "load_calendar": q_load_calendar,
@@ -333,4 +408,7 @@ QUERIES = {
     "feed_freshness": q_feed_freshness,
     "transports": q_transports,
     "request_validation": q_request_validation,
+    "load_feeds_csv": q_load_feeds_csv,
+    "load_rejects": q_load_rejects,
+    "trip_request_validation": q_trip_request_validation,
 }

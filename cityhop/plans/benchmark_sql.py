@@ -596,6 +596,92 @@ SELECT p.query_id, strftime(CAST(p.s AS DATE), '%Y-%m-%d') AS start_date, strfti
 FROM parsed p LEFT JOIN rsnap r ON r.query_id = p.query_id"""
 
 
+def load_feeds_csv_sql() -> str:
+    """The bound tables less what the text feeds' malformed values take away."""
+    turned = "CAST(service_id AS BIGINT) % 19 = 5"
+    low, high = f"CASE WHEN {turned} THEN end_date ELSE start_date END", f"CASE WHEN {turned} THEN start_date ELSE end_date END"
+    return with_ctes() + f"""
+SELECT feed_id, 'feeds' AS table_name, feed_kind AS key, timezone AS other, CAST(feed_priority AS BIGINT) AS first_number,
+       CAST(NULL AS BIGINT) AS second_number, CAST(NULL AS VARCHAR) AS text FROM g_feeds
+UNION ALL
+SELECT feed_id, 'stops', stop_id, parent_station,
+       CASE WHEN feed_id = 'F1' AND TRY_CAST(stop_id AS BIGINT) % 13 = 4 THEN NULL ELSE CAST(round(stop_lat * 1000000) AS BIGINT) END,
+       CAST(round(stop_lon * 1000000) AS BIGINT),
+       concat_ws('|', stop_name || CASE WHEN feed_id = 'F2' THEN ', "quai"' ELSE '' END, CASE WHEN feed_id = 'F0' THEN stop_timezone END) FROM g_stops
+UNION ALL
+SELECT feed_id, 'stop_times', trip_id, stop_id,
+       CASE WHEN CAST(trip_id AS BIGINT) % 43 = 5 AND stop_sequence = 1 THEN NULL ELSE stop_sequence END,
+       CASE WHEN CAST(trip_id AS BIGINT) % 41 = 11 AND stop_sequence = 2 THEN NULL ELSE departure_s END, NULL FROM g_stop_times
+UNION ALL
+SELECT feed_id, 'trips', trip_id, service_id, NULL, NULL, route_id FROM g_trips
+UNION ALL
+SELECT feed_id, 'calendar', service_id, array_to_string(list_transform(range(7), lambda i: (mask >> i) & 1), ''), NULL, NULL,
+       strftime(start_date, '%Y-%m-%d') || '..' || strftime(end_date, '%Y-%m-%d')
+FROM g_calendar WHERE CAST(service_id AS BIGINT) % 17 <> 3 AND {low} <= {high}
+UNION ALL
+SELECT feed_id, 'calendar_dates', service_id, strftime(date, '%Y-%m-%d'), CASE WHEN CAST(service_id AS BIGINT) % 29 <> 1 THEN exception_type END, NULL, NULL
+FROM g_calendar_dates WHERE CAST(service_id AS BIGINT) % 23 <> 7"""
+
+
+def load_rejects_sql() -> str:
+    day = "strftime({}, '%Y%m%d')"
+    return with_ctes() + f"""
+SELECT feed_id, 'stops' AS table_name, 'stop_lat' AS column_name, stop_id AS row_key, 'n/a' AS raw, 'bad_number' AS reason, CAST(0 AS BIGINT) AS rejected
+FROM g_stops WHERE feed_id = 'F1' AND TRY_CAST(stop_id AS BIGINT) % 13 = 4
+UNION ALL
+SELECT feed_id, 'stop_times', 'departure_time', trip_id || '/' || stop_id, '7h30', 'bad_clock', 0
+FROM g_stop_times WHERE CAST(trip_id AS BIGINT) % 41 = 11 AND stop_sequence = 2
+UNION ALL
+SELECT feed_id, 'stop_times', 'stop_sequence', trip_id || '/' || stop_id, 'two', 'bad_number', 0
+FROM g_stop_times WHERE CAST(trip_id AS BIGINT) % 43 = 5 AND stop_sequence = 1
+UNION ALL
+SELECT feed_id, 'calendar', 'start_date', service_id, '20241301', 'bad_date', 1 FROM g_calendar WHERE CAST(service_id AS BIGINT) % 17 = 3
+UNION ALL
+SELECT feed_id, 'calendar', 'end_date', service_id, {day.format('end_date')} || '..' || {day.format('start_date')}, 'end_before_start', 1
+FROM g_calendar WHERE CAST(service_id AS BIGINT) % 17 <> 3 AND CAST(service_id AS BIGINT) % 19 = 5 AND end_date > start_date
+UNION ALL
+SELECT feed_id, 'calendar_dates', 'date', service_id, strftime(date, '%Y/%m/%d'), 'bad_date', 1
+FROM g_calendar_dates WHERE CAST(service_id AS BIGINT) % 23 = 7
+UNION ALL
+SELECT feed_id, 'calendar_dates', 'exception_type', service_id, 'x', 'bad_number', 0 FROM g_calendar_dates WHERE CAST(service_id AS BIGINT) % 29 = 1"""
+
+
+def trip_request_validation_sql() -> str:
+    iso = "'%Y-%m-%dT%H:%M:%S'"
+    raw = f"""
+raw AS (
+  SELECT 'o' || CAST(o.o_orderkey AS VARCHAR) AS query_id, p.dep_lat, p.dep_lon,
+         CASE WHEN o_orderkey % 10 = 9 THEN CAST(48.8566 AS DOUBLE) ELSE p.arr_lat + CASE WHEN o_orderkey % 7 = 3 THEN 30 ELSE 0 END END AS arr_lat,
+         CASE WHEN o_orderkey % 10 = 9 THEN CAST(2.3522 AS DOUBLE) ELSE p.arr_lon END AS arr_lon,
+         CASE WHEN o_orderkey % 11 = 0 THEN strftime(o_orderdate, '%Y/%m/%d %H:%M') ELSE strftime(o_orderdate, {iso}) END AS s_raw,
+         strftime(o_orderdate + to_days(CAST(o_orderkey % 6 - 1 AS INTEGER)), {iso}) AS e_raw,
+         CASE WHEN o_orderkey % 13 = 1 THEN '6h30' WHEN o_orderkey % 13 = 2 THEN '06:00:00'
+              ELSE printf('%02d:%02d:00', o_orderkey % 24, o_orderkey % 60) END AS t_raw
+  FROM orders o JOIN creq p ON p.query_id = 'c' || CAST(o.o_custkey AS VARCHAR)
+),
+tdep AS (SELECT query_id, dep_lat AS lat, dep_lon AS lon FROM raw),
+tarr AS (SELECT query_id, arr_lat AS lat, arr_lon AS lon FROM raw),
+parsed AS (
+  SELECT query_id, s_raw, e_raw, t_raw, try_strptime(s_raw, {iso}) AS s, try_strptime(e_raw, {iso}) AS e,
+         try_strptime('2000-10-10T' || t_raw, {iso}) AS t FROM raw
+)"""
+    creq = customer_trips_ctes()[0]
+    return with_ctes(*CITY_ALL, creq, raw, snap_cte("tdep", "dsnap"), snap_cte("tarr", "asnap"), recursive=True) + """
+, judged AS (
+  SELECT p.*, d.city_id AS dep_city, a.city_id AS arr_city,
+         CASE WHEN s IS NULL THEN 'start' WHEN e IS NULL THEN 'end' WHEN e < s THEN 'end' WHEN t IS NULL THEN 'dep_time'
+              WHEN d.city_id IS NULL THEN 'dep_place' WHEN a.city_id IS NULL THEN 'arr_place' END AS field,
+         CASE WHEN s IS NULL OR e IS NULL THEN 'bad_time' WHEN e < s THEN 'end_before_start' WHEN t IS NULL THEN 'bad_time'
+              WHEN d.city_id IS NULL OR a.city_id IS NULL THEN 'unknown_place' END AS reason
+  FROM parsed p LEFT JOIN dsnap d ON d.query_id = p.query_id LEFT JOIN asnap a ON a.query_id = p.query_id
+)
+SELECT query_id, strftime(CAST(s AS DATE), '%Y-%m-%d') AS start_date, strftime(CAST(e AS DATE), '%Y-%m-%d') AS end_date,
+       CAST(hour(t) * 3600 + minute(t) * 60 + second(t) AS BIGINT) AS min_departure_s, dep_city, arr_city, field, reason,
+       CASE WHEN reason = 'end_before_start' THEN s_raw || '..' || e_raw
+            WHEN reason = 'bad_time' THEN CASE field WHEN 'start' THEN s_raw WHEN 'end' THEN e_raw ELSE t_raw END END AS raw
+FROM judged"""
+
+
 SQL = {
     "load_stop_times": with_ctes()
     + """
@@ -672,6 +758,9 @@ FROM snap""",
 SELECT feed_id, CAST(feed_priority AS BIGINT) AS feed_priority FROM g_feeds f
 WHERE EXISTS (SELECT 1 FROM g_trips t WHERE t.feed_id = f.feed_id)""",
     "request_validation": request_validation_sql(),
+    "load_feeds_csv": load_feeds_csv_sql(),
+    "load_rejects": load_rejects_sql(),
+    "trip_request_validation": trip_request_validation_sql(),
 }
 
 

@@ -65,6 +65,8 @@ CALENDAR_DATES = T.StructType(
     ]
 )
 
+FILES = T.StructType([T.StructField("feed_id", S, True), T.StructField("file", S, True)])
+
 # Requests (batch API).  ``transports`` NULL means every feed.
 PLACES = T.StructType(
     [

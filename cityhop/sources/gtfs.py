@@ -1,20 +1,25 @@
 """GTFS feeds -> Network (S1-S5), Parquet round trip (S8), transports.
 
-Each feed is a directory of CSV files with a header.  Columns are selected
-by *name* (files of different producers order them differently), every
-value is read as a string and typed explicitly -- never inferred, so
-``"001"`` stays ``"001"``.  Unread columns (``arrival_time`` may be
-malformed) are never parsed.  All feeds are unioned into one table per GTFS
-file with a ``feed_id`` column.
+Each feed is a directory of CSV files with a header.  All feeds' files of one GTFS table are read by **one** scan:
+``_metadata.file_path`` says which feed a row is from, and a small table (a row per feed) says at which position that
+feed's header has each column, so feeds may order, add or leave out columns as they like and the plan does not grow with
+the number of feeds.  A table may be one file or a folder of part files (that share a header).
+
+Every value is read as a string and typed explicitly -- never inferred, so ``"001"`` stays ``"001"``.  Unread columns
+(``arrival_time`` may be malformed) are never parsed.  What cannot be typed is reported by :func:`rejects` (P2) with
+feed, table, column, row key, raw value and reason; no row goes unreported.
 """
 
 from __future__ import annotations
 
+import csv
+import functools
+import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from cityhop import schema
 from cityhop.functions.timefmt import parse_gtfs_clock, parse_yyyymmdd
@@ -23,6 +28,18 @@ from cityhop.model import Network
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 TABLES = ["feeds", "stops", "stop_times", "trips", "calendar", "calendar_dates"]
 
+#: GTFS columns that are read of each file; the first ones are the row's key in reports.
+READ_COLUMNS = {
+    "agency": ["agency_timezone"],
+    "stops": ["stop_id", "stop_name", "stop_lat", "stop_lon", "stop_timezone", "parent_station"],
+    "stop_times": ["trip_id", "stop_id", "stop_sequence", "departure_time"],
+    "trips": ["trip_id", "service_id", "route_id"],
+    "calendar": ["service_id", *WEEKDAYS, "start_date", "end_date"],
+    "calendar_dates": ["service_id", "date", "exception_type"],
+}
+#: Headers read at a time by the driver.
+HEADER_THREADS = 16
+
 
 @dataclass(frozen=True)
 class FeedSpec:
@@ -32,121 +49,181 @@ class FeedSpec:
     kind: str | None = None  # CALENDAR / DATES / STATION; None = detect
 
 
-def _read_csv(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        df = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
-    except AnalysisException as e:  # file absent: optional GTFS table
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+# --- reading ------------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class _File:
+    """Where a feed has a table, and the columns of its header."""
+
+    feed_id: str
+    path: str
+    folder: str  # folder that holds the CSV files, as rows' file paths spell it
+    header: tuple[str, ...]
+
+
+def _spelled(uri: str) -> str:
+    return re.sub(r"^file:/+", "file:/", uri)
+
+
+def _header(spark: SparkSession, feed_id: str, path: str) -> _File | None:
+    """The header of ``path`` (its first line, of the first part file of a folder); None if there is no such table."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(conf)
+    if not system.exists(at):
+        return None
+    at = system.makeQualified(at)
+    if system.getFileStatus(at).isDirectory():
+        folder = at
+        parts = sorted(s.getPath().toString() for s in system.listStatus(at) if s.isFile() and s.getPath().getName()[0] not in "._")
+        if not parts:
             return None
-        raise
-    return df
+        at = jvm.org.apache.hadoop.fs.Path(parts[0])
+    else:
+        folder = at.getParent()
+    stream = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(system.open(at), "UTF-8"))
+    try:
+        line = stream.readLine() or ""
+    finally:
+        stream.close()
+    names = next(csv.reader([line.lstrip("\ufeff")]), [])
+    return _File(feed_id, path, _spelled(folder.toUri().toString()), tuple(n.strip() for n in names))
 
 
-def _col(df: DataFrame, name: str):
-    return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
+def find_tables(spark: SparkSession, specs: list[FeedSpec]) -> dict[str, list[_File]]:
+    """Per GTFS table, the feeds that have it.  Only first lines are read here."""
+    wanted = [(table, s.feed_id, f"{s.path.rstrip('/')}/{table}.txt") for s in specs for table in READ_COLUMNS]
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        found = list(pool.map(lambda w: (w[0], _header(spark, w[1], w[2])), wanted))
+    return {table: [f for t, f in found if t == table and f] for table in READ_COLUMNS}
 
 
-def _feed_tables(spark: SparkSession, spec: FeedSpec) -> dict[str, DataFrame | None]:
-    base = spec.path.rstrip("/")
-    fid = F.lit(spec.feed_id)
-    out: dict[str, DataFrame | None] = {}
+def read_table(spark: SparkSession, table: str, files: list[_File]) -> DataFrame:
+    """feed_id, pos (orders a feed's rows) and the raw strings of the table's read columns, for all feeds in one scan.
 
-    agency = _read_csv(spark, f"{base}/agency.txt")
-    if agency is not None:
-        # "first agency row wins": order by read position within the file.
-        agency = agency.select(fid.alias("feed_id"), _col(agency, "agency_timezone").alias("tz"), F.monotonically_increasing_id().alias("_pos"))
-        out["agency"] = agency.groupBy("feed_id").agg(F.min_by("tz", "_pos").alias("agency_timezone"))
-    else:
-        out["agency"] = None
-
-    stops = _read_csv(spark, f"{base}/stops.txt")
-    out["stops"] = stops.select(
-        fid.alias("feed_id"),
-        _col(stops, "stop_id").alias("stop_id"),
-        _col(stops, "stop_name").alias("stop_name"),
-        _col(stops, "stop_lat").try_cast("double").alias("stop_lat"),
-        _col(stops, "stop_lon").try_cast("double").alias("stop_lon"),
-        _col(stops, "stop_timezone").alias("stop_timezone"),
-        F.nullif(F.trim(_col(stops, "parent_station")), F.lit("")).alias("parent_station"),
+    A column that a feed's header lacks is null.  Blank lines are skipped; a row shorter than its header ends in nulls.
+    """
+    columns = READ_COLUMNS[table]
+    if not files:
+        return spark.createDataFrame([], ", ".join(["feed_id string", "pos struct<block:bigint,row:bigint>", *(f"{c} string" for c in columns)]))
+    at = {f.folder: [f.header.index(c) if c in f.header else None for c in columns] for f in files}
+    positions = sorted({i for places in at.values() for i in places if i is not None})
+    width = max(len(f.header) for f in files)
+    raw = (
+        spark.read.option("header", True)
+        .option("mode", "PERMISSIVE")
+        .option("escape", '"')
+        .schema(", ".join(f"c{i} string" for i in range(width)))
+        .csv(sorted({f.path for f in files}))
     )
-
-    st = _read_csv(spark, f"{base}/stop_times.txt")
-    out["stop_times"] = st.select(
-        fid.alias("feed_id"),
-        _col(st, "trip_id").alias("trip_id"),
-        _col(st, "stop_id").alias("stop_id"),
-        F.trim(_col(st, "stop_sequence")).try_cast("int").alias("stop_sequence"),
-        parse_gtfs_clock(_col(st, "departure_time")).alias("departure_s"),
+    # a row per feed: as bounded as the list of feeds
+    places = spark.createDataFrame(
+        [(f.folder, f.feed_id, [None if i is None else positions.index(i) + 1 for i in at[f.folder]]) for f in files],
+        "folder string, feed_id string, places array<int>",
     )
-
-    trips = _read_csv(spark, f"{base}/trips.txt")
-    out["trips"] = trips.select(
-        fid.alias("feed_id"),
-        _col(trips, "trip_id").alias("trip_id"),
-        _col(trips, "service_id").alias("service_id"),
-        _col(trips, "route_id").alias("route_id"),
+    folder = F.regexp_replace(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/"), "/[^/]*$", "")
+    rows = raw.select(
+        F.array(*[F.col(f"c{i}") for i in positions]).alias("values") if positions else F.array().cast("array<string>").alias("values"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("pos"),
+        folder.alias("folder"),
     )
+    rows = rows.join(F.broadcast(places), "folder")
+    value = [F.try_element_at("values", F.element_at("places", F.lit(k + 1))).alias(c) for k, c in enumerate(columns)]
+    return rows.select("feed_id", "pos", *value)
 
-    cal = _read_csv(spark, f"{base}/calendar.txt")
-    if cal is not None:
-        typed = cal.select(
-            fid.alias("feed_id"),
-            _col(cal, "service_id").alias("service_id"),
-            F.array(*[F.trim(_col(cal, d)).try_cast("int") for d in WEEKDAYS]).alias("days"),
-            parse_yyyymmdd(_col(cal, "start_date")).alias("start_date"),
-            parse_yyyymmdd(_col(cal, "end_date")).alias("end_date"),
-        )
-        # Quality rule: a validity range that ends before it starts is rejected.
-        out["calendar"] = typed.where(F.col("start_date") <= F.col("end_date"))
-    else:
-        out["calendar"] = None
-
-    cd = _read_csv(spark, f"{base}/calendar_dates.txt")
-    out["calendar_dates"] = (
-        None
-        if cd is None
-        else cd.select(
-            fid.alias("feed_id"),
-            _col(cd, "service_id").alias("service_id"),
-            parse_yyyymmdd(_col(cd, "date")).alias("date"),
-            F.trim(_col(cd, "exception_type")).try_cast("int").alias("exception_type"),
-        )
-    )
-    return out
+
+# --- typing -------------------------------------------------------------------------------------------------------
 
 
-def _union(frames: list[DataFrame | None], empty_schema, spark: SparkSession) -> DataFrame:
-    present = [f for f in frames if f is not None]
-    if not present:
-        return spark.createDataFrame([], empty_schema)
-    df = present[0]
-    for f in present[1:]:
-        df = df.unionByName(f, allowMissingColumns=True)
-    return df
+def _blank(c: str) -> Column:
+    return F.nullif(F.trim(c), F.lit(""))
 
 
-def load_feeds(spark: SparkSession, specs: list[FeedSpec]) -> Network:
-    """Read every feed, union per table, derive the feeds dimension.
+def _int(c: str) -> Column:
+    return F.trim(c).try_cast("int")
 
-    Kind detection when not declared: a calendar file -> CALENDAR; else any
-    stop with a parent station -> STATION; else DATES.  Feed zone = first
-    agency row.
+
+def _double(c: str) -> Column:
+    return F.trim(c).try_cast("double")
+
+
+#: Typed columns that can fail, per table: (column, typed value, reason, does a bad value reject the row).
+TYPED = {
+    "stops": [("stop_lat", _double, "bad_number", False), ("stop_lon", _double, "bad_number", False)],
+    "stop_times": [("stop_sequence", _int, "bad_number", False), ("departure_time", parse_gtfs_clock, "bad_clock", False)],
+    "calendar": [*[(d, _int, "bad_number", False) for d in WEEKDAYS], ("start_date", parse_yyyymmdd, "bad_date", True), ("end_date", parse_yyyymmdd, "bad_date", True)],
+    "calendar_dates": [("date", parse_yyyymmdd, "bad_date", True), ("exception_type", _int, "bad_number", False)],
+}
+
+
+def _typed(table: str, raw: DataFrame) -> DataFrame:
+    """The rows of a table with their typed columns; rows that are rejected are still there."""
+    if table == "stops":
+        out = ["stop_id", "stop_name", _double("stop_lat").alias("stop_lat"), _double("stop_lon").alias("stop_lon"), "stop_timezone"]
+        return raw.select("feed_id", *out, _blank("parent_station").alias("parent_station"))
+    if table == "stop_times":
+        return raw.select("feed_id", "trip_id", "stop_id", _int("stop_sequence").alias("stop_sequence"), parse_gtfs_clock("departure_time").alias("departure_s"))
+    if table == "trips":
+        return raw.select("feed_id", "trip_id", "service_id", "route_id")
+    if table == "calendar":
+        days = F.array(*[_int(d) for d in WEEKDAYS]).alias("days")
+        return raw.select("feed_id", "service_id", days, *[parse_yyyymmdd(c).alias(c) for c in ("start_date", "end_date")])
+    return raw.select("feed_id", "service_id", parse_yyyymmdd("date").alias("date"), _int("exception_type").alias("exception_type"))
+
+
+def _accepted(table: str, typed: DataFrame) -> DataFrame:
+    """Without the rows that :func:`rejects` reports as rejected: no readable date, or a validity that ends before it starts."""
+    if table == "calendar":
+        return typed.where(F.col("start_date") <= F.col("end_date"))
+    return typed.where(F.col("date").isNotNull()) if table == "calendar_dates" else typed
+
+
+REJECTS = "feed_id string, table string, column string, row_key string, raw string, reason string, rejected boolean"
+
+
+def _table_rejects(table: str, raw: DataFrame) -> DataFrame:
+    """Values of a table that could not be typed.  A rejected row is reported once per bad column; of a date
+    that is missing, too, since the row is lost without it.  Other missing values are no fault."""
+    faults = []
+    for column, parse, reason, needed in TYPED[table]:
+        given = _blank(column)
+        bad = parse(column).isNull() & (F.lit(needed) | given.isNotNull())
+        faults.append(F.when(bad, F.struct(F.lit(column).alias("column"), F.col(column).alias("raw"), F.when(given.isNull(), F.lit("missing")).otherwise(F.lit(reason)).alias("reason"), F.lit(needed).alias("rejected"))))
+    if table == "calendar":
+        span = F.concat_ws("..", F.trim("start_date"), F.trim("end_date"))
+        turned = parse_yyyymmdd("start_date") > parse_yyyymmdd("end_date")
+        faults.append(F.when(turned, F.struct(F.lit("end_date").alias("column"), span.alias("raw"), F.lit("end_before_start").alias("reason"), F.lit(True).alias("rejected"))))
+    keys = [c for c in READ_COLUMNS[table][:2] if c.endswith("_id")]
+    row_key = F.concat_ws("/", *keys).alias("row_key")
+    found = raw.select("feed_id", row_key, F.explode(F.filter(F.array(*faults), lambda f: f.isNotNull())).alias("f"))
+    return found.select("feed_id", F.lit(table).alias("table"), "f.column", "row_key", "f.raw", "f.reason", "f.rejected")
+
+
+def rejects(spark: SparkSession, specs: list[FeedSpec], tables: dict[str, list[_File]] | None = None) -> DataFrame:
+    """Every value of the feeds' files that could not be typed (:data:`REJECTS`).
+
+    ``rejected``: the row is left out of the network; else it is there with a null in that place.
     """
-    per_feed = [(_feed_tables(spark, s), s) for s in specs]
-    stops = _union([t["stops"] for t, _ in per_feed], schema.STOPS, spark)
-    stop_times = _union([t["stop_times"] for t, _ in per_feed], schema.STOP_TIMES, spark)
-    trips = _union([t["trips"] for t, _ in per_feed], schema.TRIPS, spark)
-    calendar = _union([t["calendar"] for t, _ in per_feed], schema.CALENDAR, spark)
-    calendar_dates = _union([t["calendar_dates"] for t, _ in per_feed], schema.CALENDAR_DATES, spark)
-    agency = _union(
-        [t["agency"] for t, _ in per_feed], "feed_id string, agency_timezone string", spark
-    )
+    tables = tables or find_tables(spark, specs)
+    return functools.reduce(DataFrame.unionByName, [_table_rejects(t, read_table(spark, t, tables[t])) for t in TYPED])
+
 
+def load_feeds(spark: SparkSession, specs: list[FeedSpec], tables: dict[str, list[_File]] | None = None) -> Network:
+    """All feeds, one scan per GTFS table, and the feeds dimension.
+
+    Kind detection when not declared: a calendar file -> CALENDAR; else any stop with a parent station -> STATION; else
+    DATES.  Feed zone = first agency row.  ``Network.files`` lists which feeds have which tables.
+    """
+    tables = tables or find_tables(spark, specs)
+    frames = {t: _accepted(t, _typed(t, read_table(spark, t, tables[t]))) for t in TABLES[1:]}
+    agency = read_table(spark, "agency", tables["agency"]).groupBy("feed_id").agg(F.min_by("agency_timezone", "pos").alias("agency_timezone"))
+    has_calendar = {f.feed_id for f in tables["calendar"]}
     declared = spark.createDataFrame(
-        [(s.feed_id, int(s.priority), s.kind, t["calendar"] is not None) for t, s in per_feed],
+        [(s.feed_id, int(s.priority), s.kind, s.feed_id in has_calendar) for s in specs],
         "feed_id string, feed_priority int, declared_kind string, has_calendar boolean",
     )
-    has_parent = stops.groupBy("feed_id").agg(F.max(F.col("parent_station").isNotNull()).alias("has_parent"))
+    has_parent = frames["stops"].groupBy("feed_id").agg(F.max(F.col("parent_station").isNotNull()).alias("has_parent"))
     feeds = (
         declared.join(has_parent, "feed_id", "left")
         .join(agency, "feed_id", "left")
@@ -162,7 +239,8 @@ def load_feeds(spark: SparkSession, specs: list[FeedSpec]) -> Network:
             F.coalesce(F.col("agency_timezone"), F.lit("UTC")).alias("timezone"),
         )
     )
-    return Network(feeds, stops, stop_times, trips, calendar, calendar_dates)
+    files = spark.createDataFrame([(f.feed_id, t) for t in READ_COLUMNS for f in tables[t]], schema.FILES)
+    return Network(feeds=feeds, files=files, **frames)
 
 
 #: What each table is sorted by in its files; row-group statistics then prune a feed filter.
@@ -180,6 +258,8 @@ def write_network(net: Network, out_dir: str, mode: str = "overwrite") -> None:
         if name in SORTED_BY:
             df = df.sortWithinPartitions("feed_id", SORTED_BY[name])
         df.write.mode(mode).parquet(f"{out_dir.rstrip('/')}/{name}")
+    if net.files is not None:
+        net.files.write.mode(mode).parquet(f"{out_dir.rstrip('/')}/files")
 
 
 def read_network(spark: SparkSession, in_dir: str) -> Network:
@@ -190,7 +270,9 @@ def read_network(spark: SparkSession, in_dir: str) -> Network:
         target = getattr(schema, name.upper())
         df = spark.read.schema(target).parquet(f"{base}/{name}")
         frames[name] = df.select(*[F.col(f.name) for f in target.fields])
-    return Network(**frames)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/files")
+    listed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return Network(**frames, files=spark.read.schema(schema.FILES).parquet(f"{base}/files") if listed else None)
 
 
 def transports(net: Network) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cityhop.model import Network
+from cityhop.sources.gtfs import WEEKDAYS, FeedSpec
 
 # Fixed feed declarations of the binding.
 FEED_ROWS = [("F0", 0, "CALENDAR", "UTC"), ("F1", 1, "DATES", "Europe/Paris"), ("F2", 2, "STATION", "Europe/Paris")]
@@ -143,3 +144,76 @@ def with_period(places: DataFrame, start: str, end: str, transports: list[str] |
     return places.select(
         "*", F.lit(start).cast("date").alias("start_date"), F.lit(end).cast("date").alias("end_date"), t.alias("transports")
     )
+
+
+# --- the bound tables as GTFS text, with values that cannot be read ------------------------------------------------
+
+#: Column order of each feed's files: as declared, backwards with a further column, rotated.
+_ORDERS = {"F0": lambda c: c, "F1": lambda c: ["note", *reversed(c)], "F2": lambda c: [*c[1:], c[0]]}
+BAD_START, BAD_CLOCK, BAD_SEQUENCE, BAD_LAT, BAD_TYPE = "20241301", "7h30", "two", "n/a", "x"
+
+
+def text_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The raw strings of each GTFS table of the binding (with feed_id), some of them malformed by rule:
+
+    services 3 (mod 17) start on a 13th month, 5 (mod 19) have their validity turned round; dates of services 7 (mod 23)
+    are not YYYYMMDD, types of 1 (mod 29) no numbers; second stops of trips 11 (mod 41) have no clock time, first ones of
+    5 (mod 43) no number; stops 4 (mod 13) of F1 no latitude.  Arrival times, never read, are all malformed.
+    """
+    net = bind(spark, sf_dir)
+    key = lambda c, m, r: F.coalesce(F.col(c).try_cast("long") % m == r, F.lit(False))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    second = F.col("departure_s")
+    clock = F.format_string("%d:%02d:%02d", F.floor(second / 3600).cast("int"), (F.floor(second / 60) % 60).cast("int"), (second % 60).cast("int"))
+    start, end = (F.date_format(c, "yyyyMMdd") for c in ("start_date", "end_date"))
+    turned = key("service_id", 19, 5)
+    return {
+        "agency": net.feeds.select("feed_id", F.lit("a").alias("agency_id"), F.col("timezone").alias("agency_timezone")),
+        "stops": net.stops.select(
+            "feed_id",
+            "stop_id",
+            F.when(F.col("feed_id") == "F2", F.concat("stop_name", F.lit(', "quai"'))).otherwise(F.col("stop_name")).alias("stop_name"),
+            F.when((F.col("feed_id") == "F1") & key("stop_id", 13, 4), F.lit(BAD_LAT)).otherwise(F.col("stop_lat").cast("string")).alias("stop_lat"),
+            text("stop_lon"),
+            "stop_timezone",
+            "parent_station",
+        ),
+        "stop_times": net.stop_times.select(
+            "feed_id",
+            "trip_id",
+            F.lit("07:34:00:").alias("arrival_time"),
+            F.when(key("trip_id", 41, 11) & (F.col("stop_sequence") == 2), F.lit(BAD_CLOCK)).otherwise(clock).alias("departure_time"),
+            "stop_id",
+            F.when(key("trip_id", 43, 5) & (F.col("stop_sequence") == 1), F.lit(BAD_SEQUENCE)).otherwise(F.col("stop_sequence").cast("string")).alias("stop_sequence"),
+        ),
+        "trips": net.trips.select("feed_id", "trip_id", "service_id", "route_id"),
+        "calendar": net.calendar.select(
+            "feed_id",
+            "service_id",
+            *[F.element_at("days", i + 1).cast("string").alias(d) for i, d in enumerate(WEEKDAYS)],
+            F.when(key("service_id", 17, 3), F.lit(BAD_START)).when(turned, end).otherwise(start).alias("start_date"),
+            F.when(turned, start).otherwise(end).alias("end_date"),
+        ),
+        "calendar_dates": net.calendar_dates.select(
+            "feed_id",
+            "service_id",
+            F.date_format("date", "yyyyMMdd").alias("day"),
+            F.when(key("service_id", 23, 7), F.date_format("date", "yyyy/MM/dd")).otherwise(F.date_format("date", "yyyyMMdd")).alias("date"),
+            F.when(key("service_id", 29, 1), F.lit(BAD_TYPE)).otherwise(F.col("exception_type").cast("string")).alias("exception_type"),
+        ),
+    }
+
+
+def write_gtfs_text(spark: SparkSession, sf_dir: str, out: str) -> list[FeedSpec]:
+    """Write :func:`text_tables` as one folder of GTFS files per feed; their specs."""
+    tables = text_tables(spark, sf_dir)
+    specs = [FeedSpec(f, f"{out.rstrip('/')}/{f}", priority) for f, priority, _, _ in FEED_ROWS]
+    for spec in specs:
+        for name, df in tables.items():
+            if name == "calendar" and spec.feed_id != "F0":
+                continue
+            columns = [c for c in df.columns if c != "feed_id"]
+            rows = df.where(F.col("feed_id") == spec.feed_id).withColumn("note", F.lit("x, y"))
+            ordered = rows.select(*_ORDERS[spec.feed_id](columns))
+            ordered.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{spec.path}/{name}.txt")
+    return specs
