@@ -1,8 +1,8 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
 Each paragraph (line) is hashed to a wide vector, and a document's fingerprint is the sum of its paragraphs'
-vectors: 16 lanes modulo 2**64 of a keyless BLAKE2b digest, and 256 lanes modulo 2**16 of the paragraph's 8-byte
-grams (each adds or subtracts one in the lane of its hash).  Sums do not depend on order, and a paragraph is
+vectors: 16 lanes modulo 2**64 of a keyless BLAKE2b digest, and 256 lanes modulo 2**32 of the paragraph's 8-byte
+grams (each adds or subtracts one in the lane of its hash; a text that Spark can hold has fewer than 2**31 grams, so none wraps).  Sums do not depend on order, and a paragraph is
 inserted or deleted by adding or subtracting its vector (``insert``, ``delete``, ``combine``).
 
 Equal multisets of paragraphs have equal fingerprints; unlike ones differ in the digest lanes.  ``likeness`` is
@@ -59,16 +59,16 @@ def vector(text: str | None) -> Print:
         if len(p) < GRAM:  # too short for a gram: itself is one
             k = int(part[0]) % (2 * LANES)
             lanes[k % LANES] += 1 if k < LANES else -1
-    return exact, lanes.astype(np.int16)
+    return exact, lanes.astype(np.int32)
 
 
 def to_string(v: Print) -> str:
-    return binascii.b2a_base64(v[0].astype("<u8").tobytes() + v[1].astype("<i2").tobytes(), newline=False).decode()
+    return binascii.b2a_base64(v[0].astype("<u8").tobytes() + v[1].astype("<i4").tobytes(), newline=False).decode()
 
 
 def from_string(s: str) -> Print:
     raw = binascii.a2b_base64(s)
-    return np.frombuffer(raw[: 8 * EXACT], "<u8").copy(), np.frombuffer(raw[8 * EXACT :], "<i2").copy()
+    return np.frombuffer(raw[: 8 * EXACT], "<u8").copy(), np.frombuffer(raw[8 * EXACT :], "<i4").copy()
 
 
 def combine(a: Print, b: Print, sign: int = 1) -> Print:

@@ -3,8 +3,8 @@
 A line is the set of its words (as in ``words``).  Two lines match when ``100 * intersection >= percent * union``; a line that matches an
 earlier one (by document, then line number) is removed.
 
-1. Words are counted over the whole corpus in 2**20 hash buckets (4 MB whatever the corpus).  The logarithm of a word's bucket, then its hash, is
-   a total order of all words, rare ones first.
+1. Words are counted over the whole corpus in 2**20 hash buckets (4 MB whatever the corpus).  Buckets are put in order of the logarithm of their
+   counts; a word's place is its bucket's, then its hash: a total order of all words, rare ones first, that keeps all 64 bits of the hash.
 2. Lines of equal sets collapse to the first; the others are removed.
 3. Matching lines share a word among their first ``n - ceil(percent * n / 100) + 1`` words (prefix filter); words of a count of one cannot be shared.
    Lines meet by such words.  Pairs must pass the length filter, the positional filter (the words after the shared
@@ -15,8 +15,9 @@ earlier one (by document, then line number) is removed.
 A word group of more than ``GROUP`` lines is dealt as pairs of blocks, so that no task holds it whole.
 
 Null and empty texts have one line without words; lines without words match nothing and stay.  A null id orders first.  Rows of equal id and
-text are one document and get the same result; rows of equal id and unlike text are documents of their own, ordered by their text's hash within a
-line number.  Extra columns are kept.  An empty table gives an empty result.
+text are one document and get the same result; rows of equal id and unlike text are documents of their own, in order of their text's 64-bit hash:
+where ids occur more than once, documents are numbered through in that order.  Extra columns are kept; the columns added get underscores
+in front where the documents have their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cityhop.llm.scratch import fresh, written
@@ -38,10 +39,10 @@ BUCKETS, PARTS = 1 << 20, 512
 NEAREST = 4
 #: Lines of a word group that one task compares.
 GROUP = 1 << 15
-#: Bits of a text's hash that tell rows of one id apart.
-VERSION = 20
-BROADCAST_ROWS = 200_000
+#: Rows, and entries of their lists, up to which a table of line numbers is broadcast (28 MB); both are counted first.
+BROADCAST_ROWS, BROADCAST_ENTRIES = 200_000, 2_000_000
 _C = np.uint64(0x5851F42D4C957F2D)
+_REST = np.uint64((1 << 44) - 1)
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -70,24 +71,26 @@ def _sum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"part": [part], "levels": [level.tobytes()]})
 
 
-def word_levels(docs: DataFrame) -> np.ndarray:
-    """Logarithm of the corpus count of each bucket's words, one byte a bucket."""
+def word_order(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Place of each bucket of words in order of the logarithm of its corpus count, and how many count no word twice."""
     counts = docs.select("text").mapInPandas(_count, "part int, counts binary")
     parts = counts.repartition("part").mapInPandas(_sum, "part int, levels binary")
-    out = np.zeros(BUCKETS, np.uint8)
+    levels = np.zeros(BUCKETS, np.uint8)
     size = BUCKETS // PARTS
     for r in parts.collect():  # 1 MB in all
-        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["levels"], np.uint8)
-    return out
+        levels[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["levels"], np.uint8)
+    place = np.empty(BUCKETS, np.uint32)
+    place[np.argsort(levels, kind="stable")] = np.arange(BUCKETS, dtype=np.uint32)
+    return place, int((levels == 0).sum())
 
 
-def _line_sets(texts: list[str], levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _line_sets(texts: list[str], place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words of all lines in order, bounds of each line, first line of each text)."""
     data = "\n".join(texts).encode("utf-8", "surrogatepass")
     starts, h = word_hashes(data)
     feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
     line = np.searchsorted(feeds, starts)
-    word = (levels[_bucket(h)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+    word = (place[_bucket(h)].astype(np.uint64) << np.uint64(44)) | (h & _REST)
     bounds = np.searchsorted(line, np.arange(len(feeds) + 2))
     for a, b in zip(bounds[:-1], bounds[1:]):
         if b - a > 1:
@@ -100,14 +103,15 @@ def _line_sets(texts: list[str], levels: np.ndarray) -> tuple[np.ndarray, np.nda
     return word[new], kept[bounds], first
 
 
-def _describe(levels_value, percent: int):
+def _describe(order, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        levels = levels_value.value
+        place, singles = order.value
+        once = np.uint64((singles << 44) % 2**64)
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
-            docs, versions = pdf["doc"].to_numpy(np.int64), pdf["v"].to_numpy(np.int64)
+            docs = pdf["doc"].to_numpy(np.int64)
             for a, b in chunks(texts, 1 << 21):
-                word, bounds, first = _line_sets(texts[a:b], levels)
+                word, bounds, first = _line_sets(texts[a:b], place)
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
                 if not len(full):
@@ -118,7 +122,7 @@ def _describe(levels_value, percent: int):
                 one = np.uint64(1) << (bit & np.uint64(63))
                 low = np.bitwise_xor.reduceat(np.where(bit < 64, one, np.uint64(0)), at)
                 high = np.bitwise_xor.reduceat(np.where(bit < 64, np.uint64(0), one), at)
-                unique = np.add.reduceat((word >> np.uint64(56) == 0).astype(np.int64), at)
+                unique = np.add.reduceat((word < once).astype(np.int64) if singles < BUCKETS else np.ones(len(word), np.int64), at)
                 prefix = size + (-percent * size) // 100 + 1  # size - ceil(percent * size / 100) + 1
                 # a set matches an unlike one only if it matches itself and one more
                 prefix = np.where(100 * size >= percent * (size + 1), prefix, 0)
@@ -126,7 +130,7 @@ def _describe(levels_value, percent: int):
                 yield pd.DataFrame(
                     {
                         "doc": docs[a:b][text_of],
-                        "uid": ((full - first[text_of]) << VERSION) | versions[a:b][text_of],
+                        "uid": full - first[text_of],
                         "n": size,
                         "skip": skip,
                         "d1": np.add.reduceat(mix(word), at).view(np.int64),
@@ -304,17 +308,17 @@ def _candidates(words: DataFrame, percent: int, nearest: int | None) -> DataFram
     return pairs.unionByName(written(more).drop("word", "large"))
 
 
-def _sets_of(levels_value):
+def _sets_of(order):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        levels = levels_value.value
+        place, _ = order.value
         for pdf in batches:
             texts = pdf["text"].tolist()
             for a, b in chunks(texts, 1 << 21):
-                word, bounds, first = _line_sets([t or "" for t in texts[a:b]], levels)
+                word, bounds, first = _line_sets([t or "" for t in texts[a:b]], place)
                 doc, uid, sets = [], [], []
                 for k, (d, uids) in enumerate(zip(pdf["doc"].iloc[a:b], pdf["uids"].iloc[a:b])):
                     for u in uids:
-                        line = first[k] + (int(u) >> VERSION)
+                        line = first[k] + int(u)
                         doc.append(d)
                         uid.append(int(u))
                         sets.append(word[bounds[line] : bounds[line + 1]].view(np.int64))
@@ -323,14 +327,18 @@ def _sets_of(levels_value):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, levels_value, percent: int) -> DataFrame:
+def _small(table: DataFrame, lists: str) -> bool:
+    """Whether a written table of ids with lists of line numbers may be broadcast: its rows and its lists' entries are counted."""
+    size = table.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(lists)), F.lit(0)).alias("entries")).first()
+    return size["rows"] <= BROADCAST_ROWS and size["entries"] <= BROADCAST_ENTRIES
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, order, percent: int) -> DataFrame:
     """Those of the pairs that match: doc, uid, to_doc, to_uid."""
     ends = pairs.select("doc", "uid").unionByName(pairs.select(F.col("to_doc").alias("doc"), F.col("to_uid").alias("uid"))).distinct()
-    wanted = written(ends.groupBy("doc", (F.col("uid") % (1 << VERSION)).cast("int").alias("v")).agg(F.collect_list("uid").alias("uids")))
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.dropDuplicates(["doc", "v"]) if docs.groupBy("doc", "v").count().where("count > 1").limit(1).count() else docs
-    texts = texts.join(F.broadcast(wanted) if few else wanted, ["doc", "v"]).select("doc", "uids", "text")
-    sets = written(texts.mapInPandas(_sets_of(levels_value), "doc long, uid long, words array<bigint>"))
+    wanted = written(ends.groupBy("doc").agg(F.collect_list("uid").alias("uids")))
+    texts = docs.join(F.broadcast(wanted) if _small(wanted, "uids") else wanted, "doc").select("doc", "uids", "text")
+    sets = written(texts.mapInPandas(_sets_of(order), "doc long, uid long, words array<bigint>"))
     to = sets.select(F.col("doc").alias("to_doc"), F.col("uid").alias("to_uid"), F.col("words").alias("to_words"))
     both = F.size(F.array_intersect("words", "to_words"))
     joined = pairs.join(sets, ["doc", "uid"]).join(to, ["to_doc", "to_uid"])
@@ -338,18 +346,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, levels_value, percent: int) ->
 
 
 def line_matches(docs: DataFrame, percent: int) -> DataFrame:
-    """(doc, uid) of each line that matches an earlier one; ``docs``: doc, v, text.  ``uid`` is the line number and the version."""
+    """(doc, uid) of each line that matches an earlier one; ``docs``: doc (each once), text.  ``uid`` is the line number."""
     spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(word_levels(docs))
+    order = spark.sparkContext.broadcast(word_order(docs))
     lines = written(
-        docs.mapInPandas(_describe(levels, percent), "doc long, uid long, n long, skip long, d1 long, d2 long, prefix binary, b1 long, b2 long")
+        docs.mapInPandas(_describe(order, percent), "doc long, uid long, n long, skip long, d1 long, d2 long, prefix binary, b1 long, b2 long")
     )
     kept = ["doc", "uid", "skip", "prefix", "b1", "b2"]
     firsts = written(lines.groupBy("n", "d1", "d2").agg(F.min(F.struct(*kept)).alias("f")).select("n", "d1", "d2", "f.*"))
     copies = lines.select("doc", "uid", "n", "d1", "d2").join(firsts.select("doc", "uid"), ["doc", "uid"], "left_anti").select("doc", "uid")
     words = firsts.where("octet_length(prefix) > 0").select("doc", "uid", "n", "skip", "prefix", "b1", "b2").mapInArrow(_by_word(), _WORDS)
     near = _candidates(words, percent, NEAREST)
-    found = written(_verified(docs, near.select("doc", "uid", "to_doc", "to_uid").distinct(), levels, percent).select("doc", "uid").distinct())
+    found = written(_verified(docs, near.select("doc", "uid", "to_doc", "to_uid").distinct(), order, percent).select("doc", "uid").distinct())
     # lines with further candidates and no match yet go through all of them
     rest = written(near.where("open").select("doc", "uid").distinct().join(found, ["doc", "uid"], "left_anti"))
     if not rest.isEmpty():
@@ -364,23 +372,40 @@ def line_matches(docs: DataFrame, percent: int) -> DataFrame:
         rows = rows.withColumn("side", F.when(F.col("probe"), 3).otherwise(4)).drop("probe")
         tried = near.select("doc", "uid", "to_doc", "to_uid")
         more = _candidates(rows, percent, None).select("doc", "uid", "to_doc", "to_uid").distinct().join(tried, ["doc", "uid", "to_doc", "to_uid"], "left_anti")
-        found = found.unionByName(_verified(docs, written(more), levels, percent).select("doc", "uid").distinct())
+        found = found.unionByName(_verified(docs, written(more), order, percent).select("doc", "uid").distinct())
     return copies.unionByName(found)
 
 
+def _numbered(pairs: DataFrame) -> DataFrame:
+    """id, h, number: distinct pairs, numbered through in their order range by range, so that no task orders them all."""
+    ranged = written(pairs.repartitionByRange("id", "h").withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    # a row per range
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("id", "h"))
+    return ranged.withColumn("place", place).join(F.broadcast(before), "range").select("id", "h", (F.col("before") + F.col("place")).alias("number"))
+
+
 def dedup_lines(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, lines_col: str = "n_lines", removed_col: str = "removed"
 ) -> DataFrame:
     """The documents without lines that match an earlier line; ``lines_col``: lines before, ``removed_col``: numbers of the removed lines (from 0)."""
-    doc, v, gone = fresh([*documents.columns, lines_col, removed_col], "doc", "v", "gone")
+    doc, th, gone, lines_col, removed_col = fresh(documents.columns, "doc", "th", "gone", lines_col, removed_col)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    version = F.xxhash64(F.col(text_col)).bitwiseAND(F.lit((1 << VERSION) - 1)).cast("int")
-    docs = documents.select(key.alias("doc"), version.alias("v"), F.col(text_col).alias("text"))
+    rows = documents.withColumn(doc, key)
+    if rows.groupBy(doc).count().where("count > 1").isEmpty():
+        docs = rows.select(F.col(doc).alias("doc"), F.col(text_col).alias("text"))
+    else:
+        rows = rows.withColumn(th, F.xxhash64(F.col(text_col)))
+        numbers = written(_numbered(rows.select(F.col(doc).alias("id"), F.col(th).alias("h")).distinct()))
+        number, i, h = fresh(rows.columns, "number", "i", "h")
+        rows = rows.join(numbers.toDF(i, h, number), (F.col(doc) == F.col(i)) & (F.col(th) == F.col(h)))
+        rows = written(rows.withColumn(doc, F.col(number)).drop(i, h, number, th))
+        docs = rows.groupBy(F.col(doc).alias("doc")).agg(F.first(text_col).alias("text"))
     matches = line_matches(docs, percent)
-    by_doc = matches.groupBy(F.col("doc").alias(doc), F.col("uid").bitwiseAND(F.lit((1 << VERSION) - 1)).cast("int").alias(v))
-    removed = written(by_doc.agg(F.array_sort(F.collect_list(F.shiftright("uid", VERSION).cast("int"))).alias(gone)))
-    few = removed.count() <= BROADCAST_ROWS
-    rows = documents.withColumn(doc, key).withColumn(v, version).join(F.broadcast(removed) if few else removed, [doc, v], "left")
+    by_doc = matches.groupBy(F.col("doc").alias(doc))
+    removed = written(by_doc.agg(F.array_sort(F.collect_list(F.col("uid").cast("int"))).alias(gone)))
+    rows = rows.join(F.broadcast(removed) if _small(removed, gone) else removed, doc, "left")
     parts = F.split(F.col(text_col), "\n", -1)
     rest = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
     columns = [F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest).alias(c) if c == text_col else F.col(c) for c in documents.columns]

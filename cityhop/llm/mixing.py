@@ -127,6 +127,34 @@ def split_quotas(blocks: DataFrame, levels: int, seed: int) -> DataFrame:
     return node.select("shard", F.explode_outer("s").alias("x")).select("shard", "x.place", F.col("x.n").cast("long").alias("quota")).where("place is not null")
 
 
+#: Rounds of the block permutation, and steps after which a block that is still outside has a chance under 10**-14.
+ROUNDS, WALK = 3, 24
+
+
+def permuted(block: Column, blocks: Column, seed: int, key: Column) -> Column:
+    """The place of ``block`` (from 0) in a permutation of ``blocks`` blocks that ``seed`` and ``key`` choose.
+
+    A Feistel network over a grid of about sqrt(blocks) rows: a row is moved by a hash of its column, then the column by
+    a hash of its row.  Blocks that land on the grid's few cells too many go through it again.
+    """
+    high = F.ceil(F.sqrt(blocks.cast("double"))).cast("long")
+    wide = F.ceil(blocks / high).cast("long")
+
+    def once(x: Column) -> Column:
+        state = F.struct(F.floor(x / wide).cast("long").alias("r"), F.pmod(x, wide).alias("c"))
+
+        def turn(a: Column, i: Column) -> Column:
+            row = F.pmod(a["r"] + F.pmod(F.xxhash64(F.lit(seed), key, i, a["c"]), high), high)
+            return F.struct(row.alias("r"), F.pmod(a["c"] + F.pmod(F.xxhash64(F.lit(~seed), key, i, row), wide), wide).alias("c"))
+
+        return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), state, turn, lambda a: a["r"] * wide + a["c"])
+
+    def walk(x: Column, _: Column) -> Column:
+        return F.when(x < blocks, x).otherwise(once(x))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(block.cast("long")), walk)
+
+
 def mix(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -179,12 +207,10 @@ def mix(
     about = by_source.withColumnRenamed("source", "of")
     placed = placed.join(about, placed["source"].eqNullSafe(about["of"]))
     cut = F.greatest(F.lit(0).cast("long"), F.least("size", F.col("part") - F.col("start")))
-    step = F.when(F.col("blocks") % 1_000_003 == 0, 1_000_033).otherwise(1_000_003)
-
     def copy(k: Column, words: Column) -> Column:
         block = k * F.col("whole") + F.floor(F.col("start") / F.col("block"))
         # documents without words at a stream's end start in the block after its last one
-        position = F.pmod(F.least(block, F.col("blocks") - 1) * step, F.col("blocks"))
+        position = permuted(F.least(block, F.col("blocks") - 1), F.col("blocks"), seed, F.col("source"))
         shard = F.size(F.filter("upto", lambda e: e <= position))
         return F.struct(k.cast("int").alias("pass"), words.alias("words"), shard.alias("shard"))
 

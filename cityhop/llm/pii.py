@@ -322,8 +322,11 @@ def replace(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[
 
 
 def pseudonymise(documents: DataFrame, key: bytes, text_col: str = "text", found_col: str = "found", back: bool = False) -> DataFrame:
-    """The documents with pseudonyms in their texts, and ``found_col``: kind, start and end (code points of the new text) of each."""
-    (both,) = fresh([*documents.columns, found_col], "replaced")
+    """The documents with pseudonyms in their texts, and ``found_col``: kind, start and end (code points of the new text) of each.
+
+    A column of that name that the documents have stays; the spans' name then gets underscores in front.
+    """
+    both, found = fresh(documents.columns, "replaced", found_col)
 
     @F.pandas_udf("text string, found array<struct<kind:string,start:int,end:int>>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -333,10 +336,10 @@ def pseudonymise(documents: DataFrame, key: bytes, text_col: str = "text", found
             yield pd.DataFrame({"text": [t for t, _ in rows], "found": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for _, s in rows]})
 
     done = documents.withColumn(both, run(F.col(text_col)))
-    columns = [F.col(f"{both}.text").alias(c) if c == text_col else F.col(c) for c in documents.columns if c != found_col]
-    return done.select(*columns, F.col(f"{both}.found").alias(found_col))
+    columns = [F.col(f"{both}.text").alias(c) if c == text_col else F.col(c) for c in documents.columns]
+    return done.select(*columns, F.col(f"{both}.found").alias(found))
 
 
 def restore(documents: DataFrame, key: bytes, text_col: str = "text", found_col: str = "found") -> DataFrame:
-    """What ``pseudonymise`` replaced, put back (dates are written with two digits a day and month)."""
-    return pseudonymise(documents, key, text_col, found_col, back=True)
+    """What ``pseudonymise`` replaced, put back, with the spans in ``found_col`` anew (dates are written with two digits a day and month)."""
+    return pseudonymise(documents.drop(found_col), key, text_col, found_col, back=True)

@@ -10,9 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import xxhash
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SEGMENT = 1 << 20
+#: Longest word (bytes) that the vectorised polynomial hashes: modulo 2**64 it has known collisions between words of a
+#: thousand letters, whatever its base.  Longer words go through XXH3 one by one.
+SHORT = 32
 
 _rng = np.random.default_rng(20_240_501)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,7 +50,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start offset and 64-bit hash of each word in ``data``.
 
     Long buffers are hashed in segments cut at separators, so that the power
-    tables stay small.
+    tables stay small.  Words of over ``SHORT`` bytes are hashed one by one.
     """
     raw = np.frombuffer(data, np.uint8)
     solid = np.zeros(len(raw) + 2, np.int8)
@@ -65,6 +69,8 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         s, e = starts[first:last] - at, ends[first:last] - at
         out[first:last] = mix((sums[e] - sums[s]) * _power(_INVERSE, n)[s] + (e - s).astype(np.uint64))
         first = last
+    for k in np.flatnonzero(ends - starts > SHORT):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].lower(), seed=1)
     return starts, out
 
 

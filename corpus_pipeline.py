@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from cityhop.llm.line_dedup import dedup_lines
 from cityhop.llm.mixing import mixed_documents
-from cityhop.llm.near_dedup import near_duplicates
+from cityhop.llm.near_dedup import near_rows
 from cityhop.llm.packing import pack
 from cityhop.llm.scratch import fresh, importable, written
 from cityhop.llm.toxicity import clean_documents, fit
 
-#: Ids (one long each) that are broadcast once they were counted to be no more.
+#: Rows (an id and a hash each) that are broadcast once they were counted to be no more.
 BROADCAST_ROWS = 200_000
+#: Characters of a part of an output shard, about; parts of the fewest.
+PART_CHARS, LEAST_PARTS = 1 << 26, 64
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,16 +44,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
     importable(spark)
-    dropped = written(near_duplicates(docs).where("not kept").select("doc_id"))
+    dropped = written(near_rows(docs).where("not stays").select("doc", "th"))
     few = dropped.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
+    same = docs["doc_id"].eqNullSafe(F.col("doc")) & (F.xxhash64(docs["text"]) == F.col("th"))
+    return docs.join(F.broadcast(dropped) if few else dropped, same, "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources, a row per drawn copy, shuffled inside each output shard."""
     mixed = mixed_documents(docs)
     shard, order = mixed.columns[-2:]
-    mixed = mixed.repartition(shard, F.pmod(order, F.lit(64))).sortWithinPartitions(shard, order)
+    shards = 16
+    # the mix has 1.5 times the input's words: parts of a shard grow in number with the input, not in size
+    chars = docs.agg(F.coalesce(F.sum("n_chars"), F.lit(0)).alias("n")).first()["n"]
+    parts = max(LEAST_PARTS, -(-3 * chars // (2 * shards * PART_CHARS)))
+    mixed = mixed.repartition(shard, F.pmod(order, F.lit(parts))).sortWithinPartitions(shard, order)
     return _recounted(mixed, docs.columns)
 
 

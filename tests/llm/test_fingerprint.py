@@ -1,4 +1,6 @@
 import hashlib
+import math
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,6 +53,34 @@ def test_edits_by_the_next_document(make):
     assert prints == {r["doc_id"]: r["fingerprint"] for r in fingerprints(docs).collect()} | {7: prints[7]}
 
 
+def _grams(text):
+    """Exact counts of what the lanes count: 8-byte grams of each paragraph, or a shorter paragraph itself."""
+    out = Counter()
+    for p in text.encode().split(b"\n"):
+        if len(p) < 8:
+            out[p] += 1
+        else:
+            out.update(p[i : i + 8] for i in range(len(p) - 7))
+    return out
+
+
+def _cosine(a, b):
+    x, y = _grams(a), _grams(b)
+    return sum(n * y[g] for g, n in x.items()) / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))
+
+
+def test_likeness_is_the_cosine_of_exact_counts_also_in_long_repetitive_texts(make):
+    texts = ["a" * 100_000, "a" * 40_000 + "b" * 9_000, "abc def " * 40_000, "z" * 65_536 + "\n" + "y" * 65_536, "the end of it is near\n" * 9_000, "word " * 70_000]
+    texts += ["\n".join(f"line {i * k} of some text {i}" for i in range(400)) for k in (1, 1, 3)]
+    rows = list(enumerate(texts))
+    for r in with_next(make(rows)).collect():
+        said, after = texts[r["doc_id"]], texts[(r["doc_id"] + 1) % len(texts)]
+        k = len(said) // 4
+        assert abs(r["near_edited"] - _cosine(said, said[: len(said) - k] + after[:k])) < 0.1
+        # texts of a handful of grams can meet in a lane by chance
+        assert abs(r["near_next"] - _cosine(said, after)) < 0.3
+
+
 def test_one_row_and_empty_table(make):
     r = with_next(make([(3, "abcdefgh")])).first()
     assert r["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()

@@ -80,3 +80,24 @@ def test_nulls_empty_long_repeated_and_extra_columns(make):
 
 def test_empty_table(make):
     assert dedup_lines(make([])).collect() == []
+
+
+def test_words_with_equal_polynomials_are_unlike(make):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    assert removed(dedup_lines(make([(1, one), (2, two), (3, two)]))) == {1: [], 2: [], 3: [0]}
+
+
+def test_many_rows_without_an_id(make):
+    rows = [(None, f"only line of text {i} and {i * i} of it\nshared line of all of them") for i in range(2_500)]
+    got = dedup_lines(make(rows)).collect()
+    assert len(got) == 2_500 and sum(r["removed"] == [] for r in got) == 1
+    kept = {r["text"] for r in got}
+    assert {t.split("\n")[0] for _, t in rows} == {t.split("\n")[0] for t in kept}
+
+
+def test_columns_of_the_added_names_stay(make):
+    docs = make([(1, "a b c\na b c"), (2, "d")]).withColumn("removed", F.lit("r")).withColumn("n_lines", F.lit(9)).withColumn("number", F.lit(0))
+    out = dedup_lines(docs)
+    assert out.columns == [*docs.columns, "_n_lines", "_removed"]
+    assert {(r["doc_id"], r["removed"], r["n_lines"], r["_n_lines"], tuple(r["_removed"])) for r in out.collect()} == {(1, "r", 9, 2, (1,)), (2, "r", 9, 1, ())}

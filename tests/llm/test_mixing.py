@@ -4,7 +4,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from cityhop.llm.mixing import first_words, mix, mixed_documents, split_quotas
+from cityhop.llm.mixing import permuted, first_words, mix, mixed_documents, split_quotas
 
 
 def water(sizes, weights, share=Fraction(3, 2), most=2):
@@ -80,3 +80,18 @@ def test_mixed_documents_are_what_the_mix_takes(make):
 def test_empty_tables(make):
     assert mix(make([])).collect() == [] and mixed_documents(make([])).collect() == []
     assert [tuple(r)[1:4] for r in mix(make([(1, "", "a")])).collect()] == [(0, 0, 0.0)]
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3, 7, 1000, 166_667, 333_334])
+def test_blocks_are_permuted_by_seed_and_source(spark, blocks):
+    b, n = F.col("id"), F.lit(blocks).cast("long")
+    places = spark.range(blocks).select("id", *[permuted(b, n, seed, F.lit(key)).alias(f"p{i}") for i, (seed, key) in enumerate([(1, "x"), (1, "x"), (2, "x"), (1, "y")])])
+    p = places.toPandas().sort_values("id")
+    for c in ("p0", "p2", "p3"):
+        assert sorted(p[c]) == list(range(blocks))
+    assert (p["p0"] == p["p1"]).all()
+    if blocks >= 1000:
+        for x, y in (("id", "p0"), ("p0", "p2"), ("p0", "p3")):
+            assert (p[x] == p[y]).mean() < 0.02
+        steps = p["p0"].diff().dropna() % blocks
+        assert steps.value_counts(normalize=True).max() < 0.05  # no stride

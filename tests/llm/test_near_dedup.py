@@ -88,7 +88,38 @@ def test_nulls_empty_long_repeated_and_extra_columns(make):
     rows = [(1, None), (2, ""), (3, " \n"), (9, "same text here now"), (4, "same text here now"), (4, "same text here now"), (None, "same text here now"), (5, long), (6, long + " more"), (7, "one"), (8, "ONE")]
     docs = make(rows).withColumn("id", F.lit("x")).withColumn("rep", F.lit(0)).withColumn("label", F.lit(None).cast("string"))
     got = {r["doc_id"]: tuple(r)[1:] for r in near_duplicates(docs, width=3, percent=85).collect()}
-    assert got == {1: (0, 1, True), 2: (0, 2, True), 3: (0, 3, True), 4: (2, 4, True), 9: (2, 4, False), 5: (59_998, 5, True), 6: (59_999, 5, False), 7: (1, 7, True), 8: (1, 7, False)}
+    assert got == {None: (2, 4, False), 1: (0, 1, True), 2: (0, 2, True), 3: (0, 3, True), 4: (2, 4, True), 9: (2, 4, False), 5: (59_998, 5, True), 6: (59_999, 5, False), 7: (1, 7, True), 8: (1, 7, False)}
+
+
+def test_unlike_texts_of_one_id_link_what_each_is_like(make):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (2, a + " x"), (2, b), (3, b + " y"), (4, "alone here now")]
+    assert labels(near_duplicates(make(rows), width=3, percent=85)) == {1: 1, 2: 1, 3: 1, 4: 4} == brute(rows, 3, 85)
+
+
+def test_null_ids_are_documents(make):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (7, a + " x"), (None, b), (None, b), (None, b + " y"), (None, c), (None, ""), (None, None)]
+    got = sorted((tuple(r) for r in near_duplicates(make(rows), width=3, percent=85).collect()), key=repr)
+    assert [r for r in got if r[0] == 7] == [(7, 59, 7, True)]
+    assert [(r[1:]) for r in got if r[0] is None and r[1] == 58 and r[2] == 7] == [(58, 7, False)]
+    lone = [r for r in got if r[0] is None and r[2] is None]
+    assert len(lone) == 5 and sum(r[3] for r in lone if r[1] > 0) == 2 and all(r[3] for r in lone if r[1] == 0)
+
+
+def test_words_with_equal_polynomials_are_unlike(make):
+    """The two Thue-Morse words agree modulo 2**64 in any polynomial of their letters."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    hashes, _ = batch_words([f"{one} {two} {one.upper()} {'é' * 40}"])
+    assert len(set(hashes.tolist())) == 3 and hashes[0] == hashes[2]
+    assert labels(near_duplicates(make([(1, one), (2, two)]), width=3, percent=85)) == {1: 1, 2: 2}
+
+
+def test_components_of_many_shingles_go_in_blocks(make, monkeypatch):
+    rows = corpus(seed=9, groups=6)
+    monkeypatch.setattr(near_dedup, "SHINGLES", 500)
+    assert labels(near_duplicates(make(rows), width=3, percent=85)) == brute(rows, 3, 85)
 
 
 def test_empty_table(make):

@@ -70,9 +70,9 @@ def test_texts_are_restored(parts, between):
 
 def test_table(make):
     rows = [(1, None), (2, ""), (3, "mail a.b@c.de " * 5000), (4, "call +1 (974) 555-3436"), (4, "call +1 (974) 555-3436"), (5, "+1 (974) 555-3436"), (None, "clean")]
-    docs = make(rows).withColumn("found", F.lit("old")).withColumn("replaced", F.lit(1))
+    docs = make(rows).withColumn("_found", F.lit("old")).withColumn("replaced", F.lit(1))
     got = pseudonymise(docs, b"k")
-    assert sorted(got.columns) == sorted(docs.columns)
+    assert got.columns == [*docs.columns, "found"] and {r["_found"] for r in got.collect()} == {"old"}
     out = {r["doc_id"]: r for r in got.collect()}
     assert out[1]["text"] is None and out[2]["text"] == "" and out[None]["text"] == "clean" and len(out[3]["found"]) == 5000
     assert out[4]["text"] == "call " + out[5]["text"] and out[5]["found"][0]["kind"] == "phone"
@@ -110,3 +110,10 @@ def test_values_read_as_a_later_kind_are_restored():
         for text in ("000-12-3456 7890", "2023-02-30 12345678"):
             new, spans = replace(text, feistel)
             assert [k for k, *_ in spans] == ["card"] and replace(new, feistel, True)[0] == text
+
+
+def test_a_column_named_found_stays(make):
+    docs = make([(1, "mail a.b@c.org now")]).withColumn("found", F.lit("old"))
+    out = pseudonymise(docs, b"k")
+    r = out.first()
+    assert out.columns == [*docs.columns, "_found"] and r["found"] == "old" and len(r["_found"]) == 1 and r["text"] != "mail a.b@c.org now"
