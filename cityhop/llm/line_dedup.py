@@ -28,10 +28,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityhop.llm.scratch import fresh, written
+from cityhop.llm.scratch import fresh, numbered, written
 from cityhop.llm.words import chunks, mix, word_hashes
 
 BUCKETS, PARTS = 1 << 20, 512
@@ -376,16 +376,6 @@ def line_matches(docs: DataFrame, percent: int) -> DataFrame:
     return copies.unionByName(found)
 
 
-def _numbered(pairs: DataFrame) -> DataFrame:
-    """id, h, number: distinct pairs, numbered through in their order range by range, so that no task orders them all."""
-    ranged = written(pairs.repartitionByRange("id", "h").withColumn("range", F.spark_partition_id()))
-    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    # a row per range
-    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("id", "h"))
-    return ranged.withColumn("place", place).join(F.broadcast(before), "range").select("id", "h", (F.col("before") + F.col("place")).alias("number"))
-
-
 def dedup_lines(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, lines_col: str = "n_lines", removed_col: str = "removed"
 ) -> DataFrame:
@@ -397,7 +387,7 @@ def dedup_lines(
         docs = rows.select(F.col(doc).alias("doc"), F.col(text_col).alias("text"))
     else:
         rows = rows.withColumn(th, F.xxhash64(F.col(text_col)))
-        numbers = written(_numbered(rows.select(F.col(doc).alias("id"), F.col(th).alias("h")).distinct()))
+        numbers = written(numbered(rows.select(F.col(doc).alias("id"), F.col(th).alias("h")).distinct(), ["id", "h"]))
         number, i, h = fresh(rows.columns, "number", "i", "h")
         rows = rows.join(numbers.toDF(i, h, number), (F.col(doc) == F.col(i)) & (F.col(th) == F.col(h)))
         rows = written(rows.withColumn(doc, F.col(number)).drop(i, h, number, th))

@@ -18,7 +18,7 @@ sets: breadth-first, each set against those not reached yet, so a component of n
 copies is never expanded into its pairs.  Links are confirmed in integers, as
 ``100 * intersection >= percent * union``.
 
-Rows of identical sets are one class, known by its set's digest, from the start; a group of copies is one row.
+Identical sets collapse to the smallest id first; a group of copies is one row.
 
 Nulls and empty texts have no shingles: they are linked with nothing and are their own
 component.  Rows of one id count as one document with the union of their links, whether their texts are equal or
@@ -37,15 +37,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityhop.llm.scratch import heavy_join, written
-from cityhop.llm.words import batch_shingles, chunks, mix
+from cityhop.llm.scratch import numbered, written
+from cityhop.llm.words import WORD_PATTERN, batch_shingles, chunks, mix
 from cityhop.operators.cluster import connected_components
 
 K = 64
 #: Members of a component, and shingles of theirs, that one task searches with their full sets (about).
 BLOCK = 4096
 SHINGLES = 4_000_000
-#: Rows of a checked size that may be broadcast (six longs each).
+#: Rows of a checked size that may be broadcast (two longs each).
 BROADCAST_ROWS = 200_000
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 2**62, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,8 +111,7 @@ def _features(width: int):
                         low, d1, d2 = np.zeros(K, np.uint64), 0, 0
                     rows.append((len(s), d1 - (1 << 63), d2 - (1 << 63), low.tobytes() if len(s) else b""))
                 out = pd.DataFrame(rows, columns=["n", "d1", "d2", "minima"])
-                out.insert(0, "th", pdf["th"].to_numpy()[a:b])
-                out.insert(0, "doc", pdf["doc"].iloc[a:b].array)
+                out.insert(0, "id", pdf["id"].to_numpy()[a:b])
                 yield out
 
     return run
@@ -380,43 +379,30 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def _links_in(texts: DataFrame, places: DataFrame, tasks: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links among the sets of each task; ``places`` names a row (doc, th) for each set, ``texts`` holds the rows' texts."""
-    wanted = written(tasks.join(places, "id").select("cluster", "task", "label", "id", "row_doc", "row_th"))
-    few = wanted.count() <= BROADCAST_ROWS
-    rows = texts.join(F.broadcast(wanted) if few else wanted, ["row_doc", "row_th"]).select("cluster", "task", "label", "id", "text")
+def _with_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (id, ...) with their texts; broadcast only if they were counted to be few."""
+    few = members.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(members) if few else members, "id")
+
+
+def _links_in(docs: DataFrame, tasks: DataFrame, width: int, percent: int) -> DataFrame:
+    rows = _with_texts(docs, tasks).select("cluster", "task", "label", "id", "text")
     return rows.repartition("cluster", "task").sortWithinPartitions("cluster", "task", "id").mapInPandas(_confirm(width, percent), "a long, b long")
 
 
-def near_rows(
-    documents: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    percent: int = 80,
-    recall: float = 0.999,
-    branching: float = 1.45,
-    node_limit: int = 2048,
-    max_depth: int = 3,
+def _components(
+    docs: DataFrame, together: DataFrame | None, width: int, percent: int, recall: float, branching: float, node_limit: int, max_depth: int
 ) -> DataFrame:
-    """One row per distinct row (id, hash of the text): doc, th, n_shingles, component (smallest id that links reach), stays."""
-    docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    """id, n, component (smallest id that links reach) for ``docs``: id (each once, not null), text.
+
+    ``together``: pairs (a, b) of ids that are linked whatever their texts.
+    """
     cut = _agree_cut(percent)
-    feats = docs.mapInPandas(_features(width), "doc long, th long, n long, d1 long, d2 long, minima binary")
-    feats = written(feats.withColumn("id", F.xxhash64("n", "d1", "d2")))
-    # nulls last, so that a row with an id speaks for its class where there is one
-    row_doc = F.coalesce("doc", F.lit(2**63 - 1))
+    feats = written(docs.select("id", "text").mapInPandas(_features(width), "id long, n long, d1 long, d2 long, minima binary"))
     full = feats.where("n > 0")
-    classes = full.groupBy("id").agg(F.min(F.struct(row_doc.alias("d"), "th")).alias("row"), F.min("doc").alias("low"), F.min("th").alias("low_th"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"))
-    classes = written(classes.select("id", "n", F.col("row.d").alias("row_doc"), F.col("row.th").alias("row_th"), "low", "low_th", "rows"))
-    speakers = classes.select("id", "row_doc", F.col("row_th").alias("th"))
-    reps = full.withColumn("row_doc", row_doc).join(speakers, ["id", "row_doc", "th"], "left_semi").select("id", "n", "minima")
-    texts = docs.select(row_doc.alias("row_doc"), F.col("th").alias("row_th"), "text")
-    if not feats.groupBy("doc", "th").count().where("count > 1").isEmpty():  # rows that occur again
-        reps = reps.dropDuplicates(["id"])
-        texts = texts.groupBy("row_doc", "row_th").agg(F.first("text").alias("text"))
-    reps = written(reps)
-    places = classes.select("id", "row_doc", "row_th")
+    firsts = full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
+    classes = written(feats.select("id", "n", "d1", "d2").join(firsts, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
+    reps = full.join(firsts.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "minima")
 
     trees = trees_for(recall, max_depth, branching, percent)
     schema = "key long, id long, n long, s0 long, s1 long, s2 long, s3 long"
@@ -439,31 +425,61 @@ def near_rows(
         level = large.join(reps, "id").select("key", "id", "n", "minima").mapInPandas(_branches(branching), schema)
 
     loose = written(connected_components(edges))  # node, label
-    sized = written(loose.join(classes.select(F.col("id").alias("node"), "n"), "node"))
-    sizes = sized.groupBy(F.col("label").alias("cluster")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    sized = loose.join(reps.select(F.col("id").alias("node"), "n"), "node")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES)).cast("int")
+    sizes = sized.groupBy(F.col("label").alias("cluster")).agg(blocks.alias("blocks"))
     members = written(
         loose.join(sizes, loose["label"] == sizes["cluster"])
         .select(F.col("node").alias("id"), "cluster", "blocks")
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     )
-    links = written(_links_in(texts, places, _first_tasks(members), width, percent))
+    links = written(_links_in(docs, _first_tasks(members), width, percent))
     split = members.where("blocks > 1")
     if not split.isEmpty():
-        links = written(links.unionByName(_rest_links(texts, places, split, links, width, percent)))
-    # classes that one id has texts of belong together
-    unlike = full.where("doc is not null").groupBy("doc").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("doc", "a")
-    if not unlike.isEmpty():
-        links = links.unionByName(full.join(unlike, "doc").where("id <> a").select("a", F.col("id").alias("b")).distinct())
+        links = written(links.unionByName(_rest_links(docs, split, links, width, percent)))
+    if together is not None:
+        reps_of = classes.select("id", "rep")
+        a, b = (reps_of.select(F.col("id").alias(c), F.col("rep").alias(f"rep_{c}")) for c in ("a", "b"))
+        links = links.unionByName(together.join(a, "a").join(b, "b").where("rep_a <> rep_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
     labels = connected_components(links)
+    joined = classes.join(labels, classes["rep"] == labels["node"], "left")
+    return joined.select("id", "n", F.coalesce("label", "rep").alias("component"))
+
 
-    joined = classes.join(labels, classes["id"] == labels["node"], "left").select("id", "rows", "low", "low_th", F.coalesce("label", "id").alias("label"))
-    joined = written(joined)
-    lows = joined.groupBy("label").agg(F.min("low").alias("component"), F.min("low_th").alias("first_th"), F.count(F.lit(1)).alias("weight"))
-    of_class = heavy_join(joined, lows, ["label"], "weight", ["id"]).select("id", "component", "first_th", "rows")
-    rows = heavy_join(feats.select("doc", "th", "n", "id"), written(of_class), ["id"], "rows", ["doc", "th"])
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))
-    stays = F.when((F.col("n") > 0) & F.col("component").isNull(), F.col("th") == F.col("first_th")).otherwise(F.col("doc").eqNullSafe(component))
-    return rows.select("doc", "th", F.col("n").alias("n_shingles"), component.alias("component"), stays.alias("stays")).distinct()
+def near_rows(
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    percent: int = 80,
+    recall: float = 0.999,
+    branching: float = 1.45,
+    node_limit: int = 2048,
+    max_depth: int = 3,
+) -> DataFrame:
+    """One row per distinct row (id, hash of the text): doc, th, n_shingles, component (smallest id that links reach), stays."""
+    docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    options = (width, percent, recall, branching, node_limit, max_depth)
+    if docs.groupBy("doc").count().where("count > 1 or doc is null").isEmpty():
+        found = _components(docs.withColumnRenamed("doc", "id"), None, *options)
+        named = found.select(F.col("id").alias("doc"), F.col("n").alias("n_shingles"), "component")
+        return named.join(docs.select("doc", "th"), "doc").select("doc", "th", "n_shingles", "component", (F.col("doc") == F.col("component")).alias("stays"))
+    # number the distinct rows through, null ids after all others
+    rows = docs.withColumn("key", F.coalesce("doc", F.lit(2**63 - 1)))
+    numbers = written(numbered(rows.select("key", "th", F.col("doc").isNull().alias("blank")).distinct(), ["key", "blank", "th"]))
+    texts = written(rows.withColumn("blank", F.col("doc").isNull()).join(numbers, ["key", "blank", "th"]).groupBy(F.col("number").alias("id")).agg(F.first("text").alias("text")))
+    own = numbers.where("not blank").groupBy("key").agg(F.min("number").alias("a"))
+    together = written(numbers.where("not blank").join(own, "key").where("number <> a").select("a", F.col("number").alias("b")))
+    # an empty text is linked with nothing, also not with its id's other texts
+    worded = texts.where(F.col("text").rlike(WORD_PATTERN)).select("id")
+    together = together.join(worded.withColumnRenamed("id", "b"), "b", "left_semi")
+    found = written(_components(texts, together, *options))
+    names = numbers.select(F.col("number").alias("component"), F.col("key").alias("to_key"), F.col("blank").alias("to_blank"))
+    told = numbers.join(found, numbers["number"] == found["id"]).join(names, "component")
+    doc = F.when(~F.col("blank"), F.col("key"))
+    to = F.when(~F.col("to_blank"), F.col("to_key"))
+    stays = F.when(to.isNull(), F.col("number") == F.col("component")).otherwise(doc.eqNullSafe(to))
+    return told.select(doc.alias("doc"), "th", F.col("n").alias("n_shingles"), to.alias("component"), stays.alias("stays"))
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, **options) -> DataFrame:
@@ -500,10 +516,10 @@ def _rest_tasks(known: DataFrame, size: int) -> DataFrame:
     return left.unionByName(right).distinct()
 
 
-def _rest_links(texts: DataFrame, places: DataFrame, split: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
+def _rest_links(docs: DataFrame, split: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
     """Links of clusters of several blocks that the first tasks could not see."""
     labels = connected_components(links)
     known = written(
         split.join(labels, split["id"] == labels["node"], "left").select("cluster", "blocks", "block", "id", F.coalesce("label", "id").alias("label"))
     )
-    return _links_in(texts, places, _rest_tasks(known, BLOCK), width, percent)
+    return _links_in(docs, _rest_tasks(known, BLOCK), width, percent)
