@@ -17,6 +17,7 @@ class Network:
     calendar: DataFrame  # feed_id, service_id, days ARRAY<INT>(Mon..Sun), start_date, end_date
     calendar_dates: DataFrame  # feed_id, service_id, date, exception_type
     files: DataFrame | None = None  # feed_id, file: which tables each feed has; None = not known
+    days: DataFrame | None = None  # running days as bit masks (operators.service.running_days), if they are stored
 
     def feed_info(self) -> DataFrame:
         """Feeds table for joining.  Its size is the number of declared feeds

@@ -1,68 +1,120 @@
 """Service calendars: which services run in a period (F2-F5) and on which dates.
 
-Input rows carry (query_id, feed_id, service_id, start_date, end_date,
-feed_kind); periods are DATE bounds, inclusive at both ends.
+The calendar side is one table of **running days as bit masks**: a row per (feed, service, block of ``BLOCK_DAYS`` days)
+with a bit for each day (:func:`running_days`).  It depends on the network only, not on the requests, and can be written
+once (``write_network`` does) and is then used by every plan (``Network.days``, or ``days=``).  A period is a mask per
+block it touches, so a test is one equi-join on
+(feed, service, block) and a bitwise AND; dates are expanded only for the days that run.
+
+Four masks are kept per row:
+
+* ``flags``: days inside the service's validity whose weekday flag is 1 (CALENDAR);
+* ``listed``: days that calendar_dates names, whatever the type;
+* ``added`` / ``removed``: those of type 1 and type 2.
+
+Input rows carry (query_id, feed_id, service_id, start_date, end_date, feed_kind); periods are DATE bounds, inclusive at
+both ends.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["query_id", "feed_id", "service_id"]
+#: Days of a mask: 8 weeks, so that a block always begins on the same weekday and fits into a LONG.
+BLOCK_DAYS = 56
+MASKS = ["flags", "listed", "added", "removed"]
+
+# Day 4 after 1970-01-01 (a Thursday) is a Monday: blocks begin on Mondays.
+_MONDAY = 4
+
+
+def _day_number(date) -> Column:
+    """Days since a Monday."""
+    return F.unix_date(date).cast("long") - _MONDAY
+
+
+def _block(day: Column) -> Column:
+    return F.floor(day / BLOCK_DAYS)
+
+
+def _mask(low: Column, high: Column) -> Column:
+    """Bits ``low`` to ``high`` (0 <= low, high < BLOCK_DAYS); none when high < low."""
+    below = lambda n: F.expr(f"shiftleft(1L, cast({n} as int))") - F.lit(1)
+    upto, from_ = "_high + 1", "_low"
+    return F.when(high >= low, below(upto) - below(from_)).otherwise(F.lit(0)).cast("long")
 
 
-def _overlap(s="start_date", e="end_date", qs="q_start", qe="q_end"):
-    """F2 (2-term form; calendar rows with start > end are rejected at load)."""
-    return (F.col(s) <= F.col(qe)) & (F.col(e) >= F.col(qs))
+def _spans(df: DataFrame, start: str, end: str) -> DataFrame:
+    """A row per block that [start, end] touches: ``block`` and ``span``, the mask of its days in the period."""
+    a, b = _day_number(F.col(start)), _day_number(F.col(end))
+    df = df.where(F.col(start) <= F.col(end)).withColumns({"_a": a, "_b": b})
+    df = df.withColumn("block", F.explode(F.sequence(_block(F.col("_a")), _block(F.col("_b")))))
+    first = F.col("block") * BLOCK_DAYS
+    df = df.withColumns({"_low": F.greatest(F.col("_a") - first, F.lit(0)), "_high": F.least(F.col("_b") - first, F.lit(BLOCK_DAYS - 1))})
+    return df.withColumn("span", _mask(F.col("_low"), F.col("_high"))).drop("_a", "_b", "_low", "_high")
 
 
-def _day_flag(days_col, date_col):
-    """Weekday flag of ``date`` from the Mon..Sun array (weekday(): Monday = 0)."""
-    return F.element_at(F.col(days_col), F.weekday(date_col) + 1)
+def _week_pattern(days: str) -> Column:
+    """The weekday flags of a Mon..Sun array, repeated over a block."""
+    week = F.aggregate(F.sequence(F.lit(0), F.lit(6)), F.lit(0).cast("long"), lambda a, i: a + F.when(F.element_at(days, i + 1) == 1, F.expr("1L") * F.pow(F.lit(2), i).cast("long")).otherwise(0))
+    return week * F.lit(sum(1 << (7 * w) for w in range(BLOCK_DAYS // 7)))
 
 
-def active_services(net, svc: DataFrame, *, strict_weekday: bool = False) -> DataFrame:
-    """Rows of ``svc`` whose service runs at least once in [start_date, end_date].
+def running_days(net) -> DataFrame:
+    """feed_id, service_id, block, flags, listed, added, removed: one row per service and block in which anything is said of it.
+
+    Several calendar rows of a service, and repeated calendar_dates rows, are combined with OR.
+    """
+    cal = net.calendar.select("feed_id", "service_id", "days", "start_date", "end_date").where("days is not null")
+    spans = _spans(cal, "start_date", "end_date")
+    zero = F.lit(0).cast("long")
+    flags = spans.select("feed_id", "service_id", "block", _week_pattern("days").bitwiseAND(F.col("span")).alias("flags"), zero.alias("listed"), zero.alias("added"), zero.alias("removed"))
+    day = _day_number(F.col("date"))
+    cd = net.calendar_dates.where("date is not null").withColumns({"block": _block(day), "_bit": F.pmod(day, F.lit(BLOCK_DAYS))})
+    bit = F.expr("shiftleft(1L, cast(_bit as int))")
+    of = lambda t: F.when(F.col("exception_type") == t, bit).otherwise(zero)
+    listed = cd.select("feed_id", "service_id", "block", zero.alias("flags"), bit.alias("listed"), of(1).alias("added"), of(2).alias("removed"))
+    return flags.unionByName(listed).groupBy("feed_id", "service_id", "block").agg(*[F.bit_or(m).alias(m) for m in MASKS])
+
+
+def _days(net, given: DataFrame | None) -> DataFrame:
+    if given is not None:
+        return given
+    return net.days if net.days is not None else running_days(net)
+
+
+def _any_overlap(net, req: DataFrame) -> DataFrame:
+    """Rows of ``req`` that a validity overlaps by six days or more, which count as running whatever the flags."""
+    cal = net.calendar.select("feed_id", "service_id", F.col("start_date").alias("_s"), F.col("end_date").alias("_e")).distinct()
+    same = ["feed_id", "service_id"]
+    overlap = F.datediff(F.least("_e", "q_end"), F.greatest("_s", "q_start"))
+    return req.join(cal, same).where((F.col("_s") <= F.col("q_end")) & (F.col("_e") >= F.col("q_start")) & (overlap >= 6)).select(*req.columns)
+
+
+def active_services(net, svc: DataFrame, *, strict_weekday: bool = False, days: DataFrame | None = None) -> DataFrame:
+    """Rows of ``svc`` whose service runs at least once in [start_date, end_date]; equal rows come back once.
 
     CALENDAR: the calendar row overlaps the period and a weekday flag is set on
     some day of the overlap; an overlap of 6+ days counts as running whatever
     the flags unless ``strict_weekday``.  calendar_dates are ignored here.
     DATES / STATION: some calendar_dates row falls in the period (any type).
+    ``days``: the table of :func:`running_days`, if it is at hand.
     """
-    req = svc.withColumnRenamed("start_date", "q_start").withColumnRenamed("end_date", "q_end")
-    cal = net.calendar.select("feed_id", "service_id", "days", "start_date", "end_date")
-    lo = F.greatest(F.col("start_date"), F.col("q_start"))
-    hi = F.least(F.col("end_date"), F.col("q_end"))
-    n = F.datediff(hi, lo)
-    some_day = F.exists(
-        F.sequence(F.lit(0), F.greatest(n, F.lit(0))),
-        lambda i: F.element_at(F.col("days"), F.weekday(F.date_add(lo, i)) + 1) == 1,
-    )
-    runs = some_day if strict_weekday else ((n >= 6) | some_day)
-    by_calendar = (
-        req.where(F.col("feed_kind") == "CALENDAR")
-        .join(cal, ["feed_id", "service_id"])
-        .where(_overlap() & runs)
-        .select(*req.columns)
-    )
-    cd = net.calendar_dates.select(
-        F.col("feed_id").alias("_f"), F.col("service_id").alias("_s"), F.col("date").alias("_d")
-    )
-    dated = req.where(F.col("feed_kind") != "CALENDAR")
-    by_dates = dated.join(
-        cd,
-        (dated.feed_id == cd._f)
-        & (dated.service_id == cd._s)
-        & (cd._d >= dated.q_start)
-        & (cd._d <= dated.q_end),
-        "left_semi",
-    )
-    out = by_calendar.unionByName(by_dates)
-    return out.withColumnRenamed("q_start", "start_date").withColumnRenamed("q_end", "end_date")
-
-
-def service_dates(net, svc: DataFrame, *, honor_exception_type: bool = False) -> DataFrame:
+    days = _days(net, days)
+    req = svc.distinct().withColumnsRenamed({"start_date": "q_start", "end_date": "q_end"})
+    masks = days.select("feed_id", "service_id", "block", "flags", "listed")
+    hit = F.when(F.col("feed_kind") == "CALENDAR", F.col("flags")).otherwise(F.col("listed"))
+    out = _spans(req, "q_start", "q_end").join(masks, ["feed_id", "service_id", "block"]).where(hit.bitwiseAND(F.col("span")) != 0).select(*req.columns)
+    if not strict_weekday:
+        # six days or more can only overlap a period of seven days or more
+        long = req.where((F.col("feed_kind") == "CALENDAR") & (F.datediff("q_end", "q_start") >= 6))
+        out = out.unionByName(_any_overlap(net, long))
+    return out.distinct().withColumnsRenamed({"q_start": "start_date", "q_end": "end_date"})
+
+
+def service_dates(net, svc: DataFrame, *, honor_exception_type: bool = False, days: DataFrame | None = None) -> DataFrame:
     """Every date a service runs inside a period.
 
     ``svc`` holds (feed_id, service_id, feed_kind, start_date, end_date); the
@@ -73,44 +125,18 @@ def service_dates(net, svc: DataFrame, *, honor_exception_type: bool = False) ->
     shortcut here), minus every (service, date) present in calendar_dates
     (any type cancels).  DATES / STATION: calendar_dates rows in the period
     (any type runs).  ``honor_exception_type`` gives standard GTFS instead
-    (type 1 adds, type 2 removes).
+    (type 1 adds, type 2 removes).  ``days``: the table of :func:`running_days`.
     """
-    keys = ["feed_id", "service_id", "feed_kind", "q_start", "q_end"]
-    req = svc.select(
-        "feed_id", "service_id", "feed_kind", F.col("start_date").alias("q_start"), F.col("end_date").alias("q_end")
-    ).distinct()
-    cal = net.calendar.select("feed_id", "service_id", "days", "start_date", "end_date")
-    cd = net.calendar_dates.select("feed_id", "service_id", "date", "exception_type")
-    lo = F.greatest(F.col("start_date"), F.col("q_start"))
-    hi = F.least(F.col("end_date"), F.col("q_end"))
-    # Overlap is filtered before the explode: sequence(hi, lo) with lo > hi
-    # would count downwards instead of being empty.
-    expanded = (
-        req.where(F.col("feed_kind") == "CALENDAR")
-        .join(cal, ["feed_id", "service_id"])
-        .where(_overlap())
-        .select(*keys, "days", F.explode(F.sequence(lo, hi)).alias("date"))
-        .where(_day_flag("days", "date") == 1)
-        .drop("days")
-    )
-    cancel = cd if not honor_exception_type else cd.where(F.col("exception_type") == 2)
-    calendar_days = expanded.join(
-        cancel.select("feed_id", "service_id", "date").distinct(), ["feed_id", "service_id", "date"], "left_anti"
-    )
+    days = _days(net, days)
+    keys = ["feed_id", "service_id", "feed_kind", "start_date", "end_date"]
+    req = _spans(svc.select(*keys).distinct(), "start_date", "end_date")
+    calendar = F.col("feed_kind") == "CALENDAR"
     if honor_exception_type:
-        added = (
-            req.where(F.col("feed_kind") == "CALENDAR")
-            .join(cd.where(F.col("exception_type") == 1), ["feed_id", "service_id"])
-            .where(F.col("date").between(F.col("q_start"), F.col("q_end")))
-            .select(*keys, "date")
-        )
-        calendar_days = calendar_days.unionByName(added)
-    dated_cd = cd if not honor_exception_type else cd.where(F.col("exception_type") == 1)
-    dated = (
-        req.where(F.col("feed_kind") != "CALENDAR")
-        .join(dated_cd.select("feed_id", "service_id", "date"), ["feed_id", "service_id"])
-        .where(F.col("date").between(F.col("q_start"), F.col("q_end")))
-        .select(*keys, "date")
-    )
-    out = calendar_days.unionByName(dated).distinct()
-    return out.withColumnRenamed("q_start", "start_date").withColumnRenamed("q_end", "end_date")
+        by_flags = F.col("flags").bitwiseAND(F.bitwise_not("removed")).bitwiseOR(F.col("added"))
+        runs = F.when(calendar, by_flags).otherwise(F.col("added"))
+    else:
+        runs = F.when(calendar, F.col("flags").bitwiseAND(F.bitwise_not("listed"))).otherwise(F.col("listed"))
+    on = req.join(days, ["feed_id", "service_id", "block"]).select(*keys, "block", runs.bitwiseAND(F.col("span")).alias("_on")).where("_on <> 0")
+    bits = F.expr(f"filter(sequence(0, {BLOCK_DAYS - 1}), i -> getbit(_on, i) = 1)")
+    dates = on.select(*keys, F.explode(bits).alias("_i"), "block")
+    return dates.select(*keys, F.date_from_unix_date((F.col("block") * BLOCK_DAYS + F.col("_i") + _MONDAY).cast("int")).alias("date"))

@@ -66,6 +66,9 @@ CALENDAR_DATES = T.StructType(
 )
 
 FILES = T.StructType([T.StructField("feed_id", S, True), T.StructField("file", S, True)])
+DAYS = T.StructType(
+    [T.StructField(n, S, True) for n in ("feed_id", "service_id")] + [T.StructField(n, L, True) for n in ("block", "flags", "listed", "added", "removed")]
+)
 
 # Requests (batch API).  ``transports`` NULL means every feed.
 PLACES = T.StructType(
