@@ -114,6 +114,26 @@ def active_services(net, svc: DataFrame, *, strict_weekday: bool = False, days:
     return out.distinct().withColumnsRenamed({"q_start": "start_date", "q_end": "end_date"})
 
 
+def running_dates(net, rows: DataFrame, *, honor_exception_type: bool = False, days: DataFrame | None = None) -> DataFrame:
+    """``rows`` once for each date their service runs in their period, with ``date``.
+
+    ``rows`` hold feed_id, service_id, feed_kind, start_date, end_date and any other columns; ``rows`` are read once.
+    For what runs see :func:`service_dates`.
+    """
+    days = _days(net, days)
+    calendar = F.col("feed_kind") == "CALENDAR"
+    if honor_exception_type:
+        by_flags = F.col("flags").bitwiseAND(F.bitwise_not("removed")).bitwiseOR(F.col("added"))
+        runs = F.when(calendar, by_flags).otherwise(F.col("added"))
+    else:
+        runs = F.when(calendar, F.col("flags").bitwiseAND(F.bitwise_not("listed"))).otherwise(F.col("listed"))
+    spans = _spans(rows, "start_date", "end_date").join(days, ["feed_id", "service_id", "block"])
+    on = spans.withColumn("_on", runs.bitwiseAND(F.col("span"))).where("_on <> 0")
+    bits = F.expr(f"filter(sequence(0, {BLOCK_DAYS - 1}), i -> getbit(_on, i) = 1)")
+    dates = on.select(*rows.columns, F.explode(bits).alias("_i"), "block")
+    return dates.select(*rows.columns, F.date_from_unix_date((F.col("block") * BLOCK_DAYS + F.col("_i") + _MONDAY).cast("int")).alias("date"))
+
+
 def service_dates(net, svc: DataFrame, *, honor_exception_type: bool = False, days: DataFrame | None = None) -> DataFrame:
     """Every date a service runs inside a period.
 
@@ -127,16 +147,5 @@ def service_dates(net, svc: DataFrame, *, honor_exception_type: bool = False, da
     (any type runs).  ``honor_exception_type`` gives standard GTFS instead
     (type 1 adds, type 2 removes).  ``days``: the table of :func:`running_days`.
     """
-    days = _days(net, days)
     keys = ["feed_id", "service_id", "feed_kind", "start_date", "end_date"]
-    req = _spans(svc.select(*keys).distinct(), "start_date", "end_date")
-    calendar = F.col("feed_kind") == "CALENDAR"
-    if honor_exception_type:
-        by_flags = F.col("flags").bitwiseAND(F.bitwise_not("removed")).bitwiseOR(F.col("added"))
-        runs = F.when(calendar, by_flags).otherwise(F.col("added"))
-    else:
-        runs = F.when(calendar, F.col("flags").bitwiseAND(F.bitwise_not("listed"))).otherwise(F.col("listed"))
-    on = req.join(days, ["feed_id", "service_id", "block"]).select(*keys, "block", runs.bitwiseAND(F.col("span")).alias("_on")).where("_on <> 0")
-    bits = F.expr(f"filter(sequence(0, {BLOCK_DAYS - 1}), i -> getbit(_on, i) = 1)")
-    dates = on.select(*keys, F.explode(bits).alias("_i"), "block")
-    return dates.select(*keys, F.date_from_unix_date((F.col("block") * BLOCK_DAYS + F.col("_i") + _MONDAY).cast("int")).alias("date"))
+    return running_dates(net, svc.select(*keys).distinct(), honor_exception_type=honor_exception_type, days=days)

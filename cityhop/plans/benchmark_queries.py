@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cityhop.operators.cities import build_cities, city_center, city_members, snap_to_city
@@ -21,7 +22,7 @@ from cityhop.operators.trips import TRIP_COLUMNS, direct_trips
 from cityhop.operators.spatial import nearby_stops
 from cityhop.operators.stops import ranked_stops, stop_activity
 from cityhop.plans.destinations import reachability_matrix, reachable_cities
-from cityhop.plans.journeys import od_frequency, present_trips, search_trips
+from cityhop.plans.journeys import od_frequency, ordered_trips, present_trips, search_trips
 from cityhop.plans.tidy import tidy
 from cityhop.session import ensure_checkpoint_dir, materialize
 from cityhop.sources.gtfs import find_tables, load_feeds, read_network, rejects, transports, write_network
@@ -381,6 +382,25 @@ def q_trip_request_validation(spark: SparkSession, sf: str) -> DataFrame:
                                F.when(F.col("fault.reason") != "unknown_place", F.col("fault.raw")).alias("raw")))
 
 
+MIN_RADIUS = 0.05
+
+
+def q_reachable_cities_strict(spark: SparkSession, sf: str) -> DataFrame:
+    """O11 with its options: weekday flags decide, and cities of one stop are departures."""
+    req = testbind.with_period(customer_points(spark, sf), *WEEK)
+    return tidy(reachable_cities(_net(spark, sf), cities_table(spark, sf), req, strict_weekday=True, min_radius=MIN_RADIUS))
+
+
+def q_ordered_trips(spark: SparkSession, sf: str) -> DataFrame:
+    """T2 / P8 over O12 with its options: trips that agree in both instants are one; written in order, read back with each row's place."""
+    found = search_trips(_net(spark, sf), cities_table(spark, sf), customer_trip_requests(spark, sf), dedup_keys=("dep_time", "arr_time"))
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cityhop-trips-{uuid.uuid4().hex}"
+    ordered_trips(found, fill=0).write.parquet(out)
+    back = spark.read.parquet(out).select("*", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"))
+    # a request's rows are counted in the order of the files, and only compared with the order asked for in the test
+    return tidy(back.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).select("place", *TRIP_COLUMNS))
+
+
 QUERIES = {
     "load_stop_times": q_load_stop_times,
     "load_calendar": q_load_calendar,
@@ -411,4 +431,6 @@ QUERIES = {
     "load_feeds_csv": q_load_feeds_csv,
     "load_rejects": q_load_rejects,
     "trip_request_validation": q_trip_request_validation,
+    "reachable_cities_strict": q_reachable_cities_strict,
+    "ordered_trips": q_ordered_trips,
 }

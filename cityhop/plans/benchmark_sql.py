@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from cityhop.functions.text import NOISE_WORDS
-from cityhop.plans.benchmark_queries import ARRIVAL_OFFSETS, CITY_EPS_KM, MIN_DEPARTURE_S, PERIOD, PLACE_RADIUS, WEEK
+from cityhop.plans.benchmark_queries import ARRIVAL_OFFSETS, CITY_EPS_KM, MIN_DEPARTURE_S, MIN_RADIUS, PERIOD, PLACE_RADIUS, WEEK
 from cityhop.sources.testbind_sql import PLACE_LAT, PLACE_LON, weekday_bit, with_ctes
 
 
@@ -61,7 +61,7 @@ boards AS (
 )"""
 
 
-def active_cte(start: str, end: str) -> str:
+def active_cte(start: str, end: str, strict: bool = False) -> str:
     lo = f"greatest(c.start_date, {_d(start)})"
     hi = f"least(c.end_date, {_d(end)})"
     return f"""
@@ -79,7 +79,7 @@ active AS (
        SELECT 1 FROM g_calendar c
        WHERE c.feed_id = svc.feed_id AND c.service_id = svc.service_id
          AND c.start_date <= {_d(end)} AND c.end_date >= {_d(start)}
-         AND (date_diff('day', {lo}, {hi}) >= 6
+         AND ({'false' if strict else f"date_diff('day', {lo}, {hi}) >= 6"}
               OR EXISTS (SELECT 1 FROM period_days p
                          WHERE p.d BETWEEN c.start_date AND c.end_date AND {weekday_bit('c.mask', 'p.d')} = 1))))
     OR (feed_kind <> 'CALENDAR' AND EXISTS (
@@ -90,11 +90,11 @@ active AS (
 
 
 def reach_ctes(start: str, end: str, transports=None, places: str = "g_nation_places",
-               radius: str = f"CAST({PLACE_RADIUS} AS DOUBLE)") -> tuple:
+               radius: str = f"CAST({PLACE_RADIUS} AS DOUBLE)", strict: bool = False) -> tuple:
     return (
         nearby_cte(places=places, radius=radius, transports=transports),
         BOARDS_CTE,
-        active_cte(start, end),
+        active_cte(start, end, strict),
         """
 reached AS (
   SELECT DISTINCT a.query_id, st.feed_id, st.stop_id
@@ -402,12 +402,12 @@ CITY_OUT = """round(c.stop_lat, 6) AS stop_lat, round(c.stop_lon, 6) AS stop_lon
        round(c.max_distance, 6) AS max_distance, m.transport"""
 
 
-def reachable_cities_sql() -> str:
+def reachable_cities_sql(strict: bool = False, radius: str = "p.max_distance") -> str:
     places = """
 dep_places AS (SELECT DISTINCT city_id AS query_id, lat, lon, max_distance FROM snap)"""
     return with_ctes(
         *CITY_ALL, customer_points_cte(), SNAP_CTE, places,
-        *reach_ctes(*WEEK, places="dep_places", radius="p.max_distance"), matched_cte(), recursive=True,
+        *reach_ctes(*WEEK, places="dep_places", radius=radius, strict=strict), matched_cte(), recursive=True,
     ) + f"""
 SELECT s.query_id, m.city_id, c.city_name, {CITY_OUT}
 FROM snap s JOIN matched m ON m.query_id = s.city_id JOIN cities c ON c.city_id = m.city_id"""
@@ -480,6 +480,15 @@ def search_trips_sql() -> str:
     return search_trips_ctes() + TRIP_SELECT.replace("FROM trips_out", "FROM (SELECT * EXCLUDE (query_id) RENAME (cq AS query_id) FROM found) t")
 
 
+def ordered_trips_sql() -> str:
+    """Trips that agree in both instants are one; their place in the order of departure."""
+    both = search_trips_sql().replace("PARTITION BY query_id, dep_time\n", "PARTITION BY query_id, dep_time, arr_time\n")
+    head, select = both[: both.rindex("SELECT query_id")], both[both.rindex("SELECT query_id") :]
+    return head + f"""
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dep_time, arr_time, trip_id, stop_id_x, stop_id_y) AS place
+FROM ({select}) o"""
+
+
 PRESENT_SELECT = """
 SELECT query_id, CAST(rank AS BIGINT) AS rank, trip_id, transport_type, stop_name_x, stop_name_y,
        strftime(dep_time, '%Y-%m-%d %H:%M:%S') AS dep_time, strftime(arr_time, '%Y-%m-%d %H:%M:%S') AS arr_time,
@@ -761,6 +770,8 @@ WHERE EXISTS (SELECT 1 FROM g_trips t WHERE t.feed_id = f.feed_id)""",
     "load_feeds_csv": load_feeds_csv_sql(),
     "load_rejects": load_rejects_sql(),
     "trip_request_validation": trip_request_validation_sql(),
+    "reachable_cities_strict": reachable_cities_sql(strict=True, radius=f"CASE WHEN 1.05 * p.max_distance < {MIN_RADIUS} THEN CAST({MIN_RADIUS} AS DOUBLE) / CAST(1.05 AS DOUBLE) ELSE p.max_distance END"),
+    "ordered_trips": ordered_trips_sql(),
 }
 
 

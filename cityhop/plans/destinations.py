@@ -44,13 +44,17 @@ def match_cities(net, cities: DataFrame, dest: DataFrame, cell: float = DEFAULT_
     )
 
 
-def reachable_cities(net, cities: DataFrame, requests: DataFrame, *, cell: float = DEFAULT_CELL_DEG) -> DataFrame:
+def reachable_cities(
+    net, cities: DataFrame, requests: DataFrame, *, cell: float = DEFAULT_CELL_DEG, strict_weekday: bool = False, min_radius: float = 0.0
+) -> DataFrame:
     """For each request (query_id, lat, lon, start_date, end_date[,
     transports]) the cities reachable on one vehicle.
 
     The request point snaps to the nearest city within 0.1 degree; the
     departure area is that city's centre and radius.  Requests that snap to
-    no city produce no rows (see :func:`cityhop.operators.quality.flag_unknown_place`).
+    no city produce no rows (:func:`cityhop.plans.requests.answer_destinations` reports them).
+    ``strict_weekday``: a long overlap of calendar and period does not count as running by itself.
+    ``min_radius`` (degrees): least radius of a departure area; with 0, a city of one stop is never a departure.
     Output: :data:`OUT_COLS`.
     """
     if "transports" not in requests.columns:
@@ -73,7 +77,7 @@ def reachable_cities(net, cities: DataFrame, requests: DataFrame, *, cell: float
         "transports",
     ).distinct()
     dest = materialize(
-        reachable_stops(net, places, cell=cell).select(F.col("query_id").alias("key"), "feed_id", "stop_lat", "stop_lon")
+        reachable_stops(net, places, cell=cell, min_radius=min_radius, strict_weekday=strict_weekday).select(F.col("query_id").alias("key"), "feed_id", "stop_lat", "stop_lon")
     )
     matched = match_cities(net, cities, dest, cell=cell)
     info = cities.select("city_id", "city_name", "stop_lat", "stop_lon", "max_distance")
@@ -81,7 +85,7 @@ def reachable_cities(net, cities: DataFrame, requests: DataFrame, *, cell: float
     return expand_to_requests(keyed.select("query_id", "key"), answers).select(*OUT_COLS)
 
 
-def reachability_matrix(net, cities: DataFrame, start_date, end_date, transports=None, *, cell=DEFAULT_CELL_DEG) -> DataFrame:
+def reachability_matrix(net, cities: DataFrame, start_date, end_date, transports=None, *, cell=DEFAULT_CELL_DEG, **options) -> DataFrame:
     """Every city as a departure -> (dep_city_id, city_id, ..., transport)."""
     t = F.array(*[F.lit(x) for x in transports]) if transports else F.lit(None).cast("array<string>")
     req = cities.select(
@@ -92,4 +96,4 @@ def reachability_matrix(net, cities: DataFrame, start_date, end_date, transports
         F.lit(end_date).cast("date").alias("end_date"),
         t.alias("transports"),
     )
-    return reachable_cities(net, cities, req, cell=cell).withColumnRenamed("query_id", "dep_city_id")
+    return reachable_cities(net, cities, req, cell=cell, **options).withColumnRenamed("query_id", "dep_city_id")
