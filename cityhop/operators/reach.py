@@ -63,16 +63,26 @@ def trips_in_period(
 
 
 def reachable_stops(
-    net, requests: DataFrame, *, margin=DEFAULT_MARGIN, cell=DEFAULT_CELL_DEG, min_radius=0.0, strict_weekday=False
+    net,
+    requests: DataFrame,
+    *,
+    margin=DEFAULT_MARGIN,
+    cell=DEFAULT_CELL_DEG,
+    min_radius=0.0,
+    strict_weekday=False,
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """O3: stops reachable on one vehicle, no transfer, from the place in the period.
 
     A stop is reached when a running trip calls there after its first nearby
     stop.  STATION feeds answer with parent stations.  Stops (stations) of the
-    departure area itself are excluded.  Output: query_id, feed_id, stop_id,
+    departure area itself are excluded.  ``near``: the departure areas'
+    stops (query_id, feed_id, stop_id, area_id) where they are known; no
+    place is searched then.  Output: query_id, feed_id, stop_id,
     stop_name, stop_lat, stop_lon, stop_timezone.
     """
-    near = nearby_stops(net, requests, margin=margin, cell=cell, min_radius=min_radius)
+    if near is None:
+        near = nearby_stops(net, requests, margin=margin, cell=cell, min_radius=min_radius)
     boards = _boardings(net, near)
     active = _in_period(net, boards, requests, strict_weekday).select("query_id", "feed_id", "trip_id", "board_departure_s")
     st = net.stop_times.select("feed_id", "trip_id", "stop_id", "departure_s")

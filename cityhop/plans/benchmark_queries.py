@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cityhop.operators.cities import build_cities, city_center, city_members, snap_to_city
+from cityhop.operators.membership import city_stops
 from cityhop.operators.quality import check_trip_requests, feed_freshness, flag_unknown_place, validate_period
 from cityhop.operators.reach import reachable_stops, trips_in_period, trips_nearby
 from cityhop.operators.service import service_dates
@@ -201,6 +202,17 @@ def cities_table(spark: SparkSession, sf: str) -> DataFrame:
     return _CITY_TABLES[key]
 
 
+_MEMBER_TABLES: dict = {}
+
+
+def members_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The cities' stops, stored beside the city table in the same start-up step."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MEMBER_TABLES:
+        _MEMBER_TABLES[key] = materialize(city_stops(_net(spark, sf), cities_table(spark, sf)))
+    return _MEMBER_TABLES[key]
+
+
 def q_cities(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(cities_table(spark, sf))
 
@@ -230,13 +242,13 @@ def q_reachable_cities(spark: SparkSession, sf: str) -> DataFrame:
     net = _net(spark, sf)
     cities = cities_table(spark, sf)
     req = testbind.with_period(customer_points(spark, sf), *WEEK)
-    return tidy(reachable_cities(net, cities, req))
+    return tidy(reachable_cities(net, cities, req, members=members_table(spark, sf)))
 
 
 def q_reachability_matrix(spark: SparkSession, sf: str) -> DataFrame:
     net = _net(spark, sf)
     cities = cities_table(spark, sf)
-    return tidy(reachability_matrix(net, cities, *WEEK))
+    return tidy(reachability_matrix(net, cities, *WEEK, members=members_table(spark, sf)))
 
 
 def customer_trip_requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -262,21 +274,21 @@ def customer_trip_requests(spark: SparkSession, sf: str) -> DataFrame:
 def q_search_trips(spark: SparkSession, sf: str) -> DataFrame:
     net = _net(spark, sf)
     cities = cities_table(spark, sf)
-    found = search_trips(net, cities, customer_trip_requests(spark, sf))
+    found = search_trips(net, cities, customer_trip_requests(spark, sf), members=members_table(spark, sf))
     return tidy(found.select(*TRIP_COLUMNS))
 
 
 def q_present_trips(spark: SparkSession, sf: str) -> DataFrame:
     net = _net(spark, sf)
     cities = cities_table(spark, sf)
-    found = search_trips(net, cities, customer_trip_requests(spark, sf), limit=10)
+    found = search_trips(net, cities, customer_trip_requests(spark, sf), limit=10, members=members_table(spark, sf))
     return tidy(present_trips(net, found, n=10, as_of=f"{AS_OF} 12:00:00 UTC"))
 
 
 def q_od_frequency(spark: SparkSession, sf: str) -> DataFrame:
     net = _net(spark, sf)
     cities = cities_table(spark, sf)
-    return tidy(od_frequency(net, cities, *PERIOD, min_departure_s=MIN_DEPARTURE_S))
+    return tidy(od_frequency(net, cities, *PERIOD, min_departure_s=MIN_DEPARTURE_S, members=members_table(spark, sf)))
 
 
 def q_feed_freshness(spark: SparkSession, sf: str) -> DataFrame:
@@ -393,7 +405,7 @@ def q_reachable_cities_strict(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_ordered_trips(spark: SparkSession, sf: str) -> DataFrame:
     """T2 / P8 over O12 with its options: trips that agree in both instants are one; written in order, read back with each row's place."""
-    found = search_trips(_net(spark, sf), cities_table(spark, sf), customer_trip_requests(spark, sf), dedup_keys=("dep_time", "arr_time"))
+    found = search_trips(_net(spark, sf), cities_table(spark, sf), customer_trip_requests(spark, sf), dedup_keys=("dep_time", "arr_time"), members=members_table(spark, sf))
     out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cityhop-trips-{uuid.uuid4().hex}"
     ordered_trips(found, fill=0).write.parquet(out)
     back = spark.read.parquet(out).select("*", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"))

@@ -3,7 +3,7 @@
 The service answers requests as they arrive; with Structured Streaming each
 micro-batch of requests is one batch query (``foreachBatch``), so the same
 plans (and the same skew handling) serve one request or thousands.  The
-network and the city table are static inputs built once at start-up.
+network, the city table and the index of its stops are static inputs built once at start-up.
 Nothing here keeps state across batches, so no watermark is needed.
 """
 
@@ -11,8 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from cityhop.operators.membership import city_stops
 from cityhop.plans.destinations import reachable_cities
 from cityhop.plans.journeys import search_trips
+from cityhop.session import materialize
 
 
 def serve(requests_stream: DataFrame, answer, sink_path: str, checkpoint_location: str, trigger: dict | None = None):
@@ -34,9 +36,11 @@ def serve(requests_stream: DataFrame, answer, sink_path: str, checkpoint_locatio
 
 def serve_destinations(requests_stream: DataFrame, net, cities: DataFrame, sink_path: str, checkpoint_location: str, trigger=None):
     """Stream of (query_id, lat, lon, start_date, end_date[, transports]) -> O11 answers."""
-    return serve(requests_stream, lambda b: reachable_cities(net, cities, b), sink_path, checkpoint_location, trigger)
+    members = materialize(city_stops(net, cities))
+    return serve(requests_stream, lambda b: reachable_cities(net, cities, b, members=members), sink_path, checkpoint_location, trigger)
 
 
 def serve_trips(requests_stream: DataFrame, net, cities: DataFrame, sink_path: str, checkpoint_location: str, trigger=None):
     """Stream of trip requests -> O12 answers."""
-    return serve(requests_stream, lambda b: search_trips(net, cities, b), sink_path, checkpoint_location, trigger)
+    members = materialize(city_stops(net, cities))
+    return serve(requests_stream, lambda b: search_trips(net, cities, b, members=members), sink_path, checkpoint_location, trigger)
