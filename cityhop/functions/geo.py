@@ -50,7 +50,12 @@ def grid_cell(value, cell: float) -> Column:
 
 
 def covering_cells(center, radius, cell: float) -> Column:
-    """All grid indices whose cell can hold a point within ``radius`` of ``center``.
+    """All grid indices whose cell can hold a point within ``radius`` of ``center``."""
+    return F.sequence(*cell_range(center, radius, cell))
+
+
+def cell_range(center, radius, cell: float) -> tuple[Column, Column]:
+    """First and last grid index whose cell can hold a point within ``radius`` of ``center``.
 
     The radius is padded by a relative 1e-9 so rounding at cell borders never
     loses a candidate; the exact predicate is re-checked after the join.
@@ -58,4 +63,4 @@ def covering_cells(center, radius, cell: float) -> Column:
     pad = _c(radius) * F.lit(1.0 + 1e-9) + F.lit(1e-12)
     lo = F.floor((_c(center) - pad) / F.lit(float(cell))).cast("long")
     hi = F.floor((_c(center) + pad) / F.lit(float(cell))).cast("long")
-    return F.sequence(lo, hi)
+    return lo, hi

@@ -18,6 +18,7 @@ class Network:
     calendar_dates: DataFrame  # feed_id, service_id, date, exception_type
     files: DataFrame | None = None  # feed_id, file: which tables each feed has; None = not known
     days: DataFrame | None = None  # running days as bit masks (operators.service.running_days), if they are stored
+    hubs: DataFrame | None = None  # feed_id, stop_id, slices: stops with very many stop times (operators.calls), if there are any
 
     def feed_info(self) -> DataFrame:
         """Feeds table for joining.  Its size is the number of declared feeds

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cityhop.operators.calls import calls_at
 from cityhop.operators.service import active_services
 from cityhop.operators.spatial import DEFAULT_CELL_DEG, DEFAULT_MARGIN, nearby_stops
 
@@ -23,7 +24,7 @@ def _boardings(net, near: DataFrame) -> DataFrame:
     before the shuffle, and the choice is deterministic on ties.
     """
     st = net.stop_times.select("feed_id", "trip_id", "stop_id", "stop_sequence", "departure_s")
-    hits = st.join(near.select("query_id", "feed_id", "stop_id").distinct(), ["feed_id", "stop_id"])
+    hits = calls_at(net, st, near.select("query_id", "feed_id", "stop_id").distinct())
     first = hits.groupBy("query_id", "feed_id", "trip_id").agg(
         F.min(F.struct("stop_sequence", "departure_s", "stop_id")).alias("b")
     )
@@ -37,6 +38,20 @@ def _boardings(net, near: DataFrame) -> DataFrame:
     )
 
 
+def _first_departures(net, near: DataFrame) -> DataFrame:
+    """A1 where only the departure counts: (query_id, feed_id, trip_id, board_departure_s) of :func:`_boardings`.
+
+    Sequence and departure share one BIGINT, so the minimum is a hash aggregate; a missing number stands before all others, as in a struct.
+    """
+    st = net.stop_times.select("feed_id", "trip_id", "stop_id", "stop_sequence", "departure_s")
+    hits = calls_at(net, st, near.select("query_id", "feed_id", "stop_id").distinct())
+    low, span = F.lit(-(1 << 31)).cast("long"), F.lit(1 << 32).cast("long")
+    packed = F.coalesce(F.col("stop_sequence").cast("long"), low) * span + (F.coalesce(F.col("departure_s").cast("long"), low) - low)
+    first = hits.groupBy("query_id", "feed_id", "trip_id").agg(F.min(packed).alias("_first"))
+    departure = (F.pmod("_first", span) + low).cast("int")
+    return first.select("query_id", "feed_id", "trip_id", F.nullif(departure, low.cast("int")).alias("board_departure_s"))
+
+
 def trips_nearby(net, places: DataFrame, *, margin=DEFAULT_MARGIN, cell=DEFAULT_CELL_DEG, min_radius=0.0) -> DataFrame:
     """O1: every trip calling at a stop near the place, with its first such stop."""
     near = nearby_stops(net, places, margin=margin, cell=cell, min_radius=min_radius)
@@ -83,7 +98,7 @@ def reachable_stops(
     """
     if near is None:
         near = nearby_stops(net, requests, margin=margin, cell=cell, min_radius=min_radius)
-    boards = _boardings(net, near)
+    boards = _first_departures(net, near)
     active = _in_period(net, boards, requests, strict_weekday).select("query_id", "feed_id", "trip_id", "board_departure_s")
     st = net.stop_times.select("feed_id", "trip_id", "stop_id", "departure_s")
     reached = (

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cityhop.operators.cities import build_cities, city_center, city_members, snap_to_city
+from cityhop.operators.cluster import cluster_stops
 from cityhop.operators.membership import city_stops
 from cityhop.operators.quality import check_trip_requests, feed_freshness, flag_unknown_place, validate_period
 from cityhop.operators.reach import reachable_stops, trips_in_period, trips_nearby
@@ -189,6 +190,16 @@ def q_cluster_stops(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(members.select("stop_id", "stop_name", "city_id"))
 
 
+DENSE_EPS_KM = 20.0
+DENSE_SAMPLES = 4
+
+
+def q_cluster_stops_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """O8 with ``min_samples > 1``: core, border and noise."""
+    members = cluster_stops(ranked_stops(_net(spark, sf)), eps_km=DENSE_EPS_KM, min_samples=DENSE_SAMPLES)
+    return tidy(members.select("stop_id", "stop_name", "city_id"))
+
+
 _CITY_TABLES: dict = {}
 
 
@@ -429,6 +440,7 @@ QUERIES = {
     "stop_activity": q_stop_activity,
     "ranked_stops": q_ranked_stops,
     "cluster_stops": q_cluster_stops,
+    "cluster_stops_dense": q_cluster_stops_dense,
     "cities": q_cities,
     "city_center": q_city_center,
     "snap_to_city": q_snap_to_city,

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from cityhop.functions.text import NOISE_WORDS
-from cityhop.plans.benchmark_queries import ARRIVAL_OFFSETS, CITY_EPS_KM, MIN_DEPARTURE_S, MIN_RADIUS, PERIOD, PLACE_RADIUS, WEEK
+from cityhop.plans.benchmark_queries import ARRIVAL_OFFSETS, CITY_EPS_KM, DENSE_EPS_KM, DENSE_SAMPLES, MIN_DEPARTURE_S, MIN_RADIUS, PERIOD, PLACE_RADIUS, WEEK
 from cityhop.sources.testbind_sql import PLACE_LAT, PLACE_LON, weekday_bit, with_ctes
 
 
@@ -304,6 +304,29 @@ reach(a, b) AS (
 comp AS (SELECT a AS id, min(b) AS cluster_id FROM reach GROUP BY a)"""
 
 
+def dense_cte(eps_km: float, min_samples: int) -> str:
+    """Density clustering from its definition: core points by counting, components of core points, border points."""
+    return f"""
+pts AS (SELECT stop_id AS id, stop_lat AS lat, stop_lon AS lon FROM ranked),
+near AS (
+  SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b
+    ON a.id = b.id OR {_hav('a', 'b')} <= CAST({eps_km!r} AS DOUBLE) / CAST(6371.0 AS DOUBLE)
+),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {min_samples}),
+links AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach(a, b) AS (
+  SELECT id, id FROM core
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+),
+comp AS (SELECT a AS id, min(b) AS cluster_id FROM reach GROUP BY a),
+dense AS (
+  SELECT id, cluster_id FROM comp
+  UNION ALL
+  SELECT n.a, min(c.cluster_id) FROM near n JOIN comp c ON c.id = n.b WHERE n.a NOT IN (SELECT id FROM core) GROUP BY n.a
+)"""
+
+
 def cities_cte() -> str:
     noise = ", ".join(f"'{w}'" for w in NOISE_WORDS)
     return f"""
@@ -741,6 +764,9 @@ FROM ranked""",
     "cluster_stops": with_ctes(*CITY_CTES, cluster_cte(), recursive=True)
     + """
 SELECT r.stop_id, r.stop_name, c.cluster_id AS city_id FROM ranked r JOIN comp c ON c.id = r.stop_id""",
+    "cluster_stops_dense": with_ctes(*CITY_CTES, dense_cte(DENSE_EPS_KM, DENSE_SAMPLES), recursive=True)
+    + """
+SELECT r.stop_id, r.stop_name, d.cluster_id AS city_id FROM ranked r LEFT JOIN dense d ON d.id = r.stop_id""",
     "cities": with_ctes(*CITY_CTES, cluster_cte(), cities_cte(), recursive=True)
     + """
 SELECT city_id, city_name, round(stop_lat, 6) AS stop_lat, round(stop_lon, 6) AS stop_lon,

@@ -69,6 +69,7 @@ FILES = T.StructType([T.StructField("feed_id", S, True), T.StructField("file", S
 DAYS = T.StructType(
     [T.StructField(n, S, True) for n in ("feed_id", "service_id")] + [T.StructField(n, L, True) for n in ("block", "flags", "listed", "added", "removed")]
 )
+HUBS = T.StructType([T.StructField("feed_id", S, True), T.StructField("stop_id", S, True), T.StructField("slices", I, True)])
 
 # Requests (batch API).  ``transports`` NULL means every feed.
 PLACES = T.StructType(

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from cityhop import schema
 from cityhop.functions.timefmt import parse_gtfs_clock, parse_yyyymmdd
 from cityhop.model import Network
+from cityhop.operators.calls import hub_stops
 from cityhop.operators.service import running_days
 
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
@@ -249,7 +250,7 @@ SORTED_BY = {"stops": "stop_id", "stop_times": "trip_id", "trips": "trip_id", "c
 
 
 def write_network(net: Network, out_dir: str, mode: str = "overwrite") -> None:
-    """Persist every table, and the running days, as Parquet, sorted by feed inside its files.
+    """Persist every table, the running days and the hub stops, if any, as Parquet, sorted by feed inside its files.
 
     There are no partition folders per feed: every join uses ``feed_id``, and a partition
     column would make Spark nest a pruning subquery, a copy of the other side, at each.
@@ -260,6 +261,9 @@ def write_network(net: Network, out_dir: str, mode: str = "overwrite") -> None:
             df = df.sortWithinPartitions("feed_id", SORTED_BY[name])
         df.write.mode(mode).parquet(f"{out_dir.rstrip('/')}/{name}")
     running_days(net).sortWithinPartitions("feed_id", "service_id").write.mode(mode).parquet(f"{out_dir.rstrip('/')}/days")
+    hubs = hub_stops(net.stop_times.sparkSession.read.schema(schema.STOP_TIMES).parquet(f"{out_dir.rstrip('/')}/stop_times"))
+    if hubs.limit(1).count():
+        hubs.write.mode(mode).parquet(f"{out_dir.rstrip('/')}/hubs")
     if net.files is not None:
         net.files.write.mode(mode).parquet(f"{out_dir.rstrip('/')}/files")
 
@@ -272,7 +276,7 @@ def read_network(spark: SparkSession, in_dir: str) -> Network:
         target = getattr(schema, name.upper())
         df = spark.read.schema(target).parquet(f"{base}/{name}")
         frames[name] = df.select(*[F.col(f.name) for f in target.fields])
-    for name in ("files", "days"):
+    for name in ("files", "days", "hubs"):
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
         if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
             frames[name] = spark.read.schema(getattr(schema, name.upper())).parquet(f"{base}/{name}")
