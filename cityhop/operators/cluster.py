@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import math
 import operator
 from dataclasses import dataclass
@@ -181,7 +182,8 @@ def _locations(points: DataFrame, grid: _Grid) -> tuple[DataFrame, DataFrame]:
 def _cell_pairs(left: DataFrame, right: DataFrame, offsets, both_ways: bool = False) -> DataFrame:
     """Pairs (a, b) of cells of two cell tables that lie at one of ``offsets`` from each other."""
     offsets = [*offsets, *(tuple(-x for x in d) for d in offsets)] if both_ways else offsets
-    moves = F.array(*[F.struct(*[F.lit(v).cast("long").alias(x) for x, v in zip(AXES, d)]) for d in offsets])
+    # one literal, folded when the plan is optimised: hundreds of column objects take longer than the join
+    moves = F.from_json(F.lit(json.dumps([dict(zip(AXES, d)) for d in offsets])), "array<struct<x:bigint,y:bigint,z:bigint>>")
     probe = left.select(F.col("cell").alias("a"), *[f"i{x}" for x in AXES], F.explode(moves).alias("_d"))
     probe = probe.select("a", *[(F.col(f"i{x}") + F.col(f"_d.{x}")).alias(f"i{x}") for x in AXES])
     return probe.join(right.select(F.col("cell").alias("b"), *[f"i{x}" for x in AXES]), [f"i{x}" for x in AXES]).select("a", "b")

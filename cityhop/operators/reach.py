@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cityhop.operators.calls import calls_at
 from cityhop.operators.service import active_services
 from cityhop.operators.spatial import DEFAULT_CELL_DEG, DEFAULT_MARGIN, nearby_stops
+from cityhop.session import materialize
 
 BOARD_COLS = ["query_id", "feed_id", "trip_id", "board_stop_id", "board_sequence", "board_departure_s"]
 
@@ -97,7 +98,9 @@ def reachable_stops(
     stop_name, stop_lat, stop_lon, stop_timezone.
     """
     if near is None:
+        # searched once: boardings and the areas to leave out both read it
         near = nearby_stops(net, requests, margin=margin, cell=cell, min_radius=min_radius)
+        near = materialize(near.select("query_id", "feed_id", "stop_id", "area_id"))
     boards = _first_departures(net, near)
     active = _in_period(net, boards, requests, strict_weekday).select("query_id", "feed_id", "trip_id", "board_departure_s")
     st = net.stop_times.select("feed_id", "trip_id", "stop_id", "departure_s")
