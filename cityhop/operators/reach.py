@@ -10,23 +10,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cityhop.operators.calls import calls_at
-from cityhop.operators.service import active_services
+from cityhop.operators.service import may_run, running_rows
 from cityhop.operators.spatial import DEFAULT_CELL_DEG, DEFAULT_MARGIN, nearby_stops
 from cityhop.session import materialize
 
 BOARD_COLS = ["query_id", "feed_id", "trip_id", "board_stop_id", "board_sequence", "board_departure_s"]
 
 
-def _boardings(net, near: DataFrame) -> DataFrame:
+def _hits(net, near: DataFrame, live: DataFrame | None) -> DataFrame:
+    """Calls at the stops ``near``; with ``live`` (feed_id, trip_id) only those of its trips."""
+    st = net.stop_times.select("feed_id", "trip_id", "stop_id", "stop_sequence", "departure_s")
+    hits = calls_at(net, st, near.select("query_id", "feed_id", "stop_id").distinct())
+    return hits if live is None else hits.join(live, ["feed_id", "trip_id"], "left_semi")
+
+
+def _boardings(net, near: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """A1: first nearby stop of each trip (lowest stop_sequence), per request.
 
     ``min(struct(seq, dep, stop))`` is a partial aggregate: a trip visited
     by many requests, or a hub stop on many trips, is combined map-side
     before the shuffle, and the choice is deterministic on ties.
     """
-    st = net.stop_times.select("feed_id", "trip_id", "stop_id", "stop_sequence", "departure_s")
-    hits = calls_at(net, st, near.select("query_id", "feed_id", "stop_id").distinct())
-    first = hits.groupBy("query_id", "feed_id", "trip_id").agg(
+    first = _hits(net, near, live).groupBy("query_id", "feed_id", "trip_id").agg(
         F.min(F.struct("stop_sequence", "departure_s", "stop_id")).alias("b")
     )
     return first.select(
@@ -39,13 +44,12 @@ def _boardings(net, near: DataFrame) -> DataFrame:
     )
 
 
-def _first_departures(net, near: DataFrame) -> DataFrame:
+def _first_departures(net, near: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """A1 where only the departure counts: (query_id, feed_id, trip_id, board_departure_s) of :func:`_boardings`.
 
     Sequence and departure share one BIGINT, so the minimum is a hash aggregate; a missing number stands before all others, as in a struct.
     """
-    st = net.stop_times.select("feed_id", "trip_id", "stop_id", "stop_sequence", "departure_s")
-    hits = calls_at(net, st, near.select("query_id", "feed_id", "stop_id").distinct())
+    hits = _hits(net, near, live)
     low, span = F.lit(-(1 << 31)).cast("long"), F.lit(1 << 32).cast("long")
     packed = F.coalesce(F.col("stop_sequence").cast("long"), low) * span + (F.coalesce(F.col("departure_s").cast("long"), low) - low)
     first = hits.groupBy("query_id", "feed_id", "trip_id").agg(F.min(packed).alias("_first"))
@@ -64,9 +68,7 @@ def _in_period(net, boards: DataFrame, requests: DataFrame, strict_weekday: bool
     trips = net.trips.select("feed_id", "trip_id", "service_id")
     kinds = net.feed_info().select("feed_id", "feed_kind")
     with_svc = boards.join(trips, ["feed_id", "trip_id"]).join(kinds, "feed_id").join(period, "query_id")
-    svc = with_svc.select("query_id", "feed_id", "service_id", "feed_kind", "start_date", "end_date").distinct()
-    running = active_services(net, svc, strict_weekday=strict_weekday).select("query_id", "feed_id", "service_id")
-    return with_svc.join(running, ["query_id", "feed_id", "service_id"], "left_semi")
+    return running_rows(net, with_svc, strict_weekday=strict_weekday)
 
 
 def trips_in_period(
@@ -74,7 +76,7 @@ def trips_in_period(
 ) -> DataFrame:
     """O2: trips of O1 whose service runs in [start_date, end_date]."""
     near = nearby_stops(net, requests, margin=margin, cell=cell, min_radius=min_radius)
-    boards = _boardings(net, near)
+    boards = _boardings(net, near, may_run(net, requests, any_long=not strict_weekday))
     return _in_period(net, boards, requests, strict_weekday).select(*BOARD_COLS, "service_id")
 
 
@@ -101,7 +103,7 @@ def reachable_stops(
         # searched once: boardings and the areas to leave out both read it
         near = nearby_stops(net, requests, margin=margin, cell=cell, min_radius=min_radius)
         near = materialize(near.select("query_id", "feed_id", "stop_id", "area_id"))
-    boards = _first_departures(net, near)
+    boards = _first_departures(net, near, may_run(net, requests, any_long=not strict_weekday))
     active = _in_period(net, boards, requests, strict_weekday).select("query_id", "feed_id", "trip_id", "board_departure_s")
     st = net.stop_times.select("feed_id", "trip_id", "stop_id", "departure_s")
     reached = (

@@ -93,6 +93,49 @@ def _any_overlap(net, req: DataFrame) -> DataFrame:
     return req.join(cal, same).where((F.col("_s") <= F.col("q_end")) & (F.col("_e") >= F.col("q_start")) & (overlap >= 6)).select(*req.columns)
 
 
+def _overlaps_long(start: str, end: str) -> Column:
+    """Whether a validity [_s, _e] overlaps the period by six days or more (only one of seven days or more can)."""
+    overlap = F.datediff(F.least("_e", end), F.greatest("_s", start))
+    return (F.col("_s") <= F.col(end)) & (F.col("_e") >= F.col(start)) & (overlap >= 6)
+
+
+def may_run(net, requests: DataFrame, *, any_long: bool = False, days: DataFrame | None = None) -> DataFrame:
+    """(feed_id, trip_id) of the trips whose service runs on some day of some request's period (start_date, end_date), whatever its kind.
+
+    All periods together are one mask per block, so this reads the running days once, however many requests there are.  Nothing
+    that runs for a request is missing; what runs for another request only is for the exact test that follows.
+    ``any_long``: a validity of six days or more that meets a period of seven days or more counts as well.
+    """
+    days = _days(net, days)
+    periods = requests.select("start_date", "end_date").distinct()
+    # a row per 56 days of the calendar
+    wanted = F.broadcast(_spans(periods, "start_date", "end_date").groupBy("block").agg(F.bit_or("span").alias("span")))
+    said = F.col("flags").bitwiseOR(F.col("listed"))
+    services = days.join(wanted, "block").where(said.bitwiseAND(F.col("span")) != 0).select("feed_id", "service_id")
+    if any_long:
+        hull = periods.where(F.datediff("end_date", "start_date") >= 6).agg(F.min("start_date").alias("_from"), F.max("end_date").alias("_to"))
+        cal = net.calendar.where((F.datediff("end_date", "start_date") >= 6)).crossJoin(F.broadcast(hull))
+        services = services.unionByName(cal.where((F.col("start_date") <= F.col("_to")) & (F.col("end_date") >= F.col("_from"))).select("feed_id", "service_id"))
+    return net.trips.join(services, ["feed_id", "service_id"], "left_semi").select("feed_id", "trip_id")
+
+
+def running_rows(net, rows: DataFrame, *, strict_weekday: bool = False, days: DataFrame | None = None) -> DataFrame:
+    """The rows of ``rows`` that :func:`active_services` finds running, as they are and read once: each meets what is said of its service."""
+    cal = net.calendar.select("feed_id", "service_id", F.col("start_date").alias("_s"), F.col("end_date").alias("_e"))
+    said = _days(net, days).select("feed_id", "service_id", "block", "flags", "listed").unionByName(cal, allowMissingColumns=True)
+    said = said.withColumnsRenamed({"feed_id": "_feed", "service_id": "_service"})
+    low, high = f"greatest(_a - block * {BLOCK_DAYS}, 0L)", f"least(_b - block * {BLOCK_DAYS}, {BLOCK_DAYS - 1}L)"
+    span = F.expr(f"shiftleft(1L, cast({high} + 1 as int)) - shiftleft(1L, cast({low} as int))")
+    calendar = F.col("feed_kind") == "CALENDAR"
+    hit = F.when(calendar, F.col("flags")).otherwise(F.col("listed"))
+    runs = F.expr(f"{high} >= {low}") & (hit.bitwiseAND(span) != 0)
+    if not strict_weekday:
+        runs = F.coalesce(runs, F.lit(False)) | F.coalesce(calendar & _overlaps_long("start_date", "end_date"), F.lit(False))
+    at = rows.withColumns({"_a": _day_number(F.col("start_date")), "_b": _day_number(F.col("end_date"))})
+    same = (F.col("feed_id") == F.col("_feed")) & (F.col("service_id") == F.col("_service"))
+    return at.join(said, same & runs, "left_semi").drop("_a", "_b")
+
+
 def active_services(net, svc: DataFrame, *, strict_weekday: bool = False, days: DataFrame | None = None) -> DataFrame:
     """Rows of ``svc`` whose service runs at least once in [start_date, end_date]; equal rows come back once.
 
