@@ -38,7 +38,7 @@ def flag_unknown_place(req: DataFrame, snapped: DataFrame, error_col: str = "err
     """Set ``error='unknown_place'`` on valid requests with no city (left anti on the snap)."""
     has = snapped.select("query_id").distinct().withColumn("_has", F.lit(True))
     return (
-        req.join(has, "query_id", "left")
+        req.join(has.hint("merge"), "query_id", "left")
         .withColumn(error_col, F.coalesce(F.col(error_col), F.when(F.col("_has").isNull(), F.lit("unknown_place"))))
         .drop("_has")
     )
@@ -86,7 +86,8 @@ def _checked(raw: DataFrame, cities: DataFrame, places: tuple[str, ...], **snap)
     full = with_defaults(raw, places)
     for p in places:
         found = snap_to_city(full.select("query_id", F.col(f"{p}lat").alias("lat"), F.col(f"{p}lon").alias("lon")), cities, **snap)
-        full = full.join(found.select("query_id", F.col("city_id").alias(f"{p}city")), "query_id", "left")
+        # as many as the requests: never sent to the driver to be broadcast
+        full = full.join(found.select("query_id", F.col("city_id").alias(f"{p}city")).hint("merge"), "query_id", "left")
     dates = {"start_date": F.to_date(parse_iso_request_time("start")), "end_date": F.to_date(parse_iso_request_time("end"))}
     if len(places) > 1:
         dates["min_departure_s"] = parse_request_clock("dep_time")

@@ -49,7 +49,7 @@ def reachable_cities(
     if "transports" not in requests.columns:
         requests = requests.withColumn("transports", F.lit(None).cast("array<string>"))
     snapped = snap_to_city(requests.select("query_id", "lat", "lon"), cities, cell=cell)
-    req = requests.select("query_id", "start_date", "end_date", "transports").join(snapped.select("query_id", "city_id"), "query_id")
+    req = requests.select("query_id", "start_date", "end_date", "transports").join(snapped.select("query_id", "city_id").hint("merge"), "query_id")
     return _answers(net, cities, req, members, cell=cell, strict_weekday=strict_weekday, min_radius=min_radius)
 
 
