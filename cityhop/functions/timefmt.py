@@ -20,10 +20,10 @@ def parse_gtfs_clock(c) -> Column:
 
     Returns INT seconds, NULL when the value is not three integer fields.
     """
-    parts = F.split(F.trim(_c(c)), ":")
-    h, m, s = (F.try_element_at(parts, F.lit(i)).try_cast("int") for i in (1, 2, 3))
-    ok = (F.size(parts) == 3) & h.isNotNull() & m.isNotNull() & s.isNotNull()
-    return F.when(ok, h * 3600 + m * 60 + s)
+    text = F.trim(_c(c))
+    h, m, s = (p.try_cast("int") for p in (F.substring_index(text, ":", 1), F.substring_index(F.substring_index(text, ":", 2), ":", -1), F.substring_index(text, ":", -1)))
+    three = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit(""))) == 2
+    return F.when(three, h * 3600 + m * 60 + s)
 
 
 def local_wall_clock(date_col, seconds_col) -> Column:

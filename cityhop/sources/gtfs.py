@@ -124,7 +124,10 @@ def read_table(spark: SparkSession, table: str, files: list[_File]) -> DataFrame
         [(f.folder, f.feed_id, [None if i is None else positions.index(i) + 1 for i in at[f.folder]]) for f in files],
         "folder string, feed_id string, places array<int>",
     )
-    folder = F.regexp_replace(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/"), "/[^/]*$", "")
+    # spelled as in _spelled, without the file's name; of every row, so without patterns
+    at_file = F.col("_metadata.file_path")
+    spelled = F.when(at_file.startswith("file:/"), F.concat(F.lit("file:/"), F.ltrim(F.substr(at_file, F.lit(6)), F.lit("/")))).otherwise(at_file)
+    folder = F.substr(spelled, F.lit(1), F.length(spelled) - F.length(F.substring_index(spelled, "/", -1)) - 1)
     rows = raw.select(
         F.array(*[F.col(f"c{i}") for i in positions]).alias("values") if positions else F.array().cast("array<string>").alias("values"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("pos"),
@@ -187,18 +190,21 @@ REJECTS = "feed_id string, table string, column string, row_key string, raw stri
 def _table_rejects(table: str, raw: DataFrame) -> DataFrame:
     """Values of a table that could not be typed.  A rejected row is reported once per bad column; of a date
     that is missing, too, since the row is lost without it.  Other missing values are no fault."""
-    faults = []
+    faults, any_bad = [], []
     for column, parse, reason, needed in TYPED[table]:
         given = _blank(column)
         bad = parse(column).isNull() & (F.lit(needed) | given.isNotNull())
+        any_bad.append(bad)
         faults.append(F.when(bad, F.struct(F.lit(column).alias("column"), F.col(column).alias("raw"), F.when(given.isNull(), F.lit("missing")).otherwise(F.lit(reason)).alias("reason"), F.lit(needed).alias("rejected"))))
     if table == "calendar":
         span = F.concat_ws("..", F.trim("start_date"), F.trim("end_date"))
         turned = parse_yyyymmdd("start_date") > parse_yyyymmdd("end_date")
+        any_bad.append(F.coalesce(turned, F.lit(False)))
         faults.append(F.when(turned, F.struct(F.lit("end_date").alias("column"), span.alias("raw"), F.lit("end_before_start").alias("reason"), F.lit(True).alias("rejected"))))
     keys = [c for c in READ_COLUMNS[table][:2] if c.endswith("_id")]
     row_key = F.concat_ws("/", *keys).alias("row_key")
-    found = raw.select("feed_id", row_key, F.explode(F.filter(F.array(*faults), lambda f: f.isNotNull())).alias("f"))
+    # rows without a fault, which nearly all are, leave before any report is built
+    found = raw.where(functools.reduce(Column.__or__, any_bad)).select("feed_id", row_key, F.explode(F.filter(F.array(*faults), lambda f: f.isNotNull())).alias("f"))
     return found.select("feed_id", F.lit(table).alias("table"), "f.column", "row_key", "f.raw", "f.reason", "f.rejected")
 
 
