@@ -23,11 +23,12 @@ from __future__ import annotations
 import itertools
 import os
 import re
-import struct
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,18 +36,42 @@ from pyspark.sql import functions as F
 from cityhop.llm.scratch import written
 from cityhop.llm.words import chunks
 
-#: Short pieces whose ids a worker remembers at once, and their longest length.
-REMEMBERED, SHORT = 700_000, 48
+#: Pieces whose ids a worker remembers at once, and their characters.
+REMEMBERED, REMEMBERED_CHARS = 700_000, 1 << 24
+#: Pieces that the tokenizer gets as the words of one input, and inputs at once.
+WORDS, INPUTS = 256, 16
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Texts of these characters alone are cut as the pre-tokeniser's published pattern does.
+#: Texts of these characters alone, all of them in Windows-1252, are cut as the pre-tokeniser's published pattern does.
 _PLAIN = re.compile(rf"[ -~\t\n\r{_LETTER}¿¡–—‘’“”…€]*")
-_PRE_TOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
 _BREAK = re.compile(r"(?<=\S)(?= \S)")
+_END, _LETTERS, _DIGITS, _SPACES, _OTHERS = range(5)
+#: For each byte of Windows-1252 its class in the pattern (zero ends a text) and its length in UTF-8.
+_CHARS = [bytes([b]).decode("cp1252", "replace") for b in range(256)]
+_CLASS = np.array([_END if b == 0 else _LETTERS if c.isalpha() else _DIGITS if c.isdigit() else _SPACES if c.isspace() else _OTHERS for b, c in enumerate(_CHARS)], np.uint8)
+_WIDTH = np.array([len(c.encode()) for c in _CHARS], np.int32)
+_SUFFIXES = {1: [ord(a) for a in "stmd"], 2: [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")]}
 
 
-def cut(text: str) -> list[str]:
-    """Pieces that a byte-level BPE encodes independently of each other."""
-    return _PRE_TOKEN.findall(text) if _PLAIN.fullmatch(text) else _BREAK.split(text)
+def pre_tokens(raw: np.ndarray) -> np.ndarray:
+    """Where pieces begin in plain texts in Windows-1252, each ended by a zero, two more at the end (a zero is a piece).
+
+    The published pattern: ``'(?:s|t|re|ve|m|ll|d)| ?L+| ?N+| ?[^sLN]+|s+(?!S)|s+`` for letters L, digits N, spaces s, others S.
+    """
+    kind = _CLASS[raw]
+    begins = np.ones(len(raw), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _END)
+    # the last of some spaces before other characters leaves its piece; a blank goes to theirs
+    space = kind == _SPACES
+    last = space[:-1] & ~space[1:] & (kind[1:] != _END)
+    begins[:-1] |= last
+    begins[1:] &= ~(last & (raw[:-1] == ord(" ")))
+    quotes = np.flatnonzero(begins & (raw == ord("'")))
+    one, two = raw[quotes + 1].astype(int), raw[quotes + 2].astype(int)
+    for n, follows in ((1, one), (2, one << 8 | two)):
+        found = quotes[np.isin(follows, _SUFFIXES[n])]
+        begins[found + 1] = False
+        begins[found + 1 + n] = True
+    return np.flatnonzero(begins)
 
 
 class Encoder:
@@ -60,7 +85,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # a character stands for a byte
+            self.n_bytes[i] = len(token)
+        self.forget()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -68,21 +97,61 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def forget(self) -> None:
+        """Pieces get numbers; piece ``n`` has ``ids[bound[n]:bound[n + 1]]``.  Number 0, without ids, ends a text."""
+        self.known: defaultdict[str, int] = defaultdict()
+        self.known.default_factory = self.known.__len__
+        self.known[""] = 0
+        self.ids, self.bound, self.chars = np.empty(0, "<u4"), np.zeros(2, np.int64), 0
+
+    def _numbers(self, texts: list[str], plain: bool) -> np.ndarray:
+        """Numbers of all pieces, new ones too, of texts one after another."""
+        if not plain:
+            pieces = [p for t in texts for p in (*_BREAK.split(t), "")]
+            return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        data = "".join([t + "\0" for t in texts]) + "\0\0"
+        raw = np.frombuffer(data.encode("cp1252"), np.uint8)
+        at = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum(_WIDTH[raw], out=at[1:])
+        bounds = at[np.append(pre_tokens(raw), len(raw))]
+        found = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data.encode())).dictionary_encode()
+        index, words = found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False)
+        words[index[-1]] = ""
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[index[:-2]]
+
+    def _learn(self) -> None:
+        """Ids of the pieces numbered since the last time."""
+        n = len(self.known) + 1 - len(self.bound)
+        new = list(itertools.islice(reversed(self.known), n))[::-1]
+        self.chars += sum(map(len, new))
+        ids, bounds = [self.ids], [self.bound]
+        for at in range(0, n, WORDS * INPUTS):
+            part = new[at : at + WORDS * INPUTS]
+            inputs = [part[k : k + WORDS] for k in range(0, len(part), WORDS)]
+            encoded = self.tokenizer.encode_batch_fast(inputs, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.concatenate([np.array(e.ids, "<u4") for e in encoded]))
+            # a piece has the tokens that end at its last byte or before
+            token_ends, ends = np.cumsum(self.n_bytes[ids[-1]]), np.cumsum([len(p.encode()) for p in part])
+            last = np.searchsorted(token_ends, ends)
+            if token_ends[-1] != ends[-1] or (token_ends[last] != ends).any():
+                raise ValueError("the tokens do not spell the text")
+            bounds.append(bounds[-1][-1] + last + 1)
+        self.ids, self.bound = np.concatenate(ids), np.concatenate(bounds)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [cut(t) for t in texts]
-        wanted = set().union(*pieces)
-        new = list(wanted.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(wanted)
-        once: dict[str, bytes] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (self.known if len(piece) <= SHORT else once)[piece] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        if not once:
-            return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
-        return [b"".join([once[x] if x in once else self.known[x] for x in p]) for p in pieces]
+        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.forget()
+        plain = [_PLAIN.fullmatch(t) is not None for t in texts]
+        numbers = np.concatenate([self._numbers(list(itertools.compress(texts, [p == kind for p in plain])), kind) for kind in (True, False)])
+        self._learn()
+        begin = self.bound[numbers]
+        n = self.bound[numbers + 1] - begin
+        stop = np.cumsum(n)
+        data = self.ids[np.repeat(begin - (stop - n), n) + np.arange(n.sum())].tobytes()
+        stops = 4 * stop[numbers == 0]
+        encoded = [data[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
+        each = {True: iter(encoded), False: iter(encoded[sum(plain) :])}
+        return [next(each[p]) for p in plain]
 
 
 def class_lengths(capacity: int) -> np.ndarray:
