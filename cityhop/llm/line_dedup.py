@@ -39,10 +39,14 @@ BUCKETS, PARTS = 1 << 20, 512
 NEAREST = 4
 #: Lines of a word group that one task compares.
 GROUP = 1 << 15
+#: Comparisons, and candidates found, that a task holds at once, about.
+PAIRS = 1 << 19
 #: Rows, and entries of their lists, up to which a table of line numbers is broadcast (28 MB); both are counted first.
 BROADCAST_ROWS, BROADCAST_ENTRIES = 200_000, 2_000_000
 _C = np.uint64(0x5851F42D4C957F2D)
 _REST = np.uint64((1 << 44) - 1)
+#: More than two bitmaps of 128 bits can differ by.
+_APART = 129
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -157,53 +161,53 @@ def _by_word(asked: np.ndarray | None = None):
             if asked is not None:
                 some = np.isin(word, asked)
                 word, place, row = word[some], place[some], row[some]
-            rest = [c for c in rows.schema.names if c not in ("prefix", "skip")]
+            size = (rows.column("n").to_numpy()[row] << 32) | place
+            rest = [c for c in rows.schema.names if c not in ("prefix", "skip", "n")]
             columns = [pa.array(rows.column(c).to_numpy(zero_copy_only=False)[row]) for c in rest]
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(place), *columns], ["word", "place", *rest])
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(size), *columns], ["word", "size", *rest])
 
     return run
 
 
-_COLUMNS = ["word", "block", "doc", "uid", "n", "place", "b1", "b2", "side"]
-
-
-def _fits(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether rows i and j, of fitting lengths, may match, and how far apart their bitmaps are."""
-    ni, nj = x["n"][i], x["n"][j]
-    need = -((-percent * (ni + nj)) // (100 + percent))  # least intersection
-    some = np.flatnonzero(np.minimum(ni - x["place"][i], nj - x["place"][j]) >= need)
-    i, j = i[some], j[some]
-    apart = np.bitwise_count(x["b1"][i] ^ x["b1"][j]).astype(np.int64) + np.bitwise_count(x["b2"][i] ^ x["b2"][j])
-    near = (ni + nj - 2 * need)[some] >= apart
-    return some[near], apart[near]
+#: ``size``: a line's number of words, times 2**32, and the word's place among them.
+_COLUMNS = ["word", "block", "doc", "uid", "size", "b1", "b2", "side"]
 
 
 def _meet(percent: int, nearest: int | None, limit: int):
-    """Over rows sorted by word (and block) and length: candidate pairs (later, earlier), and rows of word groups above ``limit``."""
+    """Over rows sorted by word (and block): candidate pairs (later, earlier), and rows of word groups above ``limit``."""
 
-    def pairs(x: np.ndarray) -> list[np.ndarray]:
-        """Candidates in complete groups: later row, earlier row, distance."""
-        found = []
+    def pairs(x: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Candidates in complete groups, each in order of length, about ``PAIRS`` comparisons at a time: later row, earlier row, distance."""
         c = {name: np.ascontiguousarray(x[:, k]) for k, name in enumerate(_COLUMNS)}
         c["b1"], c["b2"] = c["b1"].view(np.uint64), c["b2"].view(np.uint64)
-        same = np.flatnonzero(np.any(x[1:, :2] != x[:-1, :2], axis=1)) + 1
-        end = np.repeat(np.concatenate([same, [len(x)]]), np.diff(np.concatenate([[0], same, [len(x)]])))
-        step, i = 1, np.arange(len(x))
-        while len(i):
-            # rows of a word are in order of their length: past one that is too long, all are
-            i = i[i + step < end[i]]
-            i = i[100 * c["n"][i] >= percent * c["n"][i + step]]
-            for part in np.array_split(i, 1 + len(i) // 500_000):
-                some, apart = _fits(c, part, part + step, percent)
-                a, b = part[some], part[some] + step
-                # side 0: any pair; 1 and 2: a pair of blocks; 3: a line that is looked for, 4: one of the others
-                s, r = c["side"][a], c["side"][b]
-                swap = (c["doc"][a] < c["doc"][b]) | ((c["doc"][a] == c["doc"][b]) & (c["uid"][a] < c["uid"][b]))
-                later, earlier = np.where(swap, b, a), np.where(swap, a, b)
-                fine = ((s == 0) | ((s != r) & (s < 3)) | (s == 3) | (r == 3)) & (c["side"][later] != 4)
-                found.append(np.stack([later[fine], earlier[fine], apart[fine]], axis=1))
-            step += 1
-        return found
+        c["n"] = c["size"] >> 32
+        c["place"] = c["size"] & 0xFFFFFFFF
+        # the words from the shared one on must reach the least intersection: for either line this bounds the other's length
+        size, slack = percent * c["n"], (100 + percent) * (c["n"] - c["place"]) - percent * c["n"]
+        # each meets those behind it in its group, in order of their length, up to the first that is too long
+        most = int(size.max()) + 1
+        end = np.searchsorted(group * most + size, group * most + np.clip(np.minimum(100 * c["n"], slack), -1, most - 1), side="right")
+        many = np.maximum(end - np.arange(len(x)) - 1, 0)
+        upto = np.cumsum(many)
+        first = 0
+        while first < len(x):
+            before = upto[first] - many[first]
+            last = max(first + 1, int(np.searchsorted(upto, before + PAIRS, side="right")))
+            a = np.repeat(np.arange(first, last), many[first:last])
+            b = np.arange(len(a)) + before - (upto - many)[a] + a + 1
+            first = last
+            some = slack[b] >= size[a]
+            a, b = a[some], b[some]
+            need = -((-percent * (c["n"][a] + c["n"][b])) // (100 + percent))  # least intersection
+            apart = np.bitwise_count(c["b1"][a] ^ c["b1"][b]).astype(np.int64) + np.bitwise_count(c["b2"][a] ^ c["b2"][b])
+            near = c["n"][a] + c["n"][b] - 2 * need >= apart
+            a, b, apart = a[near], b[near], apart[near]
+            # side 0: any pair; 1 and 2: a pair of blocks; 3: a line that is looked for, 4: one of the others
+            s, r = c["side"][a], c["side"][b]
+            swap = (c["doc"][a] < c["doc"][b]) | ((c["doc"][a] == c["doc"][b]) & (c["uid"][a] < c["uid"][b]))
+            later, earlier = np.where(swap, b, a), np.where(swap, a, b)
+            fine = ((s == 0) | ((s != r) & (s < 3)) | (s == 3) | (r == 3)) & (c["side"][later] != 4)
+            yield later[fine], earlier[fine], apart[fine]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pdf in met(batches):
@@ -213,23 +217,49 @@ def _meet(percent: int, nearest: int | None, limit: int):
         held: list[np.ndarray] = []
         rows, large = 0, None
 
-        def settle(x: np.ndarray) -> pd.DataFrame | None:
-            found = pairs(x)
-            p = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-            if not len(p):
-                return None
-            key = np.stack([x[p[:, 0], 2], x[p[:, 0], 3], p[:, 2], x[p[:, 1], 2], x[p[:, 1], 3]], axis=1)
-            key = np.unique(key, axis=0)  # by later line, then distance
-            new = np.ones(len(key), bool)
-            new[1:] = np.any(key[1:, :2] != key[:-1, :2], axis=1)
-            begin = np.flatnonzero(new)
-            rank = np.arange(len(key)) - np.repeat(begin, np.diff(np.append(begin, len(key))))
-            many = np.repeat(np.diff(np.append(begin, len(key))), np.diff(np.append(begin, len(key))))
-            take = rank < nearest if nearest else np.ones(len(key), bool)
-            out = pd.DataFrame(key[take][:, [0, 1, 3, 4]], columns=["doc", "uid", "to_doc", "to_uid"])
-            out["open"] = (many > nearest)[take] if nearest else False
-            out["word"], out["large"] = 0, False
-            return out
+        def ranked(key: np.ndarray, of: np.ndarray) -> np.ndarray:
+            """Place of each sorted key among those of its later line."""
+            begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(key) else np.zeros(0, np.int64)
+            return np.arange(len(key)) - np.repeat(begin, np.diff(np.append(begin, len(key))))
+
+        def settle(x: np.ndarray) -> Iterator[pd.DataFrame]:
+            """The candidates of each later line, or its nearest; no more than those and some comparisons are held."""
+            group = np.zeros(len(x), np.int64)
+            np.cumsum(np.any(x[1:, :2] != x[:-1, :2], axis=1), out=group[1:])
+            x = x[np.lexsort((x[:, 4], group))]
+            order = np.lexsort((x[:, 3], x[:, 2]))
+            ids = x[order, 2:4]
+            new = np.ones(len(x), bool)
+            new[1:] = np.any(ids[1:] != ids[:-1], axis=1)
+            ids, line = ids[new], np.empty(len(x), np.int64)
+            line[order] = np.cumsum(new) - 1
+            n = len(ids)
+            best, found, size = np.zeros(0, np.int64), [], 0
+
+            def chosen() -> np.ndarray:
+                """Each pair once, by later line, distance, earlier line; of each later line one more than its nearest."""
+                key = np.unique(np.concatenate([best, *found]))
+                return key[ranked(key, key // (n * _APART)) <= nearest] if nearest else key
+
+            def table(key: np.ndarray) -> pd.DataFrame:
+                of = key // (n * _APART)
+                rank = ranked(key, of)
+                out = pd.DataFrame(np.concatenate([ids[of], ids[key % n]], axis=1), columns=["doc", "uid", "to_doc", "to_uid"])
+                out["open"] = (np.bincount(of, minlength=n) > nearest)[of] if nearest else False
+                out["word"], out["large"] = 0, False
+                return out[rank < nearest] if nearest else out
+
+            for later, earlier, apart in pairs(x, group):
+                found.append((line[later] * _APART + apart) * n + line[earlier])
+                size += len(later)
+                if size >= PAIRS:
+                    best, found, size = chosen(), [], 0
+                    if not nearest:
+                        yield table(best)
+                        best = best[:0]
+            best = chosen()
+            if len(best):
+                yield table(best)
 
         def spill(x: np.ndarray) -> pd.DataFrame:
             out = pd.DataFrame({"doc": x[:, 2], "uid": x[:, 3], "to_doc": 0, "to_uid": 0, "open": False, "word": x[:, 0], "large": True})
@@ -244,9 +274,7 @@ def _meet(percent: int, nearest: int | None, limit: int):
                     yield spill(x[big])
                     x = x[~big]
             if len(x):
-                out = settle(x)
-                if out is not None:
-                    yield out
+                yield from settle(x)
 
         for table in batches:
             names = table.schema.names
@@ -284,14 +312,14 @@ def _meet(percent: int, nearest: int | None, limit: int):
 
 
 _MET = "doc long, uid long, to_doc long, to_uid long, open boolean, word long, large boolean"
-_WORDS = "word long, place long, doc long, uid long, n long, b1 long, b2 long"
+_WORDS = "word long, size long, doc long, uid long, b1 long, b2 long"
 #: Words that are looked for and go to the tasks as a list, when they were counted to be no more.
 ASKED = 100_000
 
 
 def _candidates(words: DataFrame, percent: int, nearest: int | None) -> DataFrame:
     """Candidate pairs of lines that meet by a word; with ``side``, 3 is a line looked for and 4 one of the others."""
-    met = written(words.repartition("word").sortWithinPartitions("word", "n").mapInArrow(_meet(percent, nearest, GROUP), _MET))
+    met = written(words.repartition("word").sortWithinPartitions("word").mapInArrow(_meet(percent, nearest, GROUP), _MET))
     pairs = met.where("not large").drop("word", "large")
     large = met.where("large").select("word", "doc", "uid")
     if large.isEmpty():
@@ -304,7 +332,7 @@ def _candidates(words: DataFrame, percent: int, nearest: int | None) -> DataFram
     rows = rows.select("*", other).withColumn("block", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other"))
     side = F.when(F.col("side") > 0, F.col("side")).when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
     rows = rows.withColumn("side", side).select(*_COLUMNS)
-    more = rows.repartition("word", "block").sortWithinPartitions("word", "block", "n").mapInArrow(_meet(percent, nearest, 0), _MET)
+    more = rows.repartition("word", "block").sortWithinPartitions("word", "block").mapInArrow(_meet(percent, nearest, 0), _MET)
     return pairs.unionByName(written(more).drop("word", "large"))
 
 

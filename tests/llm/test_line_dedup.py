@@ -1,6 +1,9 @@
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +104,40 @@ def test_columns_of_the_added_names_stay(make):
     out = dedup_lines(docs)
     assert out.columns == [*docs.columns, "_n_lines", "_removed"]
     assert {(r["doc_id"], r["removed"], r["n_lines"], r["_n_lines"], tuple(r["_removed"])) for r in out.collect()} == {(1, "r", 9, 2, (1,)), (2, "r", 9, 1, ())}
+
+
+def met(rows, nearest, limit=1 << 15):
+    """Pairs of lines, and whether there are more, that ``_meet`` finds over rows of (word, n, place, b1, doc)."""
+    rows = np.array(sorted(rows), np.int64)
+    zero = np.zeros(len(rows), np.int64)
+    columns = dict(word=rows[:, 0], size=rows[:, 1] << 32 | rows[:, 2], place=rows[:, 2], n=rows[:, 1], doc=rows[:, 4], uid=zero, b1=rows[:, 3], b2=zero)
+    batches = pa.table(columns).to_batches(max_chunksize=1000)
+    out = [b.to_pandas() for b in line_dedup._meet(80, nearest, limit)(iter(batches))]
+    return [(d, t, o) for b in out for d, t, o in zip(b["doc"], b["to_doc"], b["open"])]
+
+
+def test_a_group_of_like_lines_is_not_held_as_its_pairs():
+    """3,000 lines of one word meet each other 4.5 million times; a task holds some of them."""
+    n = 3_000
+    tracemalloc.start()
+    found = met([(7, 20, 0, 0, d) for d in range(n)], 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    assert sorted(found) == [(d, t, d > 4) for d in range(n) for t in range(min(d, 4))]
+
+
+@pytest.mark.parametrize("nearest", [1, 4, None])
+def test_pairs_found_bit_by_bit(monkeypatch, nearest):
+    rnd = random.Random(3)
+    rows = [(w, n, rnd.randrange(1 + n // 4), rnd.randrange(4), d) for d in range(80) for n in [rnd.randrange(3, 30)] for w in rnd.sample(range(5), 2)]
+    expected = {}
+    for w, n, p, b, d in rows:
+        for v, m, q, c, e in rows:
+            need = -(-80 * (n + m) // 180)
+            if v == w and e < d and 80 * max(n, m) <= 100 * min(n, m) and min(n - p, m - q) >= need and (b ^ c).bit_count() <= n + m - 2 * need:
+                expected.setdefault(d, set()).add(((b ^ c).bit_count(), e))
+    pairs = {(d, e, len(x) > (nearest or len(x))) for d, x in expected.items() for _, e in sorted(x)[:nearest]}
+    for size in (1 << 19, 7):
+        monkeypatch.setattr(line_dedup, "PAIRS", size)
+        assert set(met(rows, nearest)) == pairs
